@@ -6,16 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import secret_scan
+from quillmark.llm import line_dedup, mixing, secret_scan, sharding
 from quillmark.llm.common import table
 
+SHARD_BYTES = 1 << 20
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix_sources(table(spark, sf_dir, "documents")))
+
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return shards.select("doc_id", "n_bytes", "shard_id", "shard_depth", "shard_bytes", "shard_docs", "oversized")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op4_secret_scan": op4_secret_scan,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": line_dedup.ORACLE,
+    "op10_sharding": sharding.oracle(SHARD_BYTES),
+}
