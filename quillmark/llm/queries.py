@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmark.llm import line_dedup, mixing, secret_scan, sharding
+from quillmark.llm import language, line_dedup, mixing, quality, secret_scan, sharding
 from quillmark.llm.common import table
 
 SHARD_BYTES = 1 << 20
@@ -20,6 +21,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, third = table(spark, sf_dir, "documents"), quality.fold(F.col("doc_id"), 3)
+    out = language.label_languages(docs, learn=third != 1)
+    return out.select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, quarter = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.fold(F.col("doc_id"), 4)
+    out = quality.score_quality(docs, labels, learn=quarter != 2)
+    return out.select("doc_id", (quarter == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
@@ -32,6 +45,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_secret_scan": op4_secret_scan,
+    "op5_language_id": op5_language_id,
+    "op7_quality": op7_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
