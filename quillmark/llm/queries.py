@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import language, line_dedup, mixing, quality, secret_scan, sharding
+from quillmark.llm import decontaminate, language, line_dedup, minhash, mixing, quality, secret_scan, sharding
 from quillmark.llm.common import table
 
 SHARD_BYTES = 1 << 20
@@ -17,6 +17,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -27,6 +31,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, quarter = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.fold(F.col("doc_id"), 4)
     out = quality.score_quality(docs, labels, learn=quarter != 2)
@@ -44,8 +53,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_minhash": op3_minhash,
     "op4_secret_scan": op4_secret_scan,
     "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
