@@ -156,7 +156,7 @@ def _slices(texts: list[str | None], chars: int = 600_000) -> Iterator[tuple[int
 
 
 def _digest_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """id, t1, t2 (hashes of the word sequence; null without a word), bands (null under five words), sig."""
+    """id, t1, t2 (hashes of the word sequence; null without a word), bands (null under five words)."""
     for pdf in batches:
         texts = list(pdf["text"])
         for lo, hi in _slices(texts):
@@ -175,14 +175,12 @@ def _digest_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sig = signatures(d, e, n)
             keys = band_keys(sig)
             has = np.bincount(d, minlength=n) > 0
-            small = (sig >> np.uint64(32)).astype(np.uint32)
             yield pd.DataFrame(
                 {
                     "id": pdf["id"].iloc[lo:hi].to_numpy(),
                     "t1": pd.arrays.IntegerArray(t1.view(np.int64), count == 0),
                     "t2": t2.view(np.int64),
                     "bands": [k if ok else None for k, ok in zip(keys, has, strict=True)],
-                    "sig": [s.tobytes() if ok else None for s, ok in zip(small, has, strict=True)],
                 }
             )
 
@@ -219,46 +217,53 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return full.mapInPandas(run, "a long, b long")
 
 
-def _crowd_pairs(rows: DataFrame, forest: bool, estimate: float, chunk: int = 1024) -> DataFrame:
-    """Pairs from large buckets, compared by signature in blocks of two chunks; rows ``key, n, id, comp, sig``.
+def _crowd_links(rows: DataFrame, similarity: float, chunk: int = 512) -> DataFrame:
+    """Links within crowded buckets, found in blocks of two chunks; rows ``key, n, id, comp, set``.
 
-    Only pairs of different components whose signatures agree well enough come out; with
-    ``forest`` only a spanning forest of the best, so that a bucket yields fewer pairs
-    than it has rows.
+    A block inverts its documents' pieces once and takes exact similarities from that.
+    Only links between components come out, and of those a spanning forest, so that a
+    block yields fewer rows than it has documents.
     """
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
         ids, comp = pdf["id"].to_numpy(), pdf["comp"].to_numpy()
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
-        best: list[tuple[float, int, int]] = []
-        for i in range(len(ids) - 1):
-            agree = (sig[i + 1 :] == sig[i]).mean(axis=1)
-            js = np.flatnonzero((agree >= estimate) & (comp[i + 1 :] != comp[i]))
-            best += [(float(agree[j]), i, i + 1 + int(j)) for j in js]
-        if forest:
-            root = {int(c): int(c) for c in comp}
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            kept = []
-            for s, i, j in sorted(best, key=lambda t: (-t[0], t[1], t[2])):
-                a, b = find(int(comp[i])), find(int(comp[j]))
-                if a != b:
-                    root[b] = a
-                    kept.append((s, i, j))
-            best = kept
-        return pd.DataFrame({"a": [ids[i] for _, i, _ in best], "b": [ids[j] for _, _, j in best]}, dtype="int64")
+        root = {int(c): int(c) for c in comp}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out: list[tuple[int, int]] = []
+        if len(root) > 1:
+            sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+            size = np.array([len(x) for x in sets])
+            owner = np.repeat(np.arange(len(sets)), size)
+            _, piece = np.unique(np.concatenate(sets), return_inverse=True)
+            order = np.argsort(piece, kind="stable")
+            holders, bounds = owner[order], np.concatenate([[0], np.cumsum(np.bincount(piece))])
+            ends = np.cumsum(size)
+            names, counts = np.unique(comp, return_counts=True)
+            largest = names[counts.argmax()]
+            for i in np.flatnonzero(comp != largest):
+                mine = piece[ends[i] - size[i] : ends[i]]
+                lens = bounds[mine + 1] - bounds[mine]
+                at = np.repeat(bounds[mine], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+                common = np.bincount(holders[at], minlength=len(sets))
+                for j in np.flatnonzero((common >= similarity * (size + size[i] - common)) & (comp != comp[i])):
+                    x, y = find(int(comp[i])), find(int(comp[j]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        out.append((ids[i], ids[j]))
+        return pd.DataFrame({"a": [x for x, _ in out], "b": [y for _, y in out]}, dtype="int64")
 
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
     dealt = rows.withColumn("c", chunks).withColumn("m", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    dealt = dealt.withColumn("p", F.least("m", "o")).withColumn("q", F.greatest("m", "o"))
-    return dealt.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long")
+    dealt = dealt.select("key", F.least("m", "o").alias("p"), F.greatest("m", "o").alias("q"), "id", "comp", "set")
+    return dealt.groupBy("key", "p", "q").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, crowd: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,40 +278,39 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, crowd: int = 48, i
     null id is its own class, kept. Other columns are ignored.
 
     Copies are collapsed before any signature meets another. Links are verified first
-    along stars (every document against the smallest of its bucket); only buckets that
-    still hold more than one component are searched further: small ones pair by pair,
-    crowded ones in blocks that compare signatures, first for a spanning forest of the
-    best pairs and then for all that are left. No link between documents that share a
-    bucket is lost, and a bucket whose documents all link costs no more than its rows.
+    along stars: every document against the hub of its buckets, the one whose buckets
+    hold the most documents, as an original's do among its edited copies. Only buckets
+    that then still hold more than one component are searched further: small ones pair
+    by pair, crowded ones in blocks that hand on a spanning forest of the links found.
+    Pairs within a component are never formed.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = settle(rows.where("id IS NOT NULL").mapInPandas(_digest_rows, "id long, t1 long, t2 long, bands array<long>, sig binary"))
+    marks = settle(rows.where("id IS NOT NULL").mapInPandas(_digest_rows, "id long, t1 long, t2 long, bands array<long>"))
     worded = marks.where("t1 IS NOT NULL")
     heads = worded.groupBy("t1", "t2").agg(F.min("id").alias("head"))
-    lead = settle(worded.where("bands IS NOT NULL").join(heads, ["t1", "t2"]).where("id = head").select("id", "bands", "sig").dropDuplicates(["id"]))
+    lead = settle(worded.where("bands IS NOT NULL").join(heads, ["t1", "t2"]).where("id = head").select("id", "bands").dropDuplicates(["id"]))
     spread = lead.select("id", F.explode("bands").alias("key"))
-    stars = spread.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = settle(spread.join(stars, "key"))
-    wanted = shared.select("id").distinct()
-    sets = settle(rows.join(wanted, "id", "left_semi").mapInPandas(_piece_rows, "id long, set binary").dropDuplicates(["id"]))
-    first = shared.where("id <> low").groupBy("id").agg(F.min("low").alias("low")).select(F.col("low").alias("a"), F.col("id").alias("b"))
-    links = cut(_verify(first, sets, similarity))
-    estimate = similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDS)
-    for forest in (True, False):
-        comp = components(links)
-        here = shared.join(comp, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("comp"))
-        open_keys = here.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-        here = settle(here.join(open_keys, "key", "left_semi"))
-        crowded = here.where(F.col("n") > crowd).join(lead.select("id", "sig"), "id")
-        pairs = _crowd_pairs(crowded, forest, estimate)
-        if forest:
-            few = here.where(F.col("n") <= crowd)
-            other = few.select("key", F.col("id").alias("b"), F.col("comp").alias("comp2"))
-            pairs = pairs.unionByName(few.join(other, "key").where("id < b AND comp <> comp2").select(F.col("id").alias("a"), "b"))
-        found = _verify(pairs.distinct(), sets, similarity)
-        links = cut(links.unionByName(found))
-        drop_settled(spark, here)
+    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = settle(spread.join(sizes, "key"))
+    # the hub of a bucket: whose buckets hold the most documents, as an original's do among its edited copies
+    fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
+    famed = shared.select("key", "id").join(fame, "id")
+    hubs = famed.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("neg"))).alias("hub"))
+    mine = shared.select("key", "id").join(hubs, "key").groupBy("id").agg((-F.max("hub")["neg"]).alias("hub")).where("id <> hub")
+    stars = mine.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    sets = settle(rows.join(fame.select("id"), "id", "left_semi").mapInPandas(_piece_rows, "id long, set binary").dropDuplicates(["id"]))
+    links = cut(_verify(stars, sets, similarity))
+    comp = components(links)
+    here = shared.join(comp, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("comp"))
+    open_keys = here.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    here = settle(here.join(open_keys, "key", "left_semi"))
+    crowded = _crowd_links(here.where(F.col("n") > crowd).join(sets, "id"), similarity)
+    few = here.where(F.col("n") <= crowd)
+    other = few.select("key", F.col("id").alias("b"), F.col("comp").alias("comp2"))
+    pairs = few.join(other, "key").where("id < b AND comp <> comp2").select(F.col("id").alias("a"), "b").distinct()
+    links = cut(links.unionByName(_verify(pairs, sets, similarity)).unionByName(crowded))
+    drop_settled(spark, here)
     comp = components(links)
     drop_settled(spark, shared, sets, lead)
     heads = heads.join(comp.withColumnRenamed("id", "head"), "head", "left").select("t1", "t2", F.coalesce("component", "head").alias("c"))

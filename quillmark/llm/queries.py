@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontaminate, language, line_dedup, minhash, mixing, quality, secret_scan, sharding
+from quillmark.llm import decontaminate, language, line_dedup, minhash, mixing, quality, secret_scan, sharding, substring_dedup
 from quillmark.llm.common import table
 
 SHARD_BYTES = 1 << 20
@@ -42,6 +42,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quarter == 2).alias("held_out"), "score", "predicted")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
