@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontaminate, language, line_dedup, minhash, mixing, quality, secret_scan, sharding, substring_dedup
+from quillmark.llm import decontaminate, embedding_dedup, language, line_dedup, minhash, mixing, quality, secret_scan, sharding, substring_dedup
 from quillmark.llm.common import table
 
 SHARD_BYTES = 1 << 20
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
@@ -56,6 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mixing": op2_mixing,
     "op3_minhash": op3_minhash,
     "op4_secret_scan": op4_secret_scan,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_sharding": sharding.oracle(SHARD_BYTES),
 }
