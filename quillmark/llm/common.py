@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,8 +41,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def drop_settled(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files of settled frames that no later plan reads."""
+    """Delete the files of settled frames that no later plan reads, and let Spark's cleaner drop shuffles that nothing refers to."""
     jvm = spark.sparkContext._jvm
+    gc.collect()
+    jvm.System.gc()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for frame in frames:
         for path in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:

@@ -17,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import drop_settled, settle
 
 GRAM = 32
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]  # one for each word of a gram
 _POS_BITS = 23
 _LOW = np.uint64((1 << _POS_BITS) - 1)
 
@@ -111,34 +112,76 @@ def _hash_rows(window: int):
     return run
 
 
-_CONTEXT = "h long, doc long, at long, back int, ahead int, bytes binary"
+_PACK = pa.schema([("h", pa.uint64()), ("doc", pa.int64()), ("at", pa.int64()), ("back", pa.uint8()), ("ahead", pa.uint8()), ("bytes", pa.binary())])
+_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def _context_rows(window: int, shared, bits: int, passes: int, nth: int):
-    """Anchors that the filter knows, with the bytes of all windows that pick them."""
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _PACK, options=_ZSTD) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(bodies: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in bodies]).combine_chunks()
+
+
+def _in_filter(known: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    spot = h % np.uint64(bits)
+    return ((known[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _context_rows(window: int, shared, passes: int, nth: int, shards: int, salts: int, pack_rows: int = 120_000):
+    """Anchors that the filter knows, with the bytes of all windows that pick them: packed by shard, a compressed table a row.
+
+    ``shared`` holds (bytes, bits) of the filter and of the filter of crowded anchors,
+    whose contexts are dealt over ``salts`` further shards (salt 0: not crowded).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shared.value, np.uint8)
+        (known, bits), (crowd, crowd_bits) = ((np.frombuffer(b, np.uint8), n) for b, n in shared.value)
+        held: list[pa.Table] = []
+        count = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, count
+            table = pa.concat_tables(held)
+            held, count = [], 0
+            h = table["h"].to_numpy()
+            shard = (h // np.uint64(7) % np.uint64(shards)).astype(np.int64)
+            place = (table["doc"].to_numpy().astype(np.uint64) * _M[0] + table["at"].to_numpy().astype(np.uint64)) * _M[1]
+            salt = np.where(_in_filter(crowd, crowd_bits, h), 1 + ((place >> np.uint64(33)) % np.uint64(salts)).astype(np.int64), 0)
+            group = shard * (salts + 1) + salt
+            order = np.lexsort((h, group))
+            table = table.take(pa.array(order)).combine_chunks()
+            edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+            keys = group[order][edges[:-1]]
+            bodies = [_packed(table.slice(lo, hi - lo)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(keys // (salts + 1)), pa.array(keys % (salts + 1)), pa.array(bodies, pa.binary())], ["shard", "salt", "body"])
+
         for batch in batches:
             for ids, texts in _batches(batch):
                 doc, h, at, first, last, offset, code = anchors(texts, window)
-                spot = h % np.uint64(bits)
-                hit = (known[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1
-                keep = hit.astype(bool)
+                keep = _in_filter(known, bits, h)
                 if passes > 1:
                     keep &= _slice_of(h, passes) == nth
+                if not keep.any():
+                    continue
                 doc, h, at, first, last = doc[keep], h[keep], at[keep], first[keep], last[keep]
                 size = last + window - first
                 index = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                data = code[index] if len(index) else np.zeros(0, np.uint8)
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+                body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(code[index].tobytes())])
                 name = np.array([i for i, _ in ids], np.int64)
                 base = np.array([lo for _, lo in ids], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(name[doc]), pa.array(at - offset[doc] + base[doc]), pa.array((at - first).astype(np.int32)), pa.array((last + window - at).astype(np.int32)), body],
-                    ["h", "doc", "at", "back", "ahead", "bytes"],
-                )
+                columns = [h, name[doc], at - offset[doc] + base[doc], (at - first).astype(np.uint8), (last + window - at).astype(np.uint8)]
+                held.append(pa.Table.from_arrays([*map(pa.array, columns), body], schema=_PACK))
+                count += len(h)
+                if count >= pack_rows:
+                    yield flush()
+        if count:
+            yield flush()
 
     return run
 
@@ -196,26 +239,34 @@ def repeats(table: dict[str, np.ndarray], window: int) -> np.ndarray:
     return out
 
 
-def _shard(window: int, rest: bool):
-    """Spans of repeats within a shard; with ``rest``, instead the contexts that still hold a first window."""
+_FOUND = pa.schema([("doc", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int64()), ("body", pa.binary())])
+_FOUND_DDL = "doc long, a long, b long, shard long, body binary"
 
-    def run(table: pa.Table) -> pa.Table:
+
+def _resolve(window: int):
+    """Spans of repeats within a shard and, of a salted one, a packed row of the contexts that still hold a first window."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        table = _unpacked(rows["body"].to_pylist())
         table = table.sort_by([("doc", "ascending"), ("at", "ascending")]).combine_chunks()
-        body = table["bytes"].chunk(0) if table["bytes"].num_chunks else pa.array([], pa.binary())
+        body = table["bytes"].chunk(0)
         _, offsets, data = body.buffers()
         start = np.frombuffer(offsets, np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
-        rows = {c: table[c].to_numpy() for c in ("h", "doc", "at", "back", "ahead")}
-        rows |= {"start": start[:-1], "data": np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)}
-        found = repeats(rows, window)
-        if rest:
-            x = np.arange(found.shape[1])[None, :]
-            mine = (x <= rows["back"][:, None]) & (x >= window - rows["ahead"][:, None])
-            return table.filter(pa.array((mine & ~found).any(axis=1))).select(["h", "doc", "at", "back", "ahead", "bytes"])
+        cols = {c: table[c].to_numpy() for c in ("h", "doc", "at", "back", "ahead")}
+        found = repeats(cols | {"start": start[:-1], "data": np.frombuffer(data, np.uint8)}, window)
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, near = np.nonzero(edge == 1)
         _, far = np.nonzero(edge == -1)
-        at = rows["at"][row]
-        return pa.table({"doc": rows["doc"][row], "a": at - (far - 1), "b": at - near + window})
+        at = cols["at"][row]
+        none = pa.nulls(len(row), pa.int64())
+        out = pa.Table.from_arrays([pa.array(cols["doc"][row]), pa.array(at - (far - 1)), pa.array(at - near + window), none, pa.nulls(len(row), pa.binary())], schema=_FOUND)
+        if rows["salt"][0].as_py():
+            x = np.arange(found.shape[1])[None, :]
+            mine = (x <= cols["back"][:, None].astype(int)) & (x >= window - cols["ahead"][:, None].astype(int))
+            first = table.filter(pa.array((mine & ~found).any(axis=1)))
+            null = pa.nulls(1, pa.int64())
+            out = pa.concat_tables([out, pa.Table.from_arrays([null, null, null, pa.array([rows["shard"][0].as_py()]), pa.array([_packed(first)], pa.binary())], schema=_FOUND)])
+        return out
 
     return run
 
@@ -233,35 +284,29 @@ def repeated_spans(docs: DataFrame, window: int = 100, shard_rows: int = 40_000,
     counts = docs.mapInArrow(_hash_rows(window), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = settle(counts)
     distinct, total, most = counts.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
-    spans: DataFrame | None = None
     passes = max(1, math.ceil(distinct / filter_keys))
+    shards, salts = max(1, math.ceil((total or 0) / passes / shard_rows)), max(1, math.ceil(2 * (most or 0) / shard_rows))
+    crowded = counts.where(F.col("n") > shard_rows)
+    spans: DataFrame | None = None
     for nth in range(passes if distinct else 0):
-        bits = 1 << max(20, math.ceil(math.log2(16 * max(1, distinct / passes))))
-        shared = spark.sparkContext.broadcast(_bit_filter(counts, bits, passes, nth))
-        rows = docs.mapInArrow(_context_rows(window, shared, bits, passes, nth), _CONTEXT)
-        shards = max(1, math.ceil(total / passes / shard_rows))
-        rows = rows.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+        shared = spark.sparkContext.broadcast([_bit_filter(counts, distinct, passes, nth), _bit_filter(crowded, min(distinct, (total or 0) // shard_rows), passes, nth)])
+        packed = docs.mapInArrow(_context_rows(window, shared, passes, nth, shards, salts), "shard long, salt long, body binary")
+        found = settle(packed.groupBy("shard", "salt").applyInArrow(_resolve(window), _FOUND_DDL))
+        here = found.where("doc IS NOT NULL").select("doc", "a", "b")
         if most > shard_rows:
-            salt = F.pmod(F.xxhash64(F.lit(1), "doc", "at"), F.lit(math.ceil(most / shard_rows) * 2))
-            spans_here = rows.groupBy("shard", salt).applyInArrow(_shard(window, False), "doc long, a long, b long")
-            firsts = rows.groupBy("shard", salt).applyInArrow(_shard(window, True), _CONTEXT)
-            firsts = firsts.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-            found = spans_here.unionByName(firsts.groupBy("shard").applyInArrow(_shard(window, False), "doc long, a long, b long"))
-        else:
-            found = rows.groupBy("shard").applyInArrow(_shard(window, False), "doc long, a long, b long")
-        spans = found if spans is None else spans.unionByName(found)
-    if spans is None:
-        return spark.createDataFrame([], "doc long, a long, b long")
-    spans = settle(spans)
+            firsts = found.where("body IS NOT NULL").select("shard", F.lit(0).cast("long").alias("salt"), "body")
+            here = here.unionByName(firsts.groupBy("shard").applyInArrow(_resolve(window), _FOUND_DDL).select("doc", "a", "b"))
+        spans = here if spans is None else spans.unionByName(here)
     drop_settled(spark, counts)
-    return spans
+    return spans if spans is not None else spark.createDataFrame([], "doc long, a long, b long")
 
 
 _CHUNK = 1 << 22  # bits
 
 
-def _bit_filter(counts: DataFrame, bits: int, passes: int, nth: int) -> bytes:
-    """The filter's bytes, set in parallel chunk by chunk; at most 2 bytes for each of ``filter_keys``."""
+def _bit_filter(counts: DataFrame, keys: int, passes: int, nth: int) -> tuple[bytes, int]:
+    """A filter's bytes and bits, set in parallel chunk by chunk: at most 4 bytes for each of ``filter_keys``."""
+    bits = 1 << max(20, math.ceil(math.log2(16 * max(1, keys / passes))))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +326,7 @@ def _bit_filter(counts: DataFrame, bits: int, passes: int, nth: int) -> bytes:
     for r in chunks.toLocalIterator():
         at = r["chunk"] * _CHUNK // 8
         out[at : at + _CHUNK // 8] = r["body"]
-    return bytes(out)
+    return bytes(out), bits
 
 
 def dedup_substrings(docs: DataFrame, window: int = 100) -> DataFrame:
@@ -302,8 +347,8 @@ def dedup_substrings(docs: DataFrame, window: int = 100) -> DataFrame:
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, runs, kept = [], [], [], []
-            for text, raw in zip(batch.column("text"), batch.column("raw").to_pylist(), strict=True):
-                data = text.as_py().encode("utf-8", "surrogatepass") if text.is_valid else b""
+            for body, raw in zip(batch.column("body").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+                data = zstandard.decompress(body) if body is not None else b""
                 merged: list[list[int]] = []
                 for s in raw or ():
                     if merged and s["a"] <= merged[-1][1]:
@@ -322,7 +367,14 @@ def dedup_substrings(docs: DataFrame, window: int = 100) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    full = docs.join(spans, docs["doc_id"] == spans["doc"], "left").select("doc_id", "text", "raw")
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            body = [press.compress(t.as_py().encode("utf-8", "surrogatepass")) if t.is_valid else None for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, pa.binary())], ["doc_id", "body"])
+
+    squeezed = docs.mapInArrow(squeeze, "doc_id long, body binary")  # texts are shuffled once, compressed
+    full = squeezed.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "body", "raw")
     return full.mapInArrow(rewrite, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
 
