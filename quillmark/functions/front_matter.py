@@ -12,10 +12,11 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _BLOCK = r"(?s)\A\x{FEFF}?---[ \t]*\r?\n(.*?\n)?---[ \t]*(?:\r?\n|\z)"
 SCALARS = ("okf_version", "uid", "title", "type", "created_at", "updated_at", "sensitivity", "epistemic_state", "confidence", "authorship_origin", "author_id", "source_type")
-FIELDS = ", ".join([f"{k}: string" for k in SCALARS] + ["tags: array<string>", "handling: array<string>"])
+FIELDS = ", ".join([f"{k} string" for k in SCALARS] + ["tags array<string>", "handling array<string>"])
 
 
 def has_front_matter(content: Column) -> Column:
@@ -87,7 +88,7 @@ def _fields(block: str) -> dict | None:
     return {k: text(scalar.get(k, doc.get(k))) or None for k in SCALARS} | {"tags": items(doc.get("tags")), "handling": items(nested.get("handling")) if isinstance(nested, dict) else []}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _yaml_json(blocks: pd.Series) -> pd.Series:
     return blocks.map(lambda b: None if b is None or (f := _fields(b)) is None else json.dumps(f), na_action=None)
 
