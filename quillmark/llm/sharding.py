@@ -35,16 +35,13 @@ def _summed(rows: DataFrame, bits: int) -> DataFrame:
 
 def _split(cells: DataFrame, bits: int, base: int, max_bytes: int) -> tuple[DataFrame, DataFrame]:
     """From sums at ``bits``: the buckets that fit, each at its shallowest depth from ``base`` on, and the prefixes that don't."""
-    found: DataFrame | None = None
-    for depth in range(base, bits + 1):
-        at = F.shiftright("p", bits - depth)
-        buckets = cells.groupBy(at.alias("q")).agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        fits = (F.col("shard_bytes") <= max_bytes) | (F.col("lo") == F.col("hi"))
-        done = buckets.where(fits).select(F.lit(depth).alias("depth"), "q", "shard_bytes", "shard_docs")
-        found = done if found is None else found.unionByName(done)
-        wide = buckets.where(~fits).select("q")
-        cells = cells.join(wide, at == F.col("q"), "left_semi")
-    return cut(found), cut(cells.select("p"))
+    levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(base), F.lit(bits)))).withColumn("q", F.expr(f"shiftright(p, {bits} - depth)"))
+    buckets = levels.groupBy("depth", "q").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    buckets = cut(buckets.withColumn("fits", (F.col("shard_bytes") <= max_bytes) | (F.col("lo") == F.col("hi"))))
+    split = buckets.where("NOT fits").select((F.col("depth") + 1).alias("depth"), F.col("q").alias("parent"))
+    fit = buckets.where("fits").withColumn("parent", F.shiftright("q", 1))
+    found = fit.where(F.col("depth") == base).unionByName(fit.where(F.col("depth") > base).join(split, ["depth", "parent"], "left_semi"))
+    return found.select("depth", "q", "shard_bytes", "shard_docs"), buckets.where(f"NOT fits AND depth = {bits}").select(F.col("q").alias("p"))
 
 
 def build_directory(docs: DataFrame, max_bytes: int) -> DataFrame:
@@ -57,7 +54,7 @@ def build_directory(docs: DataFrame, max_bytes: int) -> DataFrame:
         directory = found if directory is None else directory.unionByName(found)
         if bits == HASH_BITS or wide.isEmpty():
             return directory
-        docs = docs.join(wide, _prefix(F.col("h"), bits) == F.col("p"), "left_semi")
+        docs = docs.join(cut(wide), _prefix(F.col("h"), bits) == F.col("p"), "left_semi")
         base, bits = bits + 1, min(HASH_BITS, bits + _FINE)
 
 
@@ -77,7 +74,7 @@ def shard_by_bytes(docs: DataFrame, max_bytes: int = 64 << 20, key: str = "doc_i
     docs = docs.drop(*names).withColumn("n_bytes", F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")))
     keep = docs.columns
     docs = docs.withColumn("__h", _hash(F.col(key)))
-    directory = build_directory(docs.select(F.col("__h").alias("h"), F.col("n_bytes").alias("b")), max_bytes)
+    directory = cut(build_directory(docs.select(F.col("__h").alias("h"), F.col("n_bytes").alias("b")), max_bytes))
     top = directory.agg(F.min("depth")).first()[0] or 0
     packed = directory.groupBy(F.expr(f"shiftright(q, depth - {top})").alias("__p"))
     packed = packed.agg(F.collect_list(F.struct("depth", "q", "shard_bytes", "shard_docs")).alias("__dir"))
