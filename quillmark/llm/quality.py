@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, features: int = 384, ridge: float = 1.0, width: flo
     What reaches the driver: one row of moments, ``features + 1`` rows of summed normal
     equations, ``bins`` rows of score sums, whatever the number of rows.
     """
-    labelled = labelled.repartition(parts, "doc_id")
+    labelled = labelled.repartition(parts)  # a bounded sample; as many summed equations are shuffled
     k = len(STATS)
     sums = labelled.agg(F.count(F.lit(1)), *[F.avg(F.col("x")[i]) for i in range(k)], *[F.stddev_pop(F.col("x")[i]) for i in range(k)]).first()
     if not sums[0]:
