@@ -83,7 +83,7 @@ def anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     return doc, h[at], at, first, last, offset, code
 
 
-def _batches(batch: pa.RecordBatch, chars: int = 3_000_000) -> Iterator[tuple[list, list[bytes]]]:
+def _batches(batch: pa.RecordBatch, chars: int = 1_500_000) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and bytes of a few MB of texts at a time; a text longer than that comes alone (up to 8 MB, see _POS_BITS)."""
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -132,7 +132,7 @@ def _in_filter(known: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     return ((known[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _context_rows(window: int, shared, passes: int, nth: int, shards: int, salts: int, pack_rows: int = 120_000):
+def _context_rows(window: int, shared, passes: int, nth: int, shards: int, salts: int, pack_rows: int = 80_000):
     """Anchors that the filter knows, with the bytes of all windows that pick them: packed by shard, a compressed table a row.
 
     ``shared`` holds (bytes, bits) of the filter and of the filter of crowded anchors,
@@ -271,7 +271,7 @@ def _resolve(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 100, shard_rows: int = 40_000, filter_keys: int = 16_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 100, shard_rows: int = 20_000, filter_keys: int = 16_000_000) -> DataFrame:
     """Rows ``(doc, a, b)``: byte spans covered by windows that occur earlier; spans may overlap.
 
     Anchor hashes are counted first. Those that occur twice or more go into a bit filter
