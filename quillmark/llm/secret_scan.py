@@ -2,8 +2,8 @@
 
 Base kinds are plain patterns. The added kinds are reported only after their bytes
 have been decoded and parsed: PEM and bare DER keys by their nested lengths, OpenSSH
-keys by their length-prefixed fields, signed tokens by their JSON header, and encoded
-text by what it holds once decoded.
+keys by their length-prefixed fields, signed tokens by their JSON header, and base64 or
+hex text by the secret that it holds once decoded.
 """
 
 from __future__ import annotations
@@ -25,11 +25,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
-_DER64 = re.compile(r"(?<![A-Za-z0-9+/_=-])M[A-P][A-Za-z0-9+/_-]{38,}={0,2}")
+_DER64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{38,}={0,2}")
 _DERHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
-_SSH64 = re.compile(r"(?<![A-Za-z0-9+/_=-])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{40,}={0,2}")
+_SSH64 = re.compile(r"(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{40,}={0,2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])ey[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_ENC64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_ENC64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_ENCHEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}")
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
 
@@ -121,11 +122,25 @@ def is_signed_token(text: str) -> bool:
     return header["alg"].lower() == "none" or len(unbase64(seal) or b"") >= 16
 
 
+def _pem(text: str) -> list[tuple[str, int, int]]:
+    """Armoured keys whose body parses; an encrypted body, which can't, must at least decode."""
+    found = []
+    for m in _PEM.finditer(text) if "-----BEGIN " in text else ():
+        lines = [x for x in m[2].replace("\\n", "\n").split("\n") if ":" not in x]
+        data = unbase64(re.sub(r"\s+", "", "".join(lines)))
+        locked = "ENCRYPTED" in m[2] and data is not None and len(data) >= 64
+        if locked or (is_ssh_key(data) if m[1].startswith("OPENSSH") else is_der_key(data)):
+            found.append(("pem", *m.span()))
+    return found
+
+
 def _holds_secret(data: bytes | None) -> bool:
     if not data or not all(32 <= c < 127 or c in (9, 10, 13) for c in data):
         return False
     text = data.decode("ascii")
-    return bool(_ACCESS.search(text)) or any(len(m[2]) >= 8 for m in _ASSIGN.finditer(text)) or bool(_PEM.search(text))
+    if _ACCESS.search(text) or any(len(m[2]) >= 8 for m in _ASSIGN.finditer(text)):
+        return True
+    return any(is_signed_token(m[0]) for m in _JWT.finditer(text)) or bool(_pem(text))
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
@@ -137,13 +152,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            lines = [x for x in m[2].replace("\\n", "\n").split("\n") if ":" not in x]
-            data = unbase64(re.sub(r"\s+", "", "".join(lines)))
-            locked = "ENCRYPTED" in m[2] and data is not None and len(data) >= 64
-            if locked or (is_ssh_key(data) if m[1].startswith("OPENSSH") else is_der_key(data)):
-                found.append(("pem", *m.span()))
+    found += _pem(text)
     keys = [m for m in _DER64.finditer(text) if is_der_key(unbase64(m[0]))]
     hexes = [m for m in _DERHEX.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
     found += [("der", *m.span()) for m in keys + hexes]
@@ -152,6 +161,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "ey" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     found += [("enc", *m.span()) for m in _ENC64.finditer(text) if _holds_secret(unbase64(m[0]))]
+    found += [("enc", *m.span()) for m in _ENCHEX.finditer(text) if len(m[0]) % 2 == 0 and _holds_secret(bytes.fromhex(m[0]))]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
