@@ -97,6 +97,10 @@ class Shard:
     """One shard: the perfect hash and the arrays that its slots lead to."""
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, count: np.ndarray, last: np.ndarray):
+        _, first = np.unique(h1, return_index=True)
+        later = np.setdiff1d(np.arange(len(h1)), first)  # distinct lines of one first hash, next to never: kept aside by both hashes
+        self.twins = {(int(a), int(b)): int(d) for a, b, d in zip(h1[later], h2[later], last[later], strict=True)}
+        h1, h2, count, last = h1[first], h2[first], count[first], last[first]
         self.hash = PerfectHash(h1)
         at = self.hash.slots(h1)
         self.finger, self.count, self.last = np.zeros(self.hash.n, np.uint64), np.zeros(self.hash.n, np.int32), np.zeros(self.hash.n, np.int64)
@@ -106,7 +110,11 @@ class Shard:
         """(is a repeated line, its largest document)"""
         at = self.hash.slots(h1)
         known = (at >= 0) & (self.finger[at] == h2)
-        return known, np.where(known, self.last[at], 0)
+        doc = np.where(known, self.last[at], 0)
+        for i, pair in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)) if self.twins else ():
+            if pair in self.twins:
+                known[i], doc[i] = True, self.twins[pair]
+        return known, doc
 
 
 def _count_lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -136,8 +144,6 @@ def _shards(hot: DataFrame, shards: int) -> DataFrame:
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         h1 = pdf["h1"].to_numpy(np.int64).view(np.uint64)
-        if len(np.unique(h1)) < len(h1):  # two keys of one first hash: keep both by chaining to the second
-            raise ValueError("two distinct lines share a 64-bit hash")
         made = Shard(h1, pdf["h2"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64), pdf["last"].to_numpy(np.int64))
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "body": [pickle.dumps(made, protocol=5)]})
 
