@@ -51,7 +51,7 @@ class Words:
 def featurize(texts: list[str]) -> Words:
     """Letters' runs of the lower-cased texts. Each word gets bigrams and trigrams with its
     borders, which hold affixes of one and two letters, and affixes of three letters."""
-    joined = "\x00".join(texts).lower() if texts else ""
+    joined = "\x00".join(t.replace("\x00", " ") for t in texts).lower()
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     doc_at = np.cumsum(code == 0)
     letter = _alpha()[code]
@@ -247,7 +247,7 @@ def train(sample: pd.DataFrame, epochs: int = 6, batch: int = 64, rate: float =
 
 def _shares(crf: Crf, texts: list[str | None]) -> np.ndarray:
     """Expected share of words in each language; NaN for texts without a letter."""
-    words = featurize([(t or "").replace("\x00", " ") for t in texts])
+    words = featurize([t or "" for t in texts])
     sizes = np.bincount(words.doc, minlength=len(texts)) if len(words.doc) else np.zeros(len(texts), np.int64)
     out = np.full((len(texts), len(crf.langs)), np.nan)
     full = np.flatnonzero(sizes > 0)
