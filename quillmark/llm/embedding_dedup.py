@@ -208,8 +208,8 @@ def link_embeddings(vectors: DataFrame, cosine: float = 0.93, leading: int = 6,
         base[r["part"]], total = total, total + r["k"]
     if not total:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    offsets = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
-    blocks = blocks.withColumn("no", offsets[F.col("part")] + F.col("nth"))
+    offsets = heads.sparkSession.createDataFrame(list(base.items()), "part int, base long")
+    blocks = blocks.join(offsets, "part").withColumn("no", F.col("base") + F.col("nth"))
     pairs = _block_pairs(blocks, eps, leading)
 
     def side(s: str) -> DataFrame:
