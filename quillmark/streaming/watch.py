@@ -31,21 +31,28 @@ def watch(spark: SparkSession, folder: str, on_change: Callable[[DataFrame, Data
     """Starts a query that calls ``on_change(changes, notes, batch_id)`` whenever notes change.
 
     Snapshots are kept as Parquet in ``state_dir``, a folder that all executors share,
-    one for each batch, so a restart goes on from the last one that was finished.
+    one for each batch, so a restart goes on from the last one that was finished. A batch
+    that fails is repeated against the same earlier snapshot; older ones are deleted.
     """
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    seen: dict[str, str] = {}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def place(batch: int):
+        where = jvm.org.apache.hadoop.fs.Path(f"{state_dir.rstrip('/')}/snapshot-{batch}")
+        return where.getFileSystem(conf), where
 
     def step(_: DataFrame, batch: int) -> None:
         notes = read_notes(spark, folder)
         path = f"{state_dir.rstrip('/')}/snapshot-{batch}"
         snapshot(notes).write.mode("overwrite").parquet(path)
         now = spark.read.parquet(path)
-        last = spark.read.parquet(seen["path"]) if seen else now.limit(0)
+        files, before = place(batch - 1)
+        last = spark.read.parquet(before.toString()) if files.exists(before) else now.limit(0)
         delta = changes(last, now)
         if not delta.isEmpty():
             on_change(delta, notes, batch)
-        seen["path"] = path
+        files, old = place(batch - 2)
+        files.delete(old, True)
 
     return ticks.writeStream.foreachBatch(step).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", f"{state_dir.rstrip('/')}/checkpoint").start()
 

@@ -21,6 +21,8 @@ TASKS = {
 LOOPBACK_HOSTS = ("127.0.0.1", "localhost", "[::1]")
 DEFAULT_PORT = 4814
 SUPERVISOR_STATES = ("stopped", "indexing", "serving", "error")
+MAX_RESTARTS = 3
+BACKOFF_MS = 500
 
 # Codes that the format leaves open; ours.
 SENSITIVITY_INVALID = "OKF-SENSITIVITY-002"
