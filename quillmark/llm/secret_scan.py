@@ -13,7 +13,7 @@ import binascii
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,6 +166,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
 
 
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
+_SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,11 +179,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "spans": spans})
+            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t.as_py())] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, _SPAN_TYPE)], ["id", "spans"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, spans {_SPANS}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, spans {_SPANS}").withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame) -> DataFrame:
