@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -286,10 +287,10 @@ def label_languages(docs: DataFrame, learn=None, per_lang: int = 600, window_wor
     shared = docs.sparkSession.sparkContext.broadcast(crf)  # 65,536 buckets x languages: fixed size
     kind = dict(docs.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for pdf in batches:
-            texts, lo = list(pdf["text"]), 0
+        for batch in batches:
+            texts, lo = batch.column("text").to_pylist(), 0
             pred, score = [], []
             while lo < len(texts):  # about a million characters at a time
                 hi, chars = lo, 0
@@ -302,6 +303,6 @@ def label_languages(docs: DataFrame, learn=None, per_lang: int = 600, window_wor
                     pred.append("und" if und else model.langs[int(row.argmax())])
                     score.append(0.0 if und else float(min(1.0, max(0.0, row.max()))))
                 lo = hi
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": pred, "score": score})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
