@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,11 +167,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn=None, max_labels: in
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"doc_id {kinds['doc_id']}", *(f"{c} {kinds[c]}" for c in carry)])
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.drop(columns="text").assign(x=[stats(t) for t in pdf["text"]])
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array([stats(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *carry)), x], ["doc_id", *carry, "x"])
 
-    described = settle(docs.select("doc_id", *carry, F.col("text").cast("string").alias("text")).mapInPandas(describe, f"{schema}, x array<double>"))
+    described = settle(docs.select("doc_id", *carry, F.col("text").cast("string").alias("text")).mapInArrow(describe, f"{schema}, x array<double>"))
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     if learn is not None:
         marks = marks.where(learn)
@@ -179,12 +181,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn=None, max_labels: in
     marks = marks.where(_id_hash(99) < int(share * 1_000_000))
     model = fit(described.select("doc_id", "x").join(marks, "doc_id"))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = model.score(_matrix(pdf["x"])) if model else np.full(len(pdf), 0.5)
-            yield pdf.drop(columns="x").assign(score=s, predicted=(s >= threshold).astype("int32"))
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
+            s = model.score(x) if model else np.full(len(x), 0.5)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *carry)), pa.array(s, pa.float64()), pa.array((s >= threshold).astype("int32"))], ["doc_id", *carry, "score", "predicted"])
 
-    return described.mapInPandas(scored, f"{schema}, score double, predicted int")
+    return described.mapInArrow(scored, f"{schema}, score double, predicted int")
 
 
 def fold(doc_id, folds: int):
