@@ -199,6 +199,14 @@ def test_secret_spans(spark):
     assert secret_scan.scan_secrets(docs_of(spark, [])).count() == 0
 
 
+def test_large_ids_beside_null_ones(spark):
+    big = 2**60 + 1  # not a double
+    df = docs_of(spark, [(big, "alpha beta token=abcdefgh1", "a"), (None, "uno dos", "b"), (3, "uno dos tres", "b")]).coalesce(1)
+    marks = spark.createDataFrame([(big, 1), (3, 0)], "doc_id long, quality int")
+    for out in (secret_scan.scan_secrets(df), language.label_languages(df), quality.score_quality(df, marks, carry=("lang",))):
+        assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 3, big]
+
+
 # 5
 
 
