@@ -29,8 +29,9 @@ _DER64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{38,}={0,2}")
 _DERHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 _SSH64 = re.compile(r"(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{40,}={0,2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])ey[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_ENC64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_ENCHEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}")
+#: From the shortest secret that _holds_secret confirms, 14 bytes (token= and 8 more): 19 characters of base64, 28 of hex.
+_ENC64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}={0,2}")
+_ENCHEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{28,}")
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
 
