@@ -2,11 +2,13 @@
 
 An item that occurs in a document with at most k edits leaves at least one of its k + 1
 pieces unchanged. Exact piece hits, found for all items in one pass over a text, give
-the windows in which Myers' bit-parallel search then measures the edit distance.
+the windows in which Myers' bit-parallel search then measures the edit distance. Short
+items, which are also found inside of other words, count at word borders only.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -59,11 +61,37 @@ def myers(peq: dict[str, int], m: int, text: str) -> int:
     return best
 
 
+def _joins(c: str) -> bool:
+    """Whether the character is part of a word; those of scripts that put no blanks between words stand alone."""
+    alone = "\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or "\U00020000" <= c <= "\U0003ffff"
+    return not alone and (c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M")
+
+
+def border(text: str, at: int) -> bool:
+    """Whether no word goes on across the place before ``text[at]``."""
+    return not 0 < at < len(text) or not (_joins(text[at - 1]) and _joins(text[at]))
+
+
+def bordered(item: str, text: str, lo: int, hi: int) -> int:
+    """Smallest edit distance of the item to any substring of ``text[lo:hi]`` between word borders of ``text``."""
+    n = len(item)
+    row, best = [i if border(text, lo) else n + 1 + i for i in range(n + 1)], n
+    for at in range(lo, hi):
+        ends = border(text, at + 1)
+        new = [0 if ends else row[0] + 1]
+        for i in range(1, n + 1):
+            new.append(min(row[i - 1] + (item[i - 1] != text[at]), row[i] + 1, new[i - 1] + 1))
+        row = new
+        if ends:
+            best = min(best, row[n])
+    return best
+
+
 class Matcher:
-    """The items of one block: an automaton over their pieces, and their bit masks."""
+    """The items of one block: an automaton over their pieces, and their bit masks (none for items under ``min_chars``)."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items = [(i, t, int(len(t) * error_rate), masks(t)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int = 0):
+        self.items = [(i, t, int(len(t) * error_rate), masks(t) if len(t) >= min_chars else None) for i, t in items]
         self.machine = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k, _) in enumerate(self.items):
@@ -76,9 +104,14 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int]]:
         """(item_id, distance) of every item within its budget."""
         windows: dict[int, list[list[int]]] = {}
+        whole: set[int] = set()
         for end, (size, spots) in self.machine.iter(text):
             for n, at in spots:
-                _, t, k, _ = self.items[n]
+                _, t, k, peq = self.items[n]
+                if peq is None and k == 0:
+                    if n not in whole and border(text, end + 1 - size) and border(text, end + 1):
+                        whole.add(n)
+                    continue
                 lo = end + 1 - size - at - k
                 hi = lo + len(t) + 2 * k
                 own = windows.setdefault(n, [])
@@ -87,10 +120,13 @@ class Matcher:
                     own[-1][0] = min(own[-1][0], lo)
                 else:
                     own.append([lo, hi])
-        out = []
+        out = [(self.items[n][0], 0) for n in whole]
         for n, spans in windows.items():
             ident, t, k, peq = self.items[n]
-            best = min(myers(peq, len(t), text[max(0, lo) : hi]) for lo, hi in spans)
+            if peq is None:
+                best = min(bordered(t, text, max(0, lo), min(hi, len(text))) for lo, hi in spans)
+            else:
+                best = min(myers(peq, len(t), text[max(0, lo) : hi]) for lo, hi in spans)
             if best <= k:
                 out.append((ident, best))
         return sorted(out)
@@ -101,10 +137,10 @@ def _blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[
     block, size = [], 0
     for r in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator():
         t = normal(r["text"])
-        if len(t) < min_chars:
+        if not t:
             continue
         block.append((r["item_id"], t))
-        size += len(t)
+        size += max(len(t), min_chars)  # a short item takes no less memory
         if size >= block_chars:
             yield block
             block, size = [], 0
@@ -117,9 +153,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
 
     Texts and items are compared in lower case with white space collapsed. An item of n
     characters leaks where some substring of the whole text is within int(error_rate n)
-    edits; ``distance`` is the smallest. Items under ``min_chars`` characters identify
-    nothing and are left out, as are null ones; a null or empty text has no leaks.
-    Repeated items each count. An earlier column ``leaks`` is replaced.
+    edits; ``distance`` is the smallest. Of items under ``min_chars`` characters the
+    substring must also start and end at word borders (see ``border``); under 1 /
+    error_rate characters (20) that is the item word for word. Null, empty and blank
+    items are left out; a null or empty text has no leaks. Repeated items each count. An
+    earlier column ``leaks`` is replaced.
 
     Items are broadcast in blocks of about ``block_chars`` characters; with more than one
     block, documents are written between passes, so that no benchmark is too large.
@@ -133,16 +171,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
                 drop_settled(spark, old)
             old = state
         shared = spark.sparkContext.broadcast(block)
-        state = state.mapInArrow(_matching(shared, error_rate), schema)
+        state = state.mapInArrow(_matching(shared, error_rate, min_chars), schema)
     return state
 
 
-def _matching(shared, error_rate: float):
+def _matching(shared, error_rate: float, min_chars: int):
     made: list[Matcher] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
-            made.append(Matcher(shared.value, error_rate))
+            made.append(Matcher(shared.value, error_rate, min_chars))
         for batch in batches:
             at = batch.schema.get_field_index("leaks")
             leaks = batch.column(at).to_pylist()
@@ -163,6 +201,10 @@ def brute_force(docs: pd.DataFrame, benchmark: pd.DataFrame, error_rate: float =
     """Every item against every text by the plain recurrence; for tests."""
 
     def distance(item: str, text: str) -> int:
+        if len(item) < min_chars:  # every substring between two borders
+            near = int(len(item) * error_rate)
+            at = [i for i in range(len(text) + 1) if border(text, i)]
+            return min((edits(item, text[a:b]) for a in at for b in at if abs(b - a - len(item)) <= near), default=len(item))
         row = [0] * (len(text) + 1)
         for i, c in enumerate(item, 1):
             prev, row[0] = row[0], i
@@ -170,5 +212,13 @@ def brute_force(docs: pd.DataFrame, benchmark: pd.DataFrame, error_rate: float =
                 prev, row[j] = row[j], min(prev + (c != d), row[j] + 1, row[j - 1] + 1)
         return min(row)
 
-    items = [(i, normal(t)) for i, t in zip(benchmark["item_id"], benchmark["text"], strict=True) if t and len(normal(t)) >= min_chars]
+    def edits(x: str, y: str) -> int:
+        row = list(range(len(y) + 1))
+        for c in x:
+            prev, row[0] = row[0], row[0] + 1
+            for j, d in enumerate(y, 1):
+                prev, row[j] = row[j], min(prev + (c != d), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    items = [(i, normal(t)) for i, t in zip(benchmark["item_id"], benchmark["text"], strict=True) if t and normal(t)]
     return {d: [(i, b) for i, t in sorted(items) if (b := distance(t, normal(x or ""))) <= int(len(t) * error_rate)] for d, x in zip(docs["doc_id"], docs["text"], strict=True)}

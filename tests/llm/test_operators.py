@@ -284,6 +284,17 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).where("size(leaks) > 0").count() == 0 and decontaminate.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_short_benchmark_items(spark):
+    items = [(1, "Who wrote it?"), (2, "7 x 8"), (3, "capital of france is"), (4, "首都是北京"), (5, " \n"), (6, "cat"), (7, "a twenty-three chars it")]
+    texts = [(1, "x who  WROTE it? y"), (2, "17 x 8"), (3, "so 7 x 8, yes"), (4, "the capitol of france is big"), (5, "the capitol of france island"), (6, "问首都是北京吗"), (7, "concatenate"), (8, "Cat."), (9, "cate\u0301"), (10, "a_cat"), (11, "a twenty-three chars bit"), (12, "and a twenty-thre chars it"), (13, None), (14, "cats cat")]
+    want = {1: [(1, 0)], 3: [(2, 0)], 4: [(3, 1)], 6: [(4, 0)], 8: [(6, 0)], 11: [(7, 1)], 12: [(7, 1)], 14: [(6, 0)]}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    brute = decontaminate.brute_force(pd.DataFrame(texts, columns=["doc_id", "text"]), pd.DataFrame(items, columns=["item_id", "text"]))
+    for block in (10**6, 30):
+        got = {r["doc_id"]: [tuple(x) for x in r["leaks"]] for r in decontaminate.find_leaks(docs_of(spark, texts), bench, block_chars=block).collect()}
+        assert got == {i: want.get(i, []) for i, _ in texts} == brute
+
+
 # 7
 
 
