@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages, each an operator of ``quillmark.llm``, applied to ``documents``.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last
-return the columns of ``docs``. Stages hand on rows with a null doc_id unless a rule of
-their own names them, and keep extra columns.
+return the columns of ``docs``. Stages decide row by row, whatever doc_ids are null or
+repeated, and keep extra columns.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, minhash, mixing, quality, sharding
-from quillmark.llm.common import settle, table
+from quillmark.llm.common import ASCII_SPACE, settle, table
 
 SHARD_BYTES = 1 << 20
 
@@ -19,21 +19,27 @@ SHARD_BYTES = 1 << 20
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, ``__row``, written once so that it does not change."""
+    return settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier, learned from all labels, rejects."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scored.where("predicted = 0").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows = _numbered(docs)
+    scored = quality.score_quality(rows, table(spark, sf_dir, "labels"), carry=("__row",))
+    return rows.join(scored.where("predicted = 0").select("__row"), "__row", "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each near-duplicate class."""
-    classes = minhash.near_duplicates(docs)
-    out = docs.join(classes.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if repeated.limit(1).count():
-        named = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        out = named.unionByName(out.where("doc_id IS NULL"))
-    return out
+    """Keeps one row, that of the smallest doc_id (null last), of each near-duplicate class; of a doc_id's rows without words, one."""
+    rows = _numbered(docs)
+    named = rows.select("__row", "doc_id", (~F.coalesce(F.col("text").rlike(f"[^{ASCII_SPACE}]"), F.lit(False)) & F.col("doc_id").isNotNull()).alias("blank"))
+    classes = minhash.near_duplicates(rows, id_col="__row").select("__row", "class_id").join(named, "__row")
+    classes = classes.select("__row", "doc_id", "blank", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("c"))
+    first = classes.groupBy("blank", "c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row")).alias("first"))
+    rest = classes.select("__row").join(first.select("first.__row"), "__row", "left_anti")
+    return rows.join(rest, "__row", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

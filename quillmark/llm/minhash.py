@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,34 +156,33 @@ def _slices(texts: list[str | None], chars: int = 600_000) -> Iterator[tuple[int
         lo = hi
 
 
-def _digest_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """id, t1, t2 (hashes of the word sequence; null without a word), bands (null under five words)."""
-    for pdf in batches:
-        texts = list(pdf["text"])
+def _text_hashes(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """t1, t2 (two hashes of the word sequence) and the number of words of each text."""
+    count = np.bincount(doc, minlength=n)
+    first = np.cumsum(count) - count
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(h)) - first[doc]).astype(np.uint64)
+        t1, t2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        np.add.at(t1, doc, _mix(h + place * _C3))
+        np.add.at(t2, doc, _mix((h ^ _C2) * _C1 + place))
+        return _mix(t1 + count.astype(np.uint64)).view(np.int64), _mix(t2 ^ count.astype(np.uint64)).view(np.int64), count
+
+
+def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, k, t1, t2 (hashes of the word sequence; t1 null without a word), bands (null under five words)."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
         for lo, hi in _slices(texts):
             part = [t or "" for t in texts[lo:hi]]
             doc, h = word_hashes(part)
             n = len(part)
-            count = np.bincount(doc, minlength=n)
-            first = np.cumsum(count) - count
-            with np.errstate(over="ignore"):
-                place = (np.arange(len(h)) - first[doc]).astype(np.uint64)
-                t1, t2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                np.add.at(t1, doc, _mix(h + place * _C3))
-                np.add.at(t2, doc, _mix((h ^ _C2) * _C1 + place))
-                t1, t2 = _mix(t1 + count.astype(np.uint64)), _mix(t2 ^ count.astype(np.uint64))
+            t1, t2, count = _text_hashes(doc, h, n)
             d, e = elements(doc, h, n)
-            sig = signatures(d, e, n)
-            keys = band_keys(sig)
+            keys = band_keys(signatures(d, e, n))
             has = np.bincount(d, minlength=n) > 0
-            yield pd.DataFrame(
-                {
-                    "id": pdf["id"].iloc[lo:hi].to_numpy(),
-                    "t1": pd.arrays.IntegerArray(t1.view(np.int64), count == 0),
-                    "t2": t2.view(np.int64),
-                    "bands": [k if ok else None for k, ok in zip(keys, has, strict=True)],
-                }
-            )
+            bands = pa.array([k if ok else None for k, ok in zip(keys, has, strict=True)], pa.list_(pa.int64()))
+            own = [batch.column(c).slice(lo, hi - lo) for c in ("id", "k")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(t1, mask=count == 0), pa.array(t2), bands], ["id", "k", "t1", "t2", "bands"])
 
 
 def _piece_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,9 +191,10 @@ def _piece_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lo, hi in _slices(texts):
             part = [t or "" for t in texts[lo:hi]]
             doc, h = word_hashes(part)
+            t1, t2, _ = _text_hashes(doc, h, len(part))
             d, e = elements(doc, h, len(part))
             bounds = np.searchsorted(d, np.arange(len(part) + 1))
-            yield pd.DataFrame({"id": pdf["id"].iloc[lo:hi].to_numpy(), "set": [np.sort(e[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
+            yield pd.DataFrame({"t1": t1, "t2": t2, "set": [np.sort(e[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -273,11 +274,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, crowd: int = 48, i
     words are one class; otherwise two documents link if their shingles of five words,
     weighted by occurrences, have a weighted Jaccard similarity of at least
     ``similarity``. ``class_id`` is the smallest id of a class, and ``kept`` marks the
-    row that bears it. A null, empty or blank text is a class of its own; texts under
-    five words link by equality alone. Repeated ids share a class. Ids must be longs; a
-    null id is its own class, kept. Other columns are ignored.
+    rows that bear it. A null, empty or blank text is a class of its own; texts under
+    five words link by equality alone. What is linked are texts: rows of a repeated id
+    are each of the class of their own text. Ids must be longs. A row with a null id has
+    no class_id and is kept; its text links others all the same. Other columns are ignored.
 
-    Copies are collapsed before any signature meets another. Links are verified first
+    Copies are collapsed before any signature meets another: a node stands for all rows
+    of one word sequence, whatever their ids. Links are verified first
     along stars: every document against the hub of its buckets, the one whose buckets
     hold the most documents, as an original's do among its edited copies. Only buckets
     that then still hold more than one component are searched further: small ones pair
@@ -285,12 +288,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, crowd: int = 48, i
     Pairs within a component are never formed.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = settle(rows.where("id IS NOT NULL").mapInPandas(_digest_rows, "id long, t1 long, t2 long, bands array<long>"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("k"))
+    marks = settle(rows.mapInArrow(_digest_rows, "id long, k long, t1 long, t2 long, bands array<long>"))
     worded = marks.where("t1 IS NOT NULL")
-    heads = worded.groupBy("t1", "t2").agg(F.min("id").alias("head"))
-    lead = settle(worded.where("bands IS NOT NULL").join(heads, ["t1", "t2"]).where("id = head").select("id", "bands").dropDuplicates(["id"]))
-    spread = lead.select("id", F.explode("bands").alias("key"))
+    # one row of each node, found again by (r, k); its words decide whether it is the node's
+    lead = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "k"))
+    nodes = worded.groupBy("t1", "t2").agg(lead.alias("lead"), F.first("bands").alias("bands"))
+    nodes = nodes.select("t1", "t2", F.col("lead.id").alias("head"), F.col("lead.k").alias("k"), F.coalesce("lead.id", "lead.k").alias("r"), "bands")
+    nodes = settle(nodes.withColumn("id", F.monotonically_increasing_id()))
+    spread = nodes.where("bands IS NOT NULL").select("id", F.explode("bands").alias("key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = settle(spread.join(sizes, "key"))
     # the hub of a bucket: whose buckets hold the most documents, as an original's do among its edited copies
@@ -299,7 +306,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, crowd: int = 48, i
     hubs = famed.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("neg"))).alias("hub"))
     mine = shared.select("key", "id").join(hubs, "key").groupBy("id").agg((-F.max("hub")["neg"]).alias("hub")).where("id <> hub")
     stars = mine.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    sets = settle(rows.join(fame.select("id"), "id", "left_semi").mapInPandas(_piece_rows, "id long, set binary").dropDuplicates(["id"]))
+    wanted = nodes.join(fame.select("id"), "id").select("r", "k", "t1", "t2", "id")
+    found = rows.withColumn("r", F.coalesce("id", "k")).join(wanted.select("r", "k"), ["r", "k"], "left_semi").select("text")
+    found = found.mapInPandas(_piece_rows, "t1 long, t2 long, set binary").dropDuplicates(["t1", "t2"])
+    sets = settle(found.join(wanted.select("t1", "t2", "id"), ["t1", "t2"]).select("id", "set"))
     links = cut(_verify(stars, sets, similarity))
     comp = components(links)
     here = shared.join(comp, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("comp"))
@@ -312,9 +322,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, crowd: int = 48, i
     links = cut(links.unionByName(_verify(pairs, sets, similarity)).unionByName(crowded))
     drop_settled(spark, here)
     comp = components(links)
-    drop_settled(spark, shared, sets, lead)
-    heads = heads.join(comp.withColumnRenamed("id", "head"), "head", "left").select("t1", "t2", F.coalesce("component", "head").alias("c"))
-    out = marks.select("id", "t1", "t2").join(heads, ["t1", "t2"], "left").select("id", F.coalesce("c", "id").alias("class_id"))
-    out = out.withColumn("kept", F.col("id") == F.col("class_id"))
-    nameless = rows.where("id IS NULL").select("id", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
-    return out.unionByName(nameless).withColumnRenamed("id", id_col)
+    drop_settled(spark, shared, sets)
+    classes = nodes.select("t1", "t2", "head", "id").join(comp, "id", "left").select("t1", "t2", "head", F.coalesce("component", "id").alias("c"))
+    least = classes.groupBy("c").agg(F.min("head").alias("class_id"))
+    heads = classes.join(least, "c").select("t1", "t2", "class_id")
+    out = marks.select("id", "t1", "t2").join(heads, ["t1", "t2"], "left")
+    out = out.select("id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
+    return out.withColumn("kept", F.col("id").isNull() | (F.col("id") == F.col("class_id"))).withColumnRenamed("id", id_col)

@@ -150,6 +150,14 @@ def test_near_duplicates(spark, crowd):
     assert minhash.near_duplicates(docs_of(spark, [(None, "a b c d e f")])).first()["kept"]
 
 
+def test_near_duplicates_by_text_under_repeated_ids(spark):
+    a, b = words(60, 1), words(60, 2)
+    rows = [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (3, words(60, 3)), (3, a + " again"), (None, b + " x"), (2**60 + 1, words(60, 4)), (None, words(60, 4) + " y"), (2**60 + 3, words(60, 4) + " y z")]
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in minhash.near_duplicates(docs_of(spark, rows).coalesce(1)).collect())
+    big = 2**60 + 1
+    assert got == [(0, 0, True)] * 2 + [(3, 3, True)] * 2 + [(5, 3, False), (5, 5, True), (7, 3, False), (9, 5, False), (big, big, True), (big + 2, big, False)]
+
+
 def test_signature_agrees_with_similarity():
     base, other = words(600, 1).split(), words(600, 1).split()
     other[100:140] = words(40, 2).split()

@@ -51,6 +51,20 @@ def test_stages(spark, tmp_path):
     assert ids(after) == ids(before) and after.where("NOT oversized AND shard_bytes > 1048576").count() == 0
 
 
+def test_decisions_by_row(spark, monkeypatch):
+    text = {k: " ".join(f"{k}{i * i % 97}" for i in range(60)) for k in "abcd"}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["a"] + " more"), (None, text["b"] + " more"), (None, text["c"]), (None, text["c"]), (3, text["d"]), (3, text["d"]), (4, None), (4, " "), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, f"r{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, mark string")
+    got = sorted((r["doc_id"] or 0, (r["text"] or " ").split(" ")[0][:1]) for r in corpus_pipeline.near_dedup(spark, docs, DIR).collect())
+    assert got == [(0, ""), (0, ""), (0, "c"), (1, "a"), (1, "b"), (3, "d"), (4, "")]
+
+    def judged(docs, labels, carry=()):
+        return docs.select("doc_id", *carry, F.coalesce(F.col("text").startswith("b"), F.lit(False)).alias("bad")).withColumn("predicted", F.when(F.col("bad"), 0).otherwise(1))
+
+    monkeypatch.setattr(quality, "score_quality", judged)
+    assert sorted(r["mark"] for r in corpus_pipeline.quality_filter(spark, docs, DIR).collect()) == sorted(f"r{n}" for n in range(len(rows)) if n not in (1, 3))
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
