@@ -2,12 +2,13 @@
 
 The suffix array is sampled at content-chosen anchors. Every 100-byte window picks one
 anchor in itself by content alone (the least k-gram hash), so equal windows meet at
-equal anchors, and the array can be dealt out by anchor hash. Within a shard the anchors'
-suffixes are sorted, their common prefixes bounded by the threshold; then intervals of
-suffixes are extended backwards, breadth first, one preceding character a level, as on
-a Burrows-Wheeler transform: level x holds the classes of windows that start x bytes
-before their anchors. All but the first window of a class are repeats. Levels end where
-a window could no longer hold its anchor, so nothing past the minimum length is derived.
+equal anchors, and the array can be dealt out by anchor hash. Within a shard the bytes
+after the anchors and the reversed bytes before them are each sorted once, their common
+prefixes bounded by the threshold. Level x groups the windows that start x bytes before
+their anchors by both ranks. All but the first window of a class are repeats. Levels end
+where a window could no longer hold its anchor, so nothing past the minimum length is
+derived. There is no Burrows-Wheeler transform and no backward extension: each level is
+grouped on its own from the two sorted orders, not derived from the level before.
 """
 
 from __future__ import annotations
