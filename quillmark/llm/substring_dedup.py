@@ -1,14 +1,16 @@
 """Suffix-array dedup: bytes of long strings that occur earlier in the corpus.
 
-The suffix array is sampled at content-chosen anchors. Every 100-byte window picks one
-anchor in itself by content alone (the least k-gram hash), so equal windows meet at
-equal anchors, and the array can be dealt out by anchor hash. Within a shard the bytes
-after the anchors and the reversed bytes before them are each sorted once, their common
-prefixes bounded by the threshold. Level x groups the windows that start x bytes before
-their anchors by both ranks. All but the first window of a class are repeats. Levels end
-where a window could no longer hold its anchor, so nothing past the minimum length is
-derived. There is no Burrows-Wheeler transform and no backward extension: each level is
-grouped on its own from the two sorted orders, not derived from the level before.
+The corpus is dealt out by content. Every 100-byte window picks one anchor in itself by
+content alone (the least k-gram hash), so equal windows meet at equal anchors, and an
+anchor's context, the bytes of all windows that pick it, goes to a shard by the anchor's
+hash. Within a shard the contexts are aligned at their anchors and indexed by a positional
+Burrows-Wheeler transform: a column for each distance to the anchor, holding the bytes
+before that column's suffixes in the suffixes' order. Rank steps (LF) lead from a column
+to the next. Intervals of equal suffixes are then extended backwards breadth first, from
+a queue: extending an interval whose right border has a common prefix of l bytes yields
+the borders of l + 1 bytes, so common prefixes come out by increasing value. The queue
+stops at the minimum length; what has no border by then shares a window's whole length.
+All but the first window of such an interval are repeats.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import drop_settled, settle
@@ -85,9 +87,9 @@ def anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
 
 
 def _batches(batch: pa.RecordBatch, chars: int = 1_500_000) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and bytes of a few MB of texts at a time; a text longer than that comes alone (up to 8 MB, see _POS_BITS)."""
+    """(doc_id, text's hash, offset) and bytes of a few MB of texts at a time; a longer text comes in pieces (the joined buffer stays under 8 MB, see _POS_BITS)."""
     ids, texts, size = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+    for i, t, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
         raw = t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else b""
         if i is None:
             continue
@@ -96,7 +98,7 @@ def _batches(batch: pa.RecordBatch, chars: int = 1_500_000) -> Iterator[tuple[li
             if ids and size + len(piece) > chars:
                 yield ids, texts
                 ids, texts, size = [], [], 0
-            ids.append((i, lo))
+            ids.append((i, k, lo))
             texts.append(piece)
             size += len(piece)
     if ids:
@@ -113,7 +115,7 @@ def _hash_rows(window: int):
     return run
 
 
-_PACK = pa.schema([("h", pa.uint64()), ("doc", pa.int64()), ("at", pa.int64()), ("back", pa.uint8()), ("ahead", pa.uint8()), ("bytes", pa.binary())])
+_PACK = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("back", pa.uint8()), ("ahead", pa.uint8()), ("bytes", pa.binary())])
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
@@ -143,13 +145,13 @@ def _context_rows(window: int, shared, passes: int, nth: int, shards: int, salts
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, bits), (crowd, crowd_bits) = ((np.frombuffer(b, np.uint8), n) for b, n in shared.value)
         held: list[pa.Table] = []
+        hashes: list[np.ndarray] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, count
-            table = pa.concat_tables(held)
-            held, count = [], 0
-            h = table["h"].to_numpy()
+            nonlocal held, hashes, count
+            table, h = pa.concat_tables(held), np.concatenate(hashes)
+            held, hashes, count = [], [], 0
             shard = (h // np.uint64(7) % np.uint64(shards)).astype(np.int64)
             place = (table["doc"].to_numpy().astype(np.uint64) * _M[0] + table["at"].to_numpy().astype(np.uint64)) * _M[1]
             salt = np.where(_in_filter(crowd, crowd_bits, h), 1 + ((place >> np.uint64(33)) % np.uint64(salts)).astype(np.int64), 0)
@@ -174,9 +176,9 @@ def _context_rows(window: int, shared, passes: int, nth: int, shards: int, salts
                 index = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(code[index].tobytes())])
-                name = np.array([i for i, _ in ids], np.int64)
-                base = np.array([lo for _, lo in ids], np.int64)
-                columns = [h, name[doc], at - offset[doc] + base[doc], (at - first).astype(np.uint8), (last + window - at).astype(np.uint8)]
+                name, text, base = np.array(ids, np.int64).T
+                columns = [name[doc], text[doc], at - offset[doc] + base[doc], (at - first).astype(np.uint8), (last + window - at).astype(np.uint8)]
+                hashes.append(h)
                 held.append(pa.Table.from_arrays([*map(pa.array, columns), body], schema=_PACK))
                 count += len(h)
                 if count >= pack_rows:
@@ -191,95 +193,213 @@ def _slice_of(h: np.ndarray, passes: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(passes)).astype(np.int64)
 
 
-def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
-    """Rows of ``size`` bytes from ``start``, forwards or backwards, padded with zeros to ``width`` (a multiple of 8)."""
-    col = np.arange(width)
-    inside = col[None, :] < size[:, None]
-    return np.where(inside, data[np.where(inside, start[:, None] + step * col[None, :], 0)], 0).astype(np.uint8)
+_END = 0xFF  # stands for what lies outside of a context; no byte of UTF-8
+_UNSET = 0xFF
 
 
-def _sorted_classes(mat: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each row in (group, bytes) order, and the common prefix of each ranked row with the one before (-1 across groups)."""
-    words = np.ascontiguousarray(mat).view(">u8").astype(np.uint64)
-    order = np.lexsort(tuple(words.T[::-1]) + (group,))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    s, g = mat[order], group[order]
-    differ = s[1:] != s[:-1]
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), mat.shape[1])
-    return rank, np.concatenate([[-1], np.where(g[1:] == g[:-1], lcp, -1)])
+class Transform:
+    """Positional Burrows-Wheeler transform of contexts aligned at their anchors.
+
+    Column j orders the suffixes that start ``window - j`` bytes after the anchor; the
+    byte before each leads to its place in column j + 1 (``lf``). Places are numbered
+    through all columns, ``stride`` to a column. ``after`` and ``before`` are the next and
+    the previous place of a column with the same byte.
+    """
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, back: np.ndarray, ahead: np.ndarray, window: int):
+        n, self.columns = len(start), 2 * window - GRAM
+        self.n, self.stride, self.window = n, n + 1, window
+        size = self.columns * self.stride
+        self.lf, self.after, self.before = np.empty(size, np.int32), np.empty(size, np.int32), np.empty(size, np.int32)
+        self.rows = np.empty((window - GRAM + 1, n), np.int32)  # of the columns where windows start
+        #: Common prefix of each place's suffix with the one before; found by ``extend``.
+        self.prefix = np.full(size + self.stride, _UNSET, np.uint8)
+        self.prefix[:: self.stride] = self.prefix[n :: self.stride] = 0
+        self.queue: list[tuple[np.ndarray, np.ndarray]] = []
+        order, anchor, places = np.arange(n, dtype=np.int32), start + back, np.arange(n, dtype=np.int32)
+        for j in range(self.columns):
+            at = window - 1 - j  # of the bytes before this column's suffixes
+            inside = (at < ahead) & (at >= -back)
+            byte = np.where(inside, data[np.where(inside, anchor + at, 0)], _END).astype(np.uint8)[order]
+            rank = np.argsort(byte, kind="stable").astype(np.int32)  # a counting sort
+            order, byte = order[rank], byte[rank]
+            same = (byte[1:] == byte[:-1]) & (byte[1:] != _END)
+            lo, hi = j * self.stride, (j + 1) * self.stride
+            here = slice(lo, hi)
+            self.lf[here][rank] = hi + places
+            self.after[here], self.before[here] = lo + n, lo - 1
+            self.after[here][rank[:-1][same]] = lo + rank[1:][same]
+            self.before[here][rank[1:][same]] = lo + rank[:-1][same]
+            borders = (np.flatnonzero(~same) + 1).astype(np.int32)
+            self.prefix[hi + borders] = 0
+            if j + 1 < self.columns:
+                self.queue.append((hi + np.concatenate([[0], borders[:-1]]).astype(np.int32)[: len(borders)], hi + borders))
+            if j + 1 >= window:
+                self.rows[j + 1 - window] = order
+
+    def extend(self) -> None:
+        """Finds all common prefixes under ``window`` by increasing value.
+
+        The queue holds the intervals of strings of ``value`` bytes whose right border was
+        found last. Extended by each byte before one of its suffixes, an interval leads to
+        an interval of the next column; if that one's right border is not known from a
+        lesser value, it is one of ``value`` and joins the next queue.
+        """
+        lo, hi = (np.concatenate([q[i] for q in self.queue]) if self.queue else np.zeros(0, np.int32) for i in (0, 1))
+        end = self.columns * self.stride
+        for value in range(1, self.window):
+            one = hi - lo == 1
+            left = self.lf[lo[one]]
+            wide_lo, wide_hi = lo[~one], hi[~one]
+            size = wide_hi - wide_lo
+            owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+            place = np.repeat(wide_lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            first, last = self.before[place] < wide_lo[owner], self.after[place] >= wide_hi[owner]
+            a, b = self.lf[place[first]], self.lf[place[last]] + 1
+            owners = owner[first]
+            several = np.bincount(owners, minlength=len(size))[owners] > 1  # the bytes of an interval in one order on both sides
+            if several.any():
+                at = np.flatnonzero(several)
+                a[at] = a[at][np.lexsort((a[at], owners[at]))]
+                b[at] = b[at][np.lexsort((b[at], owner[last][at]))]
+            lo, hi = np.concatenate([left, a]), np.concatenate([left + 1, b])
+            new = self.prefix[hi] == _UNSET
+            lo, hi = lo[new], hi[new]
+            self.prefix[hi] = value
+            more = hi < end
+            lo, hi = lo[more], hi[more]
+            if not len(lo):
+                break
+
+    def borders(self) -> np.ndarray:
+        """Of the columns where windows start: the places whose window differs from that of the place before."""
+        return self.prefix[self.window * self.stride :].reshape(-1, self.stride)[:, : self.n] != _UNSET
+
+
+def _later(new: np.ndarray, rank: np.ndarray, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which members of classes start later than another one: in a larger doc_id, or further on in the same text.
+
+    Classes lie one after the other, ``new`` marks their first members. ``doc`` and ``text``
+    are by rank, ranks follow (doc, text, place). Different texts of one doc_id do not precede each other.
+    """
+    starts = np.flatnonzero(new)
+    lead = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(rank)))) if len(starts) else rank
+    late = rank != lead
+    odd = np.flatnonzero(late & (doc[rank] == doc[lead]) & (text[rank] != text[lead]))
+    if len(odd):
+        own, r = np.cumsum(new)[odd], rank[odd]
+        order = np.lexsort((r, text[r], own))
+        own, r = own[order], r[order]
+        head = np.concatenate([[True], (own[1:] != own[:-1]) | (text[r[1:]] != text[r[:-1]])])
+        late[odd[order]] = r != r[np.maximum.accumulate(np.where(head, np.arange(len(r)), 0))]
+    return late
 
 
 def repeats(table: dict[str, np.ndarray], window: int) -> np.ndarray:
-    """n x levels booleans: whether the window that starts ``level`` bytes before the anchor occurs earlier.
+    """n x levels booleans: whether the window that starts ``level`` bytes before the anchor starts earlier too.
 
-    ``table`` has h, doc, at, back, ahead, data, start (of each row's bytes), sorted by (doc, at).
+    ``table`` has doc, key, at, back, ahead, same (a number for each distinct context),
+    data, start (of each row's bytes), sorted by (doc, key, at).
     """
-    h, back, ahead = table["h"], table["back"].astype(np.int64), table["ahead"].astype(np.int64)
-    n, levels = len(h), window - GRAM + 1
-    anchor = table["start"] + back
-    wide = lambda k: -(-k // 8) * 8
-    r_rank, r_lcp = _sorted_classes(_matrix(table["data"], anchor, ahead, wide(window), 1), h)
-    l_rank, l_lcp = _sorted_classes(_matrix(table["data"], anchor - 1, back, wide(levels), -1), h)
-    _, where = np.unique(np.stack([table["doc"], table["at"]]), axis=1, return_inverse=True) if n else (None, np.zeros(0, np.int64))
-    where = where.reshape(-1)
+    doc, key, at = table["doc"], table["key"], table["at"]
+    n, levels = len(doc), window - GRAM + 1
     out = np.zeros((n, levels), bool)
-    for x in range(levels):
-        rows = np.flatnonzero((back >= x) & (window - ahead <= x))
-        if len(rows) < 2:
-            continue
-        right = np.cumsum(r_lcp < window - x)[r_rank[rows]]
-        left = np.cumsum(l_lcp < x)[l_rank[rows]]
-        key = right * (n + 1) + left
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-        later = where[rows[order]] > where[rows[lead]]  # a repeated row of one document is no repeat
-        out[rows[order[later]], x] = True
+    if not n:
+        return out
+    fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
+    rank = np.cumsum(fresh) - 1
+    by_rank = doc[fresh], key[fresh]
+    # equal contexts stand for each other: only those that start earliest are indexed
+    order = np.argsort(table["same"], kind="stable")
+    same = table["same"][order]
+    late = np.zeros(n, bool)
+    late[order] = _later(np.concatenate([[True], same[1:] != same[:-1]]), rank[order], *by_rank)
+    x = np.arange(levels)[None, :]
+    back, ahead = table["back"].astype(np.int32), table["ahead"].astype(np.int32)
+    out[late] = ((x <= back[:, None]) & (x >= window - ahead[:, None]))[late]
+    kept = np.flatnonzero(~late)
+    index = Transform(table["data"], table["start"][kept], back[kept], ahead[kept], window)
+    index.extend()
+    rows = index.rows.reshape(-1)
+    found = _later(index.borders().reshape(-1), rank[kept[rows]], *by_rank)
+    level = np.repeat(np.arange(levels), len(kept))
+    out[kept[rows[found]], level[found]] = True
     return out
 
 
-_FOUND = pa.schema([("doc", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int64()), ("body", pa.binary())])
-_FOUND_DDL = "doc long, a long, b long, shard long, body binary"
+_FOUND = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
+_FOUND_DDL = "doc long, key long, a long, b long, w1 long, w2 long"
+
+
+def _window_hashes(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the ``window`` bytes from each place."""
+    wide = -(-window // 8) * 8
+    out = []
+    for lo in range(0, len(at), 100_000):
+        col = np.arange(wide)[None, :]
+        part = np.where(col < window, data[np.where(col < window, at[lo : lo + 100_000, None] + col, 0)], 0).astype(np.uint8).view("<u8")
+        with np.errstate(over="ignore"):
+            both = []
+            for seed in (0, 1):
+                h = np.zeros(len(part), np.uint64)
+                for i in range(part.shape[1]):
+                    h = (h ^ part[:, i]) * _M[seed] + _M[2 + seed]
+                    h ^= h >> np.uint64(29 + seed)
+                h *= _M[4 + seed]
+                both.append((h ^ (h >> np.uint64(32))).view(np.int64))
+        out.append(both)
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([b[i] for b in out]) if out else none for i in (0, 1))
 
 
 def _resolve(window: int):
-    """Spans of repeats within a shard and, of a salted one, a packed row of the contexts that still hold a first window."""
+    """Spans of repeats within a shard and, of a salted one, the windows that are first there, by two hashes of their bytes."""
 
     def run(rows: pa.Table) -> pa.Table:
         table = _unpacked(rows["body"].to_pylist())
-        table = table.sort_by([("doc", "ascending"), ("at", "ascending")]).combine_chunks()
+        table = table.sort_by([("doc", "ascending"), ("key", "ascending"), ("at", "ascending")]).combine_chunks()
         body = table["bytes"].chunk(0)
         _, offsets, data = body.buffers()
-        start = np.frombuffer(offsets, np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
-        cols = {c: table[c].to_numpy() for c in ("h", "doc", "at", "back", "ahead")}
-        found = repeats(cols | {"start": start[:-1], "data": np.frombuffer(data, np.uint8)}, window)
+        start = np.frombuffer(offsets, np.int32)[body.offset : body.offset + len(body)].astype(np.int64)
+        cols = {c: table[c].to_numpy() for c in ("doc", "key", "at", "back", "ahead")}
+        same = body.dictionary_encode().indices.to_numpy().astype(np.int64) * 256 + cols["back"]
+        data = np.frombuffer(data, np.uint8)
+        found = repeats(cols | {"start": start, "data": data, "same": same}, window)
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, near = np.nonzero(edge == 1)
         _, far = np.nonzero(edge == -1)
         at = cols["at"][row]
         none = pa.nulls(len(row), pa.int64())
-        out = pa.Table.from_arrays([pa.array(cols["doc"][row]), pa.array(at - (far - 1)), pa.array(at - near + window), none, pa.nulls(len(row), pa.binary())], schema=_FOUND)
+        out = pa.Table.from_arrays([pa.array(cols["doc"][row]), pa.array(cols["key"][row]), pa.array(at - (far - 1)), pa.array(at - near + window), none, none], schema=_FOUND)
         if rows["salt"][0].as_py():
             x = np.arange(found.shape[1])[None, :]
             mine = (x <= cols["back"][:, None].astype(int)) & (x >= window - cols["ahead"][:, None].astype(int))
-            first = table.filter(pa.array((mine & ~found).any(axis=1)))
-            null = pa.nulls(1, pa.int64())
-            out = pa.concat_tables([out, pa.Table.from_arrays([null, null, null, pa.array([rows["shard"][0].as_py()]), pa.array([_packed(first)], pa.binary())], schema=_FOUND)])
+            row, level = np.nonzero(mine & ~found)
+            w1, w2 = _window_hashes(data, start[row] + cols["back"][row] - level, window)
+            begin = cols["at"][row] - level
+            out = pa.concat_tables([out, pa.Table.from_arrays([pa.array(cols["doc"][row]), pa.array(cols["key"][row]), pa.array(begin), pa.array(begin + window), pa.array(w1), pa.array(w2)], schema=_FOUND)])
         return out
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 100, shard_rows: int = 20_000, filter_keys: int = 16_000_000) -> DataFrame:
-    """Rows ``(doc, a, b)``: byte spans covered by windows that occur earlier; spans may overlap.
+def _later_windows(firsts: DataFrame) -> DataFrame:
+    """Of windows that are first within their salted shard, those that start later than one of another. A window comes at most once from a shard, so no group is large."""
+    same = Window.partitionBy("w1", "w2")
+    text = Window.partitionBy("w1", "w2", "doc", "key")
+    marked = firsts.withColumn("first_doc", F.min("doc").over(same)).withColumn("first_a", F.min("a").over(text))
+    return marked.where("doc > first_doc OR a > first_a").select("doc", "key", "a", "b")
+
+
+def repeated_spans(docs: DataFrame, window: int = 100, shard_rows: int = 40_000, filter_keys: int = 16_000_000) -> DataFrame:
+    """Rows ``(doc, key, a, b)``: byte spans covered by windows that occur earlier; spans may overlap. ``docs`` are ``doc_id, text, key``.
 
     Anchor hashes are counted first. Those that occur twice or more go into a bit filter
     of bounded size, which is all that is broadcast; more than ``filter_keys`` of them
-    are taken in several passes, each over a slice of the hashes. An anchor with a very
-    large number of occurrences is first resolved within salted shards; only the
-    contexts that are first there meet in its one shard.
+    are taken in several passes, each over a slice of the hashes. The contexts of an
+    anchor with a very large number of occurrences are dealt over salted shards, each
+    resolved by itself; the windows that are first in one then meet those of the others
+    by content, so that equal ones do and different ones, however many, don't.
     """
     spark = docs.sparkSession
     counts = docs.mapInArrow(_hash_rows(window), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -293,13 +413,12 @@ def repeated_spans(docs: DataFrame, window: int = 100, shard_rows: int = 20_000,
         shared = spark.sparkContext.broadcast([_bit_filter(counts, distinct, passes, nth), _bit_filter(crowded, min(distinct, (total or 0) // shard_rows), passes, nth)])
         packed = docs.mapInArrow(_context_rows(window, shared, passes, nth, shards, salts), "shard long, salt long, body binary")
         found = settle(packed.groupBy("shard", "salt").applyInArrow(_resolve(window), _FOUND_DDL))
-        here = found.where("doc IS NOT NULL").select("doc", "a", "b")
+        here = found.where("w1 IS NULL").select("doc", "key", "a", "b")
         if most > shard_rows:
-            firsts = found.where("body IS NOT NULL").select("shard", F.lit(0).cast("long").alias("salt"), "body")
-            here = here.unionByName(firsts.groupBy("shard").applyInArrow(_resolve(window), _FOUND_DDL).select("doc", "a", "b"))
+            here = here.unionByName(_later_windows(found.where("w1 IS NOT NULL")))
         spans = here if spans is None else spans.unionByName(here)
     drop_settled(spark, counts)
-    return spans if spans is not None else spark.createDataFrame([], "doc long, a long, b long")
+    return spans if spans is not None else spark.createDataFrame([], "doc long, key long, a long, b long")
 
 
 _CHUNK = 1 << 22  # bits
@@ -330,20 +449,22 @@ def _bit_filter(counts: DataFrame, keys: int, passes: int, nth: int) -> tuple[by
     return bytes(out), bits
 
 
-def dedup_substrings(docs: DataFrame, window: int = 100) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 100, shard_rows: int = 40_000, filter_keys: int = 16_000_000) -> DataFrame:
     """Rows ``(doc_id, n_bytes, n_removed, spans, kept)``, one for each row of ``docs``.
 
     Texts are taken as UTF-8 bytes (null: empty). A byte goes if a ``window``-byte string
     that covers it also starts earlier: in a smaller doc_id, or in the same document. The
     input decides, not what is left. ``spans`` are the maximal removed runs, ``kept`` the
-    other bytes, which need not be whole characters. doc_ids must be longs; rows that
-    repeat a doc_id and its text are treated alike, none as the other's repeat. Rows with
-    a null doc_id are left whole. Other columns are ignored.
+    other bytes, which need not be whole characters. doc_ids must be longs. Rows are told
+    apart by doc_id and text: rows that repeat both are treated alike, none as the
+    other's repeat; different texts of one doc_id don't precede each other. Rows with a
+    null doc_id are left whole and no other's first. Other columns are ignored.
     """
     if not GRAM <= window <= 127:
         raise ValueError(f"window must be in {GRAM}..127")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(docs, window).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("raw"))
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    spans = repeated_spans(docs, window, shard_rows, filter_keys).groupBy("doc", F.col("key").alias("of")).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("raw"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,10 +493,10 @@ def dedup_substrings(docs: DataFrame, window: int = 100) -> DataFrame:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             body = [press.compress(t.as_py().encode("utf-8", "surrogatepass")) if t.is_valid else None for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, pa.binary())], ["doc_id", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(body, pa.binary())], ["doc_id", "key", "body"])
 
-    squeezed = docs.mapInArrow(squeeze, "doc_id long, body binary")  # texts are shuffled once, compressed
-    full = squeezed.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "body", "raw")
+    squeezed = docs.mapInArrow(squeeze, "doc_id long, key long, body binary")  # texts are shuffled once, compressed
+    full = squeezed.join(spans, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("of")), "left").select("doc_id", "body", "raw")
     return full.mapInArrow(rewrite, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
 
@@ -383,19 +504,20 @@ def digest(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def brute_force(texts: dict[int, str | None], window: int = 100) -> dict[int, tuple[int, int, int, bytes]]:
-    """The contract read literally; for tests."""
-    seen: set[bytes] = set()
-    out = {}
-    for doc in sorted(texts):
-        data = (texts[doc] or "").encode("utf-8", "surrogatepass")
+def brute_force(rows: list[tuple[int | None, str | None]], window: int = 100) -> list[tuple[int, int, int, bytes]]:
+    """The contract read literally, row by row; for tests."""
+    where: dict[bytes, list[tuple[int, str | None, int]]] = {}
+    raw = [(t or "").encode("utf-8", "surrogatepass") for _, t in rows]
+    for (doc, text), data in zip(rows, raw, strict=True):
+        for s in range(len(data) - window + 1) if doc is not None else ():
+            where.setdefault(data[s : s + window], []).append((doc, text, s))
+    out = []
+    for (doc, text), data in zip(rows, raw, strict=True):
         gone = np.zeros(len(data) + 1, bool)
-        for s in range(len(data) - window + 1):
-            w = data[s : s + window]
-            if w in seen:
+        for s in range(len(data) - window + 1) if doc is not None else ():
+            if any(d < doc or (d == doc and t == text and at < s) for d, t, at in where[data[s : s + window]]):
                 gone[s : s + window] = True
-            seen.add(w)
         runs = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         kept = bytes(b for b, g in zip(data, gone, strict=False) if not g)
-        out[doc] = (len(data), len(data) - len(kept), runs, kept)
+        out.append((len(data), len(data) - len(kept), runs, kept))
     return out

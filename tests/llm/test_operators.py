@@ -333,24 +333,69 @@ def test_isotonic():
 # 8
 
 
+def cleaned(df, **limits):
+    return sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in substring_dedup.dedup_substrings(df, **limits).collect())
+
+
+def brute_cleaned(rows):
+    return sorted((i or 0, *x) for (i, _), x in zip(rows, substring_dedup.brute_force(rows), strict=True))
+
+
 def test_substring_dedup(spark):
     shared = words(60, 7)
     rows = [(1, shared), (2, shared), (3, "é" + shared[20:180] + "ü" + words(50, 8) + shared[100:300]), (4, words(80, 9)), (5, "ab" * 400), (6, None), (7, ""), (8, "x" * 99), (9, "x" * 99), (10, words(80, 9)[:150] + words(30, 1)), (11, "q" * 300 + shared + "q" * 300)]
-    want = substring_dedup.brute_force(dict(rows))
-    got = substring_dedup.dedup_substrings(clashing(docs_of(spark, rows))).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got} == want
+    rows += [(12, "\x00" * 120 + shared[:130]), (13, "😀" * 40), (14, "a" + "😀" * 40)]
+    assert cleaned(clashing(docs_of(spark, rows))) == brute_cleaned(rows)
     twice = substring_dedup.dedup_substrings(docs_of(spark, [(1, shared), (1, shared), (None, shared)])).collect()
     assert [r["n_removed"] for r in twice] == [0, 0, 0]
     assert substring_dedup.dedup_substrings(docs_of(spark, [])).count() == 0
 
 
-def test_substring_dedup_in_salted_shards_and_passes(spark, monkeypatch):
-    shared = words(40, 7)
+def test_substring_dedup_tells_texts_of_one_id_apart(spark):
+    s, t = words(100, 1), words(100, 2)
+    rows = [(1, s), (2, s), (2, t), (3, t + " and " + s), (3, s[:200] + t), (3, s[:200] + t), (None, t), (-5, t[50:250])]
+    got = cleaned(docs_of(spark, rows))
+    assert got == brute_cleaned(rows)
+    kept = {(i, n): gone for i, n, gone, _, _ in got}
+    assert kept[2, len(t)] == 200 and kept[2, len(s)] == len(s) and kept[1, len(s)] == 0
+
+
+@pytest.mark.parametrize("limits", [{"shard_rows": 5, "filter_keys": 9}, {"shard_rows": 12}, {}])
+def test_substring_dedup_in_salted_shards_and_passes(spark, limits):
+    shared, line = words(40, 7), words(16, 3)[:66]
     rows = [(i, words(5, i) + shared[i % 7 : 150 + i] + words(9, 500 + i)) for i in range(60)]
-    real = substring_dedup.repeated_spans
-    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda d, w: real(d, w, shard_rows=5, filter_keys=9))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in substring_dedup.dedup_substrings(docs_of(spark, rows)).collect()}
-    assert got == substring_dedup.brute_force(dict(rows))
+    rows += [(100 + i, words(30, 900 + i // 2) + line + words(30, 2000 + i // 3)) for i in range(60)] + [(100, words(30, 3000) + line + words(30, 2000)), (150, words(30, 900) + line + words(4, 1))]
+    assert cleaned(docs_of(spark, rows), **limits) == brute_cleaned(rows)
+
+
+def test_substring_dedup_of_very_long_texts(spark):
+    rng = np.random.default_rng(5)
+    long = "".join(map(chr, rng.integers(97, 123, 3_200_000)))
+    rows = [(1, long), (2, "zz" + long[1_499_900:1_500_200] + "yy"), (3, long[2_999_950:3_000_110] * 2), (4, long[100:3_100_100])]
+    got = {r["doc_id"]: (r["n_removed"], [(x["start"], x["end"]) for x in r["spans"]]) for r in substring_dedup.dedup_substrings(docs_of(spark, rows)).collect()}
+    assert got == {1: (0, []), 2: (300, [(2, 302)]), 3: (320, [(0, 320)]), 4: (3_100_000, [(0, 3_100_000)])}
+
+
+def test_transform_finds_common_prefixes_by_increasing_value():
+    rng = np.random.default_rng(2)
+    window, texts = 40, []
+    for _ in range(90):  # contexts around one anchor, of different reach
+        back, ahead = int(rng.integers(0, 9)), int(rng.integers(33, 41))
+        around = rng.integers(0, 2, 16) + 97
+        texts.append((back, ahead, bytes(around[:back].tolist()) + b"k" * 32 + bytes(around[8 : 8 + ahead - 32].tolist())))
+    start = np.cumsum([0, *[len(t) for _, _, t in texts[:-1]]])
+    data = np.frombuffer(b"".join(t for _, _, t in texts), np.uint8)
+    back, ahead = (np.array([x[i] for x in texts]) for i in (0, 1))
+    index = substring_dedup.Transform(data, start, back, ahead, window)
+    index.extend()
+    prefix = index.prefix.reshape(-1, index.stride)
+    for level in range(9):
+        rows = index.rows[level]
+        suffix = [texts[r][2][texts[r][0] - level :] if texts[r][0] >= level else None for r in rows]
+        for i in range(1, len(rows)):
+            p, q = suffix[i - 1], suffix[i]
+            common = next((n for n, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q))) if p is not None and q is not None else 0
+            assert prefix[window + level, i] == (common if common < window else 0xFF)
 
 
 # 9
