@@ -5,10 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ASCII_SPACE = r"\x20\x09-\x0D"
 
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset and driver and executors are one process."""
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if conf is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="quillmark-ckpt-"))
     return conf or sc.getCheckpointDir()
 
@@ -37,20 +40,44 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillmark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
 
 
-def drop_settled(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files of settled frames that no later plan reads, and let Spark's cleaner drop shuffles that nothing refers to."""
+def drop_settled(spark: SparkSession, *frames: DataFrame | None) -> None:
+    """Delete the files of settled frames that no later plan reads, and let Spark's cleaner drop shuffles that nothing refers to: disks would hold them until the driver's next full collection."""
     jvm = spark.sparkContext._jvm
     gc.collect()
     jvm.System.gc()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for frame in frames:
-        for path in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            if "/quillmark-" in path:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+        if (path := getattr(frame, "_settled_at", None)) is not None:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+_HELD: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any], most: int = 2) -> Any:
+    """What ``make`` returns, made once in a Python worker for all of its tasks; the last few keys are held."""
+    if key not in _HELD:
+        while len(_HELD) >= most:
+            _HELD.pop(next(iter(_HELD)))
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -85,6 +112,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return roots.unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
-
-def empty(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(ddl))

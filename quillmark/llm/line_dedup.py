@@ -10,6 +10,8 @@ and no text is shuffled.
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, drop_settled, settle
+from quillmark.llm.common import cut, drop_settled, held, settle
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _SEED1, _SEED2 = 0x51, 0xA7
 _GAMMA, _LEVELS = 2.0, 24
-_ROW_BYTES = 25  # fingerprint 8, count 4, last document 8, about 5 of hash bits and ranks
+_ROW_BYTES = 21  # fingerprint 8, count 4, last document 8, two thirds of a byte of hash bits and ranks (a test measures it)
 
 
 def line_key(line: bytes) -> bytes:
@@ -51,38 +53,44 @@ def _mix(keys: np.ndarray, level: int) -> np.ndarray:
 class PerfectHash:
     """Minimal perfect hash of distinct uint64 keys: cascaded bit arrays; a key's slot is the rank of its bit.
 
-    Keys that collide at every level (next to never) sit in a sorted tail.
+    Bits are packed in 64-bit words, with one running count to a word. Keys that collide
+    at every level (next to never) sit in a sorted tail.
     """
 
     def __init__(self, keys: np.ndarray):
-        self.bits: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.words: list[np.ndarray] = []
+        self.ranks: list[np.ndarray] = []
         left = np.unique(keys.astype(np.uint64))
-        self.n = len(left)
+        self.n, self.total = len(left), 0
         for level in range(_LEVELS):
             if not len(left):
                 break
             size = max(64, int(_GAMMA * len(left)))
-            at = _mix(left, level) % np.uint64(size)
-            hit = np.bincount(at.astype(np.int64), minlength=size)
-            bits = hit == 1
-            self.bits.append(bits)
-            left = left[~bits[at.astype(np.int64)]]
+            at = (_mix(left, level) % np.uint64(size)).astype(np.int64)
+            alone = np.zeros(-(-size // 64) * 64, bool)
+            alone[:size] = np.bincount(at, minlength=size) == 1
+            words = np.packbits(alone, bitorder="little").view("<u8")
+            counts = np.bitwise_count(words).astype(np.int32)
+            self.sizes.append(size)
+            self.words.append(words)
+            self.ranks.append(self.total + np.cumsum(counts, dtype=np.int32) - counts)
+            self.total += int(counts.sum())
+            left = left[~alone[at]]
         self.tail = left
-        self.ranks, total = [], 0
-        for bits in self.bits:
-            self.ranks.append((total + np.cumsum(bits) - 1).astype(np.int32))
-            total += int(bits.sum())
-        self.total = total
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; for a key that is not in the set, any slot or -1."""
         keys = keys.astype(np.uint64)
         out = np.full(len(keys), -1, np.int64)
         todo = np.arange(len(keys))
-        for level, bits in enumerate(self.bits):
-            at = (_mix(keys[todo], level) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at]
-            out[todo[hit]] = self.ranks[level][at[hit]]
+        for level, (size, words, ranks) in enumerate(zip(self.sizes, self.words, self.ranks, strict=True)):
+            at = _mix(keys[todo], level) % np.uint64(size)
+            word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            here = words[word]
+            hit = ((here >> bit) & np.uint64(1)).astype(bool)
+            below = np.bitwise_count(here & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[todo[hit]] = ranks[word[hit]] + below[hit]
             todo = todo[~hit]
             if not len(todo):
                 return out
@@ -118,7 +126,7 @@ class Shard:
 
 
 def _count_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, n, last): documents that hold a key and the largest; combined on the map side."""
+    """(h1, h2, n, last): doc_ids that hold a key and the largest. Distinct (key, doc_id) meet first, then their partial counts, so that no common line meets in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +143,11 @@ def _count_lines(docs: DataFrame, min_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(ids, pa.int64())], ["h1", "h2", "doc"])
 
     lines = docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, doc long")
-    return lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
+    return lines.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last"))
 
 
 def _shards(hot: DataFrame, shards: int) -> DataFrame:
     """(shard, pickled Shard): built in parallel; shards are even, since keys are distinct hashes."""
-    import pickle
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         h1 = pdf["h1"].to_numpy(np.int64).view(np.uint64)
@@ -152,14 +159,10 @@ def _shards(hot: DataFrame, shards: int) -> DataFrame:
 
 def _probe(docs: DataFrame, index, shards: int, min_chars: int) -> DataFrame:
     """Adds to each document's ``hits`` the numbers of the lines that these shards tell to drop."""
-    import pickle
-
-    kept: dict[str, dict[int, Shard]] = {}
-    schema = docs.schema
+    schema, name = docs.schema, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "index" not in kept:
-            kept["index"] = {s: pickle.loads(b) for s, b in index.value}
+        known_shards = held(name, lambda: {s: pickle.loads(b) for s, b in index.value})
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             a, b, row, no = [], [], [], []
@@ -181,7 +184,7 @@ def _probe(docs: DataFrame, index, shards: int, min_chars: int) -> DataFrame:
             docs_of = np.array([ids[r] for r in row], np.int64)
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 at = order[lo:hi]
-                if (s := kept["index"].get(int(shard[at[0]]))) is not None:
+                if (s := known_shards.get(int(shard[at[0]]))) is not None:
                     known, last = s.probe(h1[at], h2[at])
                     drop[at] = known & (last != docs_of[at])
             hits: list[list[int]] = [x or [] for x in batch.column("hits").to_pylist()]
@@ -198,10 +201,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_k
 
     Lines are split at ``\\n``. A key is the line stripped of ASCII white space with A-Z
     lower-cased. A key of at least ``min_chars`` code points that at least ``min_docs``
-    rows hold loses all its lines, but those of the largest doc_id that holds it. A null
-    or empty text is one empty line. A repeated doc_id counts once for each row. Rows
-    with a null doc_id neither count nor lose lines. Columns of ``docs`` other than
-    doc_id and text are ignored.
+    doc_ids hold loses all its lines, but those of the largest doc_id that holds it. A
+    null or empty text is one empty line. Rows that repeat a doc_id are parts of one
+    document: they count once and keep or lose a line alike. Rows with a null doc_id
+    neither count nor lose lines. Columns of ``docs`` other than doc_id and text are
+    ignored.
 
     The index is broadcast in passes of at most ``broadcast_bytes``; each holds whole
     shards. With more than one pass, documents are written between passes.

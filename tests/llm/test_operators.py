@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import math
+import pickle
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -427,10 +428,26 @@ def test_line_dedup(spark, limits):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    line, other = "the very same line " + "x" * 40, "another line of some length " + "y" * 40
+    rows = [(7, line)] * 5 + [(8, line), (None, line), (None, line)] + [(i, other + "\n" + "é" * 100_000) for i in range(20, 24)] + [(24, other), (24, other + "\nmore"), (None, other)]
+    got = sorted((r["doc_id"] or 0, r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
+    assert [x[:2] for x in got] == [(0, 0)] * 3 + [(7, 0)] * 5 + [(8, 0)] + [(i, 1) for i in range(20, 24)] + [(24, 0)] * 2
+    assert all(t == "é" * 100_000 for i, n, t in got if n)
+
+
 def test_perfect_hash():
-    keys = np.random.default_rng(0).integers(0, 2**63, 20_000).astype(np.uint64)
-    made = line_dedup.PerfectHash(keys)
-    assert sorted(made.slots(keys)) == list(range(len(np.unique(keys))))
+    for n in (1, 63, 20_000):
+        keys = np.unique(np.random.default_rng(0).integers(0, 2**63, n).astype(np.uint64))
+        made = line_dedup.PerfectHash(keys)
+        assert sorted(made.slots(keys)) == list(range(len(keys)))
+
+
+def test_bytes_of_a_shard():
+    rng = np.random.default_rng(0)
+    h1, h2, last = (rng.integers(0, 2**63, 65_536) for _ in range(3))
+    made = line_dedup.Shard(h1.astype(np.uint64), h2.astype(np.uint64), np.full(len(h1), 5), last)
+    assert len(pickle.dumps(made, protocol=5)) <= line_dedup._ROW_BYTES * len(h1)
 
 
 def test_lines_that_share_a_first_hash():
