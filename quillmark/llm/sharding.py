@@ -4,7 +4,8 @@ The directory is indexed by the leading bits of a 60-bit hash. It starts at the
 just short of which shards would fit if bytes were even; only buckets over the byte
 limit then split, each on the next bit. Splitting works on (hash prefix, bytes) sums,
 not on documents, which are read again only for the few buckets that are still too
-large at the summed depth.
+large at the summed depth. Where rows of one key overflow a bucket by themselves, their
+hash takes in the text and, for equal texts, the row.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut
+from quillmark.llm.common import cut, settle, unused
 
 HASH_BITS = 60
 _FINE = 6  # sums are kept at so many bits below the depth that splitting starts from
@@ -24,6 +25,13 @@ def _hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def _among(h: Column, keys: DataFrame, docs: DataFrame, flag: str) -> DataFrame:
+    """``docs`` with ``flag``: whether their hash is one of ``keys``, which are broadcast up to a million (8 MB)."""
+    known = keys.select(F.col("lo").alias(f"{flag}h"), F.lit(True).alias(flag))
+    out = docs.join(F.broadcast(known) if keys.count() <= 1_000_000 else known, h == F.col(f"{flag}h"), "left")
+    return out.withColumn(flag, F.coalesce(flag, F.lit(False))).drop(f"{flag}h")
+
+
 def _prefix(h: Column, bits: int) -> Column:
     return F.shiftright(h, HASH_BITS - bits)
 
@@ -41,11 +49,11 @@ def _split(cells: DataFrame, bits: int, base: int, max_bytes: int) -> tuple[Data
     split = buckets.where("NOT fits").select((F.col("depth") + 1).alias("depth"), F.col("q").alias("parent"))
     fit = buckets.where("fits").withColumn("parent", F.shiftright("q", 1))
     found = fit.where(F.col("depth") == base).unionByName(fit.where(F.col("depth") > base).join(split, ["depth", "parent"], "left_semi"))
-    return found.select("depth", "q", "shard_bytes", "shard_docs"), buckets.where(f"NOT fits AND depth = {bits}").select(F.col("q").alias("p"))
+    return found.select("depth", "q", "shard_bytes", "shard_docs", "lo"), buckets.where(f"NOT fits AND depth = {bits}").select(F.col("q").alias("p"))
 
 
 def build_directory(docs: DataFrame, max_bytes: int) -> DataFrame:
-    """``depth, q, shard_bytes, shard_docs`` of every shard; input ``h, b`` (hash, bytes)."""
+    """``depth, q, shard_bytes, shard_docs, lo`` (least hash) of every shard; input ``h, b`` (hash, bytes)."""
     total = docs.agg(F.sum("b")).first()[0] or 0
     start = max(0, math.ceil(math.log2(max(1.0, total / max_bytes))) - 1)
     bits, base, directory = min(HASH_BITS, start + _FINE), start, None
@@ -63,9 +71,10 @@ def shard_by_bytes(docs: DataFrame, max_bytes: int = 64 << 20, key: str = "doc_i
 
     ``shard_id`` is the shard's hash prefix as a bit string ('' if one shard holds all).
     Bytes are those of the text in UTF-8 (null: 0). A shard exceeds ``max_bytes`` only if
-    one hash fills it, be it one document or rows repeated with one key; ``oversized``
-    is then true. Null keys hash alike. Earlier columns of the added names are replaced.
-    An empty input gives an empty result.
+    a single row does; ``oversized`` is then true. Rows of one key, null included, stay
+    together unless they overflow a shard by themselves: then the text joins in the hash,
+    and for rows equal in that too, which stand for each other, their place. Earlier
+    columns of the added names are replaced. An empty input gives an empty result.
 
     The directory is joined, not broadcast: documents and directory are dealt by the
     shallowest prefix in use, under which a prefix's few entries travel as one array.
@@ -73,21 +82,35 @@ def shard_by_bytes(docs: DataFrame, max_bytes: int = 64 << 20, key: str = "doc_i
     names = ("n_bytes", "shard_id", "shard_depth", "shard_bytes", "shard_docs", "oversized")
     docs = docs.drop(*names).withColumn("n_bytes", F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")))
     keep = docs.columns
-    docs = docs.withColumn("__h", _hash(F.col(key)))
-    directory = cut(build_directory(docs.select(F.col("__h").alias("h"), F.col("n_bytes").alias("b")), max_bytes))
+    h, flag, row, p, own, entry = unused(docs, "__h", "__flag", "__row", "__p", "__dir", "__e")
+    docs = docs.withColumn(h, _hash(F.col(key)))
+    for more in (lambda: F.col(text_col), lambda: F.col(row)):
+        directory = cut(build_directory(docs.select(F.col(h).alias("h"), F.col("n_bytes").alias("b")), max_bytes))
+        crowded = directory.where((F.col("shard_bytes") > max_bytes) & (F.col("shard_docs") > 1)).select("lo")
+        if crowded.isEmpty():
+            break
+        if row not in docs.columns:
+            docs = docs.withColumn(row, F.monotonically_increasing_id())
+        else:
+            docs = settle(docs)  # a row keeps its place
+        mixed = _hash(F.concat_ws("\u0000", F.col(h), more()))
+        docs = _among(F.col(h), crowded, docs, flag).withColumn(h, F.when(F.col(flag), mixed).otherwise(F.col(h))).drop(flag)
+    else:
+        directory = cut(build_directory(docs.select(F.col(h).alias("h"), F.col("n_bytes").alias("b")), max_bytes))
     top = directory.agg(F.min("depth")).first()[0] or 0
-    packed = directory.groupBy(F.expr(f"shiftright(q, depth - {top})").alias("__p"))
-    packed = packed.agg(F.collect_list(F.struct("depth", "q", "shard_bytes", "shard_docs")).alias("__dir"))
-    hit = F.expr(f"filter(__dir, e -> e.q = shiftright(__h, {HASH_BITS} - e.depth))[0]")
-    bits = F.when(F.col("__e.depth") > 0, F.expr("lpad(bin(__e.q), __e.depth, '0')")).otherwise("")
-    joined = docs.withColumn("__p", _prefix(F.col("__h"), top)).join(packed, "__p").withColumn("__e", hit)
+    packed = directory.groupBy(F.expr(f"shiftright(q, depth - {top})").alias(p))
+    packed = packed.agg(F.collect_list(F.struct("depth", "q", "shard_bytes", "shard_docs")).alias(own))
+    hit = F.expr(f"filter({own}, e -> e.q = shiftright({h}, {HASH_BITS} - e.depth))[0]")
+    e = F.col(entry)
+    bits = F.when(e["depth"] > 0, F.lpad(F.bin(e["q"]), e["depth"], F.lit("0"))).otherwise("")
+    joined = docs.withColumn(p, _prefix(F.col(h), top)).join(packed, p).withColumn(entry, hit)
     return joined.select(
         *keep,
         bits.alias("shard_id"),
-        F.col("__e.depth").alias("shard_depth"),
-        F.col("__e.shard_bytes").alias("shard_bytes"),
-        F.col("__e.shard_docs").alias("shard_docs"),
-        (F.col("__e.shard_bytes") > max_bytes).alias("oversized"),
+        e["depth"].alias("shard_depth"),
+        e["shard_bytes"].alias("shard_bytes"),
+        e["shard_docs"].alias("shard_docs"),
+        (e["shard_bytes"] > max_bytes).alias("oversized"),
     )
 
 
