@@ -1,24 +1,29 @@
 """Mixing sources to target weights by entropy balancing.
 
-Document rates minimise the entropy relative to the corpus's own token mass under one
-token constraint for each source. The dual is convex and separable: Newton steps on
-sums of (rate x words) by source find the multipliers, and each rate is the exponential
-tilt exp(lambda) of its document. The rates are then rounded into whole copies, so that
-a source's words stay within about one small document of its constraint.
+Documents start at a rate of one copy each. The rates looked for are closest to that in
+entropy, at most ``cap``, and meet one token constraint for each source: sum of (rate x
+words) = target. The dual is one convex problem a source, in a multiplier lambda, and its
+solution tilts every document exponentially: rate = min(cap, exp(lambda x words)).
+Distributed Newton steps on sums over (source, size) cells find the multipliers. The rates
+are then rounded into whole copies, so that a source's words stay within about one small
+document of its constraint.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import ASCII_SPACE, cut
+from quillmark.llm.common import ASCII_SPACE, cut, settle, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-_BUCKETS = 256
+_BUCKET_BITS = 10
+_BROADCAST_CELLS = 250_000  # of some 60 bytes each
 
 
 def words(text: Column) -> Column:
@@ -47,24 +52,39 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP) -> DataFra
     return s.select("source", "source_size", F.coalesce(F.least("most", F.col("w") * F.col("level")), F.col("most")).alias("target"))
 
 
-def balance(cells: DataFrame, goals: DataFrame, tolerance: float = 1e-12, max_steps: int = 60) -> DataFrame:
-    """``goals`` with ``rate``; ``cells`` are ``k, size, n`` (documents of a source and size), ``goals`` ``k, target, ...``.
+def balance(cells: DataFrame, goals: DataFrame, cap: float = CAP, tolerance: float = 1e-9, max_steps: int = 60) -> DataFrame:
+    """``goals`` with ``lam``; ``cells`` are ``k, size, n`` (documents of a source and size), ``goals`` ``k, target, source_size, ...``.
 
-    Newton on the dual sum(n size exp(lambda)) - lambda target of every source at once.
-    Each step re-sums the tilted cells and cuts the lineage of the multipliers.
+    Newton on log(sum(n size min(cap, exp(lam size)))) = log(target), all sources at once.
+    Each step re-sums the tilted cells; a step that leaves the bracket known so far, or
+    that no uncapped document would answer, is replaced by the bracket's middle. A target
+    of ``cap`` times the source needs no finite multiplier: lam is infinite, all rates are
+    ``cap``. A source without words keeps lam = 0.
     """
-    state = cut(goals.withColumn("lam", F.lit(0.0)))
+    limit = math.log(cap)
+    mean = cells.groupBy("k").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("mean"))
+    full, none = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12), (F.col("source_size") == 0) | (F.col("target") <= 0)
+    start = F.when(none, 0.0).when(full, math.inf).otherwise(F.log(F.col("target") / F.col("source_size")) / F.col("mean"))
+    state = goals.join(mean, "k").withColumn("lam", start).withColumn("done", full | none)
+    state = cut(state.withColumn("lo", F.lit(-math.inf)).withColumn("hi", F.lit(math.inf)).drop("mean"))
     for _ in range(max_steps):
-        tilted = cells.join(state.select("k", "lam"), "k").groupBy("k").agg(F.sum(F.col("n") * F.col("size") * F.exp("lam")).alias("mass"))
-        gap = F.col("mass") - F.col("target")
-        state = cut(
-            state.drop("mass", "gap").join(tilted, "k")
-            .withColumn("gap", F.when(F.col("mass") > 0, F.abs(gap) / F.col("target")).otherwise(0.0))
-            .withColumn("lam", F.when((F.col("mass") > 0) & (F.col("target") > 0), F.col("lam") - gap / F.col("mass")).otherwise(F.col("lam")))
-        )
-        if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
-            break
-    return state.withColumn("rate", F.exp("lam")).drop("mass", "gap", "lam")
+        if state.where("NOT done").isEmpty():
+            return state.drop("lo", "hi", "done")
+        z = F.col("lam") * F.col("size")
+        tokens = F.col("n") * F.col("size") * F.exp(F.least(z, F.lit(limit)))
+        tilted = cells.where("size > 0").join(state.where("NOT done").select("k", "lam"), "k")
+        tilted = tilted.groupBy("k").agg(F.sum(tokens).alias("mass"), F.sum(F.when(z < limit, tokens * F.col("size")).otherwise(0.0)).alias("slope"))
+        low, high = F.when(F.col("mass") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), F.when(F.col("mass") >= F.col("target"), F.col("lam")).otherwise(F.col("hi"))
+        newton = F.col("lam") - F.log(F.col("mass") / F.col("target")) * F.col("mass") / F.col("slope")
+        # a bracket that is open on one side is doubled
+        middle = F.when(F.col("hi") == math.inf, F.col("lo") + F.greatest(F.abs("lo"), F.lit(1e-6))).when(F.col("lo") == -math.inf, F.col("hi") - F.greatest(F.abs("hi"), F.lit(1e-6))).otherwise((F.col("lo") + F.col("hi")) / 2)
+        near = F.abs(F.col("mass") / F.col("target") - 1) <= tolerance
+        state = state.join(tilted, "k", "left").withColumn("done", F.col("done") | F.coalesce(near, F.lit(False)))
+        state = state.withColumn("lo", F.when(F.col("done"), F.col("lo")).otherwise(low)).withColumn("hi", F.when(F.col("done"), F.col("hi")).otherwise(high))
+        inside = F.coalesce((F.col("slope") > 0) & F.col("newton").between(F.col("lo"), F.col("hi")), F.lit(False))
+        state = state.withColumn("newton", newton).withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, F.col("newton")).otherwise(middle))
+        state = cut(state.drop("mass", "slope", "newton"))
+    return state.drop("lo", "hi", "done")  # as near as doubles of this size get
 
 
 def _round_cells(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,41 +99,76 @@ def _round_cells(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k": pdf["k"], "size": pdf["size"], "extra": extras})
 
 
-def mix_sources(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = 17) -> DataFrame:
-    """``docs`` with ``size, source_size, target, rate, copies, taken``.
-
-    Every row is decided by itself, repeated rows and repeated doc_ids included; null
-    sources are one source, a null or empty text has size 0 and is taken once if its
-    rate allows. ``copies`` is at most ``cap``; ``taken`` = copies x size. Reruns agree:
-    choices follow a hash of the doc_id, ties its value. Earlier columns of the added
-    names are replaced. An empty input gives an empty result.
+def _plan(rows: DataFrame, share: float, cap: float) -> DataFrame:
+    """From ``k, source, size, h`` of every document: a row a cell of ``k, size`` with ``source_size, target, rate, whole`` and which hashes get one copy more.
 
-    Cells of one source and size may hold any share of the rows (copies do), so they are
-    dealt over 256 hash buckets; only a bucket that a cell's quota ends in is ranked.
+    These are the hashes under ``below``, and of the documents whose hash is ``below`` the
+    share ``tied``. A cell's quota is found in counts over buckets of hashes; only the
+    bucket that it ends in is looked into, its equal hashes counted first.
     """
-    names = ("size", "source_size", "target", "rate", "copies", "taken")
-    docs = docs.drop(*names).withColumn("size", words(F.col("text")))
-    keep = docs.columns
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    docs = docs.withColumn("__k", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))).withColumn("__h", h).withColumn("__b", F.pmod(h, F.lit(_BUCKETS)))
-    buckets = cut(docs.groupBy(F.col("__k").alias("k"), "source", "size", F.col("__b").alias("b")).agg(F.count(F.lit(1)).alias("m")))
+    bucket = F.shiftright("h", 64 - _BUCKET_BITS)
+    buckets = cut(rows.groupBy("k", "source", "size", bucket.alias("b")).agg(F.count(F.lit(1)).alias("m")))
     cells = buckets.groupBy("k", "source", "size").agg(F.sum("m").alias("n"))
     sizes = cells.groupBy("k", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    goals = targets(sizes.drop("k"), share, cap).withColumn("k", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))).drop("source")
+    goals = targets(sizes.drop("k"), share, cap).withColumn("k", _source_key()).drop("source")
     cells = cut(cells.drop("source"))
-    rates = balance(cells, goals)
+    rate = F.when(F.col("size") == 0, 1.0).otherwise(F.exp(F.least(F.col("lam") * F.col("size"), F.lit(math.log(cap)))))
     whole = F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(cap)))
-    part = F.when(whole >= int(cap), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("rate") - whole))
-    split = cells.join(rates, "k").select("k", "size", "n", part.alias("part"))
-    extra = split.groupBy("k").applyInPandas(_round_cells, "k string, size long, extra long")
-    quota = Window.partitionBy("k", "size").orderBy("b")
-    plan = buckets.drop("source").withColumn("before", F.sum("m").over(quota) - F.col("m")).join(extra, ["k", "size"])
-    plan = plan.select(F.col("k").alias("__k"), "size", F.col("b").alias("__b"), F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("m")).alias("__q"), "m")
-    rates = rates.select(F.col("k").alias("__k"), "source_size", "target", "rate", whole.cast("long").alias("__whole"))
-    out = docs.join(plan.join(rates, "__k"), ["__k", "size", "__b"])
-    rank = F.row_number().over(Window.partitionBy("__k", "size", "__b").orderBy("__h", "doc_id"))
-    out = out.withColumn("copies", F.col("__whole") + (rank <= F.col("__q")).cast("long"))
-    return out.select(*keep, "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    split = cells.join(balance(cells, goals, cap), "k").withColumn("rate", rate).withColumn("whole", whole.cast("long"))
+    split = cut(split.withColumn("part", F.when(F.col("whole") >= int(cap), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))).drop("lam"))
+    extra = split.select("k", "size", "n", "part").groupBy("k").applyInPandas(_round_cells, "k string, size long, extra long")
+    split = cut(split.drop("part").join(extra, ["k", "size"]))
+    before = F.sum("m").over(Window.partitionBy("k", "size").orderBy("b")) - F.col("m")
+    open_cells = split.where("extra > 0 AND extra < n").select("k", "size", "extra")
+    ends = buckets.drop("source").join(open_cells, ["k", "size"]).withColumn("need", F.col("extra") - before).where("need > 0 AND need <= m").select("k", "size", "b", "need")
+    inner = rows.withColumn("b", bucket).join(ends, ["k", "size", "b"]).groupBy("k", "size", "need", "h").agg(F.count(F.lit(1)).alias("m"))
+    inner = inner.withColumn("missing", F.col("need") - F.sum("m").over(Window.partitionBy("k", "size").orderBy("h")) + F.col("m")).where("missing > 0 AND missing <= m")
+    inner = inner.select("k", "size", F.col("h").alias("below"), (F.col("missing") / F.col("m")).alias("tied"))
+    out = split.join(inner, ["k", "size"], "left").withColumn("all", F.col("extra") >= F.col("n"))
+    return cut(out.select("k", "size", F.col("source_size"), "target", "rate", "whole", "all", "below", "tied"))
+
+
+def _source_key() -> Column:
+    return F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))
+
+
+def _mixed(docs: DataFrame, names: dict[str, str], share: float, cap: float, seed: int) -> DataFrame:
+    """``docs`` with the columns that ``names`` lists, under the names it gives."""
+    keep = docs.columns
+    k, size, h, row = unused(docs.drop(*names.values()), "__k", "__size", "__h", "__row")
+    docs = docs.withColumn(k, _source_key()).withColumn(size, words(F.col("text"))).withColumn(h, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
+    plan = _plan(settle(docs.select(F.col(k).alias("k"), "source", F.col(size).alias("size"), F.col(h).alias("h"))), share, cap)
+    few = plan.count() <= _BROADCAST_CELLS
+    plan = plan.select([F.col(c).alias(f"{k}{c}") for c in plan.columns])
+    out = docs.withColumn(row, F.monotonically_increasing_id()).join(F.broadcast(plan) if few else plan, (F.col(k) == F.col(f"{k}k")) & (F.col(size) == F.col(f"{k}size")))
+    of = lambda c: F.col(f"{k}{c}")
+    tie = F.pmod(F.xxhash64(F.lit(seed), F.col(row)), F.lit(1 << 30)) < of("tied") * (1 << 30)
+    more = of("all") | F.coalesce((F.col(h) < of("below")) | ((F.col(h) == of("below")) & tie), F.lit(False))
+    copies = of("whole") + more.cast("long")
+    values = {"size": F.col(size), "source_size": of("source_size"), "target": of("target"), "rate": of("rate"), "copies": copies, "taken": copies * F.col(size)}
+    return out.select(*(c for c in keep if c not in names.values()), *(values[c].alias(n) for c, n in names.items()))
+
+
+def mix_sources(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = 17) -> DataFrame:
+    """``docs`` with ``size, source_size, target, rate, copies, taken``.
+
+    Every row is decided by itself, repeated rows and repeated doc_ids included; null
+    sources are one source. A null, empty or blank text has size 0 and is taken once.
+    ``copies`` is at most ``cap``; ``taken`` = copies x size. Reruns agree: choices follow
+    a hash of doc_id and text. Rows equal in both stand for each other; where a quota ends
+    among them, about as many as it needs are chosen by their place. Earlier columns of
+    the added names are replaced. An empty input gives an empty result.
+
+    Of the documents only (source, size, hash) is written once and counted; the choices
+    come back as one row a (source, size) cell, which is broadcast up to a checked number
+    of cells and joined beyond it, so that texts are not shuffled.
+    """
+    return _mixed(docs, {c: c for c in ("size", "source_size", "target", "rate", "copies", "taken")}, share, cap, seed)
+
+
+def take_copies(docs: DataFrame, out: str, share: float = SHARE, cap: float = CAP, seed: int = 17) -> DataFrame:
+    """``docs``, no column touched, with ``out``: the copies that ``mix_sources`` takes of each row."""
+    return _mixed(docs, {"copies": out}, share, cap, seed)
 
 
 def digest(mixed: DataFrame) -> DataFrame:
