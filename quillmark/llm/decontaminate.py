@@ -9,7 +9,9 @@ items, which are also found inside of other words, count at word borders only.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import drop_settled, settle
+from quillmark.llm.common import held, settle, unused
 
 
 def normal(text: str) -> str:
@@ -103,6 +105,8 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int]]:
         """(item_id, distance) of every item within its budget."""
+        if not self.items:
+            return []
         windows: dict[int, list[list[int]]] = {}
         whole: set[int] = set()
         for end, (size, spots) in self.machine.iter(text):
@@ -148,8 +152,8 @@ def _blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
-    """``docs`` with ``leaks array<struct<item_id, distance>>``, by item_id, one row for each row of ``docs``.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks", error_rate: float = 0.05, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
+    """``docs`` with ``out array<struct<item_id, distance>>``, by item_id, one row for each row of ``docs``.
 
     Texts and items are compared in lower case with white space collapsed. An item of n
     characters leaks where some substring of the whole text is within int(error_rate n)
@@ -157,39 +161,44 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
     substring must also start and end at word borders (see ``border``); under 1 /
     error_rate characters (20) that is the item word for word. Null, empty and blank
     items are left out; a null or empty text has no leaks. Repeated items each count. An
-    earlier column ``leaks`` is replaced.
+    earlier column named ``out`` is replaced.
 
-    Items are broadcast in blocks of about ``block_chars`` characters; with more than one
-    block, documents are written between passes, so that no benchmark is too large.
+    Items are broadcast in blocks of about ``block_chars`` characters; a worker builds a
+    block's automaton once for its tasks. One block is matched in place. With more, the
+    numbered documents are written once, each block reads them and hands on its hits
+    alone, and these are joined back, so that no benchmark is too large.
     """
-    state = docs.drop("leaks").withColumn("leaks", F.expr("CAST(array() AS array<struct<item_id: bigint, distance: int>>)"))
-    schema, spark, old = state.schema, docs.sparkSession, None
-    for nth, block in enumerate(_blocks(benchmark, min_chars, block_chars)):
-        if nth:
-            state = settle(state)
-            if old is not None:
-                drop_settled(spark, old)
-            old = state
-        shared = spark.sparkContext.broadcast(block)
-        state = state.mapInArrow(_matching(shared, error_rate, min_chars), schema)
-    return state
-
-
-def _matching(shared, error_rate: float, min_chars: int):
-    made: list[Matcher] = []
+    spark, docs = docs.sparkSession, docs.drop(out)
+    blocks = _blocks(benchmark, min_chars, block_chars)
+    one, two = next(blocks, []), next(blocks, None)
+    if two is None:
+        return _matched(docs, spark.sparkContext.broadcast(one), out, error_rate, min_chars)
+    (row,) = unused(docs, "__row")
+    rows = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    hits: DataFrame | None = None
+    for block in chain((one, two), blocks):
+        part = _matched(rows.select(row, "text"), spark.sparkContext.broadcast(block), out, error_rate, min_chars)
+        part = part.where(F.size(out) > 0).select(row, F.explode(out).alias("hit"))
+        hits = part if hits is None else hits.unionByName(part)
+    found = hits.groupBy(row).agg(F.array_sort(F.collect_list("hit")).alias(out))
+    return rows.join(found, row, "left").select(*docs.columns, F.coalesce(out, F.expr(f"CAST(array() AS {_LEAKS})")).alias(out))
+
+
+_LEAKS = "array<struct<item_id: bigint, distance: int>>"
+
+
+def _matched(docs: DataFrame, shared, out: str, error_rate: float, min_chars: int) -> DataFrame:
+    """``docs`` with the hits of one block of items."""
+    state, name = docs.withColumn(out, F.expr(f"CAST(array() AS {_LEAKS})")), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Matcher(shared.value, error_rate, min_chars))
+        matcher = held(name, lambda: Matcher(shared.value, error_rate, min_chars), most=1)
         for batch in batches:
-            at = batch.schema.get_field_index("leaks")
-            leaks = batch.column(at).to_pylist()
-            for i, text in enumerate(batch.column("text")):
-                if (t := text.as_py()) and (found := made[0].find(normal(t))):
-                    leaks[i] = sorted([*leaks[i], *({"item_id": a, "distance": b} for a, b in found)], key=lambda x: (x["item_id"], x["distance"]))
+            at = batch.schema.get_field_index(out)
+            leaks = [[{"item_id": i, "distance": d} for i, d in matcher.find(normal(t))] if (t := text.as_py()) else [] for text in batch.column("text")]
             yield batch.set_column(at, batch.schema.field(at), pa.array(leaks, batch.schema.field(at).type))
 
-    return run
+    return state.mapInArrow(run, state.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
