@@ -1,8 +1,10 @@
 """The corpus pipeline: five stages, each an operator of ``quillmark.llm``, applied to ``documents``.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last
-return the columns of ``docs``. Stages decide row by row, whatever doc_ids are null or
-repeated, and keep extra columns.
+return the columns of ``docs`` with their values, whatever their names. Stages decide row
+by row, also where doc_ids are null or repeated. Null, empty and blank texts are judged
+like others; an empty table stays empty. The last stage adds its columns and replaces
+earlier ones of their names.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, minhash, mixing, quality, sharding
-from quillmark.llm.common import ASCII_SPACE, settle, table
+from quillmark.llm.common import ASCII_SPACE, drop_settled, settle, table, unused
 
 SHARD_BYTES = 1 << 20
 
@@ -19,39 +21,43 @@ SHARD_BYTES = 1 << 20
 ORACLE_SQL = None
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, ``__row``, written once so that it does not change."""
-    return settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written once so that it does not change, and the number's name."""
+    (row,) = unused(docs, "__row")
+    return settle(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier, learned from all labels, rejects."""
-    rows = _numbered(docs)
-    scored = quality.score_quality(rows, table(spark, sf_dir, "labels"), carry=("__row",))
-    return rows.join(scored.where("predicted = 0").select("__row"), "__row", "left_anti").select(docs.columns)
+    rows, row = _numbered(docs)
+    scored = quality.score_quality(rows, table(spark, sf_dir, "labels"), carry=(row,))
+    return rows.join(scored.where("predicted = 0").select(row), row, "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, that of the smallest doc_id (null last), of each near-duplicate class; of a doc_id's rows without words, one."""
-    rows = _numbered(docs)
-    named = rows.select("__row", "doc_id", (~F.coalesce(F.col("text").rlike(f"[^{ASCII_SPACE}]"), F.lit(False)) & F.col("doc_id").isNotNull()).alias("blank"))
-    classes = minhash.near_duplicates(rows, id_col="__row").select("__row", "class_id").join(named, "__row")
-    classes = classes.select("__row", "doc_id", "blank", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("c"))
-    first = classes.groupBy("blank", "c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row")).alias("first"))
-    rest = classes.select("__row").join(first.select("first.__row"), "__row", "left_anti")
-    return rows.join(rest, "__row", "left_anti").select(docs.columns)
+    rows, row = _numbered(docs)
+    blank = ~F.coalesce(F.col("text").rlike(f"[^{ASCII_SPACE}]"), F.lit(False)) & F.col("doc_id").isNotNull()
+    named = rows.select(F.col(row).alias("row"), "doc_id", blank.alias("blank"))
+    classes = minhash.near_duplicates(rows, id_col=row).select(F.col(row).alias("row"), "class_id").join(named, "row")
+    classes = classes.select("row", "doc_id", "blank", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("c"))
+    first = classes.groupBy("blank", "c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first"))
+    rest = classes.select("row").join(first.select("first.row"), "row", "left_anti").withColumnRenamed("row", row)
+    return rows.join(rest, row, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item within its edit budget."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(docs.columns)
+    (leaks,) = unused(docs, "__leaks")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), leaks)
+    return found.where(F.size(leaks) == 0).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops or repeats documents so that sources reach their target words."""
-    mixed = mixing.mix_sources(docs)
-    return mixed.where("copies > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    copies, nth = unused(docs, "__copies", "__nth")
+    mixed = mixing.take_copies(docs, copies)
+    return mixed.where(F.col(copies) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +77,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for nth, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if nth < len(STAGES) - 1:
             docs = settle(docs)
+            drop_settled(spark, before)
     return docs

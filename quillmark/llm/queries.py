@@ -32,7 +32,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, third = table(spark, sf_dir, "documents"), quality.fold(F.col("doc_id"), 3)
     out = language.label_languages(docs, learn=third != 1)
-    return out.select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, quarter = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.fold(F.col("doc_id"), 4)
     out = quality.score_quality(docs, labels, learn=quarter != 2)
-    return out.select("doc_id", (quarter == 2).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(quarter == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,18 @@ def test_embedding_links(spark):
 # 2
 
 
+def dense_rates(x, target, cap=2.0):
+    """Rates by bisection on the multiplier of one source."""
+    if target >= cap * x.sum():
+        return np.where(x > 0, cap, 1.0)
+    rates = lambda lam: np.exp(np.minimum(lam * x, math.log(cap)))
+    lo, hi = -100.0, 100.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (rates(mid) * x).sum() < target else (lo, mid)
+    return rates(lo)
+
+
 def test_mixing(spark):
     rows = [(i, words(1 + i % 37, i), None, ("b", "a", None, "é")[i % 4 if i % 3 else 0]) for i in range(400)] + [(1000, None, None, "a"), (1001, "", None, "b"), (0, words(5, 1), None, "b")]
     df = clashing(docs_of(spark, rows))
@@ -100,10 +112,27 @@ def test_mixing(spark):
         own = got[got["source"].isna() if s is None else got["source"] == s]
         assert own["target"].iloc[0] == pytest.approx(want) and own["source_size"].iloc[0] == size[s]
         assert abs(own["taken"].sum() - want) <= 2
+        x = own["size"].to_numpy(float)
+        assert np.allclose(own["rate"], dense_rates(x, want), rtol=1e-6) and len(set(own["rate"])) > 5 or want == 2 * size[s]
     again = mixing.mix_sources(df.repartition(3)).toPandas()
     key = ["doc_id", "size", "copies"]
     assert sorted(map(tuple, got[key].to_numpy().tolist())) == sorted(map(tuple, again[key].to_numpy().tolist()))
     assert mixing.mix_sources(df.limit(0)).count() == 0
+    kept = mixing.take_copies(df, "n").toPandas()
+    assert (kept["size"] == "clash").all() and sorted(kept["n"]) == sorted(got["copies"])
+
+
+def test_mixing_of_odd_rows(spark, monkeypatch):
+    long = " ".join(["w"] * 60_000)
+    rows = [(None, "a b c", None, "s")] * 40 + [(5, "a b c", None, "s"), (5, "x y z", None, "s"), (6, long, None, "t"), (7, None, None, None), (8, " \n", None, "u")] + [(i, words(1 + i % 9, i), None, "v") for i in range(100, 300)]
+    for few in (250_000, 0):  # with the cells broadcast and joined
+        monkeypatch.setattr(mixing, "_BROADCAST_CELLS", few)
+        got = mixing.mix_sources(docs_of(spark, rows)).toPandas()
+        assert len(got) == len(rows) and (got["copies"] <= 2).all() and (got[got["size"] == 0]["copies"] == 1).all()
+        for _, own in got.groupby("source", dropna=False):
+            assert abs(own["taken"].sum() - own["target"].iloc[0]) <= max(3 * 12, own["size"].max()) and own["taken"].sum() <= 2 * own["size"].sum()
+    same = [sorted(map(tuple, mixing.mix_sources(docs_of(spark, [(1, words(9, i), None, "a") for i in range(50)]).repartition(n)).select("text", "copies").collect())) for n in (1, 5)]
+    assert same[0] == same[1] and {n for _, n in same[0]} == {1, 2}
 
 
 # 3
@@ -467,7 +496,12 @@ def test_sharding(spark):
     assert len(got) == len(rows) and (got["n_bytes"] == got["text"].map(lambda t: len(t or ""))).all()
     for _, g in got.groupby("shard_id"):
         assert g["n_bytes"].sum() == g["shard_bytes"].iloc[0] and len(g) == g["shard_docs"].iloc[0]
-        assert (g["shard_bytes"].iloc[0] <= 2000) != bool(g["oversized"].iloc[0]) and (not g["oversized"].iloc[0] or g["doc_id"].nunique() == 1)
+        assert (g["shard_bytes"].iloc[0] <= 2000) != bool(g["oversized"].iloc[0]) and (not g["oversized"].iloc[0] or len(g) == 1)
     ids = sorted(got["shard_id"].unique())
-    assert not any(b.startswith(a) for a, b in zip(ids, ids[1:], strict=False)) and len(got[got["oversized"]]) == 5
+    assert not any(b.startswith(a) for a, b in zip(ids, ids[1:], strict=False)) and got[got["oversized"]]["doc_id"].tolist() == [1000]
+    nulls = [(None, "x" * 500)] * 20 + [(7, f"{i:0500}") for i in range(20)] + [(8, "y" * 500)] * 3 + [(None, None)] * 50
+    got = sharding.shard_by_bytes(docs_of(spark, nulls), 2000).toPandas()
+    sums = got.groupby("shard_id")["n_bytes"].sum()
+    assert len(got) == len(nulls) and sums.max() <= 2000 and (got["shard_bytes"] == got["shard_id"].map(sums)).all() and not got["oversized"].any()
+    assert got[got["doc_id"] == 8]["shard_id"].nunique() == 1  # rows of one key that fit stay together
     assert set(sharding.shard_by_bytes(df, 10**9).toPandas()["shard_id"]) == {""} and sharding.shard_by_bytes(df.limit(0), 2000).count() == 0

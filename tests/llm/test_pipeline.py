@@ -26,13 +26,16 @@ def test_against_sql(spark, name):
 
 
 def test_stages(spark, tmp_path):
-    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("size", F.lit("extra"))
+    extras = ("size", "leaks", "copies", "target", "rate", "__row", "__leaks", "__copies", "__k", "row", "score", "class_id", "shard_id", "x")
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in extras})
     docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 10**6).withColumn("source", F.lit(None).cast("string")))
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DIR)
+        own = [c for c in extras if name != "shards" or c != "shard_id"]
         if name != "shards":
-            assert out.columns == docs.columns
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert out.select([F.bool_and(F.col(c) == F.concat(F.lit(c), F.col("doc_id"))).alias(c) for c in own]).first().asDict() == dict.fromkeys(own, True)
         out.write.parquet(f"{tmp_path}/{name}")
         seen[name] = (docs, spark.read.parquet(f"{tmp_path}/{name}"))
         docs = seen[name][1]
