@@ -3,7 +3,9 @@
 Base kinds are plain patterns. The added kinds are reported only after their bytes
 have been decoded and parsed: PEM and bare DER keys by their nested lengths, OpenSSH
 keys by their length-prefixed fields, signed tokens by their JSON header, and base64 or
-hex text by the secret that it holds once decoded.
+hex text by the secret that it holds once decoded. Base64 may be wrapped in lines of equal
+width, and what was decoded may be encoded in turn, up to three times in all. Encoded text
+in other wrappings (hex over several lines, blanks within) is not joined.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_.-])ey[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.
 #: From the shortest secret that _holds_secret confirms, 14 bytes (token= and 8 more): 19 characters of base64, 28 of hex.
 _ENC64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}={0,2}")
 _ENCHEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{28,}")
+#: Base64 over several lines; which lines belong together is decided by their width.
+_WRAP64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_DEPTH = 3
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
 
@@ -135,13 +140,57 @@ def _pem(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _holds_secret(data: bytes | None) -> bool:
+def _holds_secret(data: bytes | None, depth: int) -> bool:
     if not data or not all(32 <= c < 127 or c in (9, 10, 13) for c in data):
         return False
     text = data.decode("ascii")
     if _ACCESS.search(text) or any(len(m[2]) >= 8 for m in _ASSIGN.finditer(text)):
         return True
-    return any(is_signed_token(m[0]) for m in _JWT.finditer(text)) or bool(_pem(text))
+    return bool(_confirmed(text, depth - 1))
+
+
+def _wrapped(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, joined) of base64 over two or more lines: lines of one width, with and without a narrower last one."""
+    found = []
+    for m in _WRAP64.finditer(text) if "\n" in text else ():
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[A-Za-z0-9+/_=-]+", m[0])]
+        i = 0
+        while i < len(lines) - 1:
+            width, j = lines[i][1] - lines[i][0], i + 1
+            while j < len(lines) and lines[j][1] - lines[j][0] == width:
+                j += 1
+            narrower = j < len(lines) and lines[j][1] - lines[j][0] < width
+            for end in (j + 1, j) if narrower else (j,):
+                if width >= 16 and end > i + 1:
+                    found.append((lines[i][0], lines[end - 1][1], "".join(text[a:b] for a, b in lines[i:end])))
+            i = j
+    return found
+
+
+def _confirmed(text: str, depth: int = _DEPTH) -> list[tuple[str, int, int]]:
+    """Spans of the kinds that are reported after decoding only."""
+    pems = _pem(text)
+    found = pems + [("der", *m.span()) for m in _DER64.finditer(text) if is_der_key(unbase64(m[0]))]
+    found += [("der", *m.span()) for m in _DERHEX.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
+    if "b3BlbnNzaC1rZXktdjE" in text:
+        found += [("ssh", *m.span()) for m in _SSH64.finditer(text) if is_ssh_key(unbase64(m[0]))]
+    if "ey" in text:
+        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+    if depth:
+        found += [("enc", *m.span()) for m in _ENC64.finditer(text) if _holds_secret(unbase64(m[0]), depth)]
+        found += [("enc", *m.span()) for m in _ENCHEX.finditer(text) if len(m[0]) % 2 == 0 and _holds_secret(bytes.fromhex(m[0]), depth)]
+        whole = list(pems)
+        for a, b, joined in _wrapped(text):
+            if any(x <= a and b <= y for _, x, y in whole):
+                continue
+            data = unbase64(joined)
+            if is_der_key(data) or is_ssh_key(data):
+                whole.append(("der" if is_der_key(data) else "ssh", a, b))
+            elif _holds_secret(data, depth):
+                whole.append(("enc", a, b))
+        more = whole[len(pems) :]  # in place of what single lines of them gave
+        found = [s for s in found if not any(a <= s[1] and s[2] <= b for _, a, b in more)] + more
+    return found
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
@@ -153,16 +202,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    found += _pem(text)
-    keys = [m for m in _DER64.finditer(text) if is_der_key(unbase64(m[0]))]
-    hexes = [m for m in _DERHEX.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
-    found += [("der", *m.span()) for m in keys + hexes]
-    if "b3BlbnNzaC1rZXktdjE" in text:
-        found += [("ssh", *m.span()) for m in _SSH64.finditer(text) if is_ssh_key(unbase64(m[0]))]
-    if "ey" in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
-    found += [("enc", *m.span()) for m in _ENC64.finditer(text) if _holds_secret(unbase64(m[0]))]
-    found += [("enc", *m.span()) for m in _ENCHEX.finditer(text) if len(m[0]) % 2 == 0 and _holds_secret(bytes.fromhex(m[0]))]
+    found += _confirmed(text)
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
