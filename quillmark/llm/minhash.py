@@ -1,12 +1,15 @@
 """Near-duplicate classes by DartMinHash.
 
-A document is a weighted set: its shingles of five words, each weighing its number of
-occurrences. Every element has a plane of weight by rank on which darts fall at unit
-rate, the same for every document; a dart is the document's own if it lies below the
-element's weight. Each dart belongs to one coordinate, and the earliest of each makes
-the signature, so that two signatures agree at a coordinate with the documents' weighted
-Jaccard similarity. Rank strips are thrown only as far as a document needs. Bands of
-signatures propose pairs; exact similarity decides.
+A document is a weighted set: its distinct shingles of five words, each weighing its
+number of occurrences. Every shingle has a plane of weight by rank on which darts fall at
+unit rate, the same for every document; a dart is the document's own if it lies below the
+shingle's weight there. Each dart belongs to one coordinate, and the one of least rank of
+each makes the signature, so that two signatures agree at a coordinate with the documents'
+weighted Jaccard similarity. The plane is cut into cells, weight strips [0, 1), [1, 2),
+[2, 4), [4, 8) ... by rank strips that are the narrower the wider the weight strip, so that
+a cell holds few darts; cells are thrown only below the weight and only up to the rank that
+fills a document's coordinates. Cost grows with the distinct shingles, not with their
+weights. Bands of signatures propose pairs; exact similarity decides.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ COORDS = BANDS * ROWS
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Rank strips: dyadic to 4, then 4 wide, so that a cell holds few darts.
+#: Rank strips of a weight strip one wide: dyadic to 4, then 4 wide. Of a strip w wide all is divided by w.
 _EDGES = [0.0, 0.125, 0.25, 0.5, 1.0, 2.0, 4.0]
 
 
@@ -62,13 +65,10 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(bounds, start, side="right"), h
 
 
-def elements(doc: np.ndarray, h: np.ndarray, n_docs: int, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of unit pieces of the weighted shingles: the i-th occurrence of a shingle is its i-th piece.
-
-    Pieces are distinct within a text, so weighted Jaccard is Jaccard over pieces.
-    """
+def elements(doc: np.ndarray, h: np.ndarray, n_docs: int, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hash, occurrences) of every distinct shingle of each text, by text and hash."""
     if len(h) < shingle:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     m = len(h) - shingle + 1
     same = doc[:m] == doc[shingle - 1 :]
     with np.errstate(over="ignore"):
@@ -81,9 +81,7 @@ def elements(doc: np.ndarray, h: np.ndarray, n_docs: int, shingle: int = 5) -> t
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
     first = np.flatnonzero(new)
-    nth = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
-    with np.errstate(over="ignore"):
-        return d, _mix(s + nth.astype(np.uint64) * _C2)
+    return d[first], s[first], np.diff(np.append(first, len(s)))
 
 
 def _edge(j: int) -> float:
@@ -100,40 +98,59 @@ def _cdf(width: float) -> np.ndarray:
     return np.array(out)
 
 
-def signatures(doc: np.ndarray, element: np.ndarray, n_docs: int, coords: int = COORDS) -> np.ndarray:
+def _cells(doc: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, seed, width of the weight strip, part of it under the weight) of every weight strip that an element reaches into."""
+    levels = np.where(weight > 1, np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64) + 1, 1)
+    at = np.repeat(np.arange(len(doc)), levels)
+    level = np.arange(len(at)) - np.repeat(np.cumsum(levels) - levels, levels)
+    width = np.where(level > 0, 2.0 ** (level - 1), 1.0)
+    floor = np.where(level > 0, width, 0.0)
+    with np.errstate(over="ignore"):
+        seed = _mix(element[at] + level.astype(np.uint64) * _C2)
+    return doc[at], seed, width, np.minimum(weight[at] - floor, width)
+
+
+def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, coords: int = COORDS) -> np.ndarray:
     """n_docs x coords dart identities (uint64); rows of texts without elements are 0."""
     best = np.full(n_docs * coords, np.inf)
     sig = np.zeros(n_docs * coords, np.uint64)
-    weight = np.bincount(doc, minlength=n_docs).astype(float)
-    reach = np.where(weight > 0, coords * (math.log(coords) + 3) / np.maximum(weight, 1), 0.0)
-    done = np.zeros(n_docs)  # the rank up to which strips have been thrown
-    j, live = 0, np.flatnonzero(weight > 0)
-    thrown = weight == 0
-    while len(live):
-        lo, hi = _edge(j), _edge(j + 1)
-        mask = np.zeros(n_docs, bool)
-        mask[live] = True
-        pick = mask[doc]
-        d, e = doc[pick], element[pick]
-        cell = _salted(e, 2 * j + 1)
-        u = (cell >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        n = np.searchsorted(_cdf(hi - lo), u, side="right")
-        some = n > 0
-        d, cell, n = np.repeat(d[some], n[some]), np.repeat(cell[some], n[some]), n[some]
-        nth = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
-        with np.errstate(over="ignore"):
-            dart = _mix(cell + (nth.astype(np.uint64) + np.uint64(1)) * _C3)
-        rank = lo + (hi - lo) * (dart >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        key = d * coords + (_mix(dart + _C2) % np.uint64(coords)).astype(np.int64)
-        np.minimum.at(best, key, rank)
-        won = best[key] == rank
-        sig[key[won]] = dart[won] | np.uint64(1)
-        done[live] = hi
-        j += 1
-        # a text is done when its strips reach far enough and no coordinate is without a dart
-        due = live[done[live] >= reach[live]]
-        thrown[due] = np.isfinite(best.reshape(n_docs, coords)[due]).all(axis=1)
-        live = np.flatnonzero(~thrown)
+    total = np.bincount(doc, weight, minlength=n_docs)
+    left = total > 0
+    reach = np.where(left, coords * (math.log(coords) + 3) / np.maximum(total, 1), 0.0)
+    cells = _cells(doc, element, weight)
+    while left.any():
+        live = left[cells[0]]
+        d, seed, width, under = (x[live] for x in cells)
+        limit = reach[d] * width
+        j = 0
+        while len(d):
+            lo, hi = _edge(j), _edge(j + 1)
+            on = lo < limit
+            d, seed, width, under, limit = d[on], seed[on], width[on], under[on], limit[on]
+            cell = _salted(seed, 2 * j + 1)
+            u = (cell >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            n = np.searchsorted(_cdf(hi - lo), u, side="right")
+            some = n > 0
+            n, at = n[some], np.flatnonzero(some)
+            at = np.repeat(at, n)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            with np.errstate(over="ignore"):
+                dart = _mix(cell[at] + (nth.astype(np.uint64) + np.uint64(1)) * _C3)
+                part = np.flatnonzero(under[at] < width[at])
+                if len(part):  # strips that the weight ends in: darts above it are not the document's
+                    high = (_mix(dart[part] + _C1) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                    below = np.ones(len(at), bool)
+                    below[part] = high * width[at[part]] < under[at[part]]
+                    at, dart = at[below], dart[below]
+                rank = (lo + (hi - lo) * (dart >> np.uint64(11)).astype(np.float64) * 2.0**-53) / width[at]
+                key = d[at] * coords + (_mix(dart + _C2) % np.uint64(coords)).astype(np.int64)
+            np.minimum.at(best, key, rank)
+            won = best[key] == rank
+            sig[key[won]] = dart[won] | np.uint64(1)
+            j += 1
+        # a text is done when every coordinate has a dart within the rank that all its cells were thrown up to
+        left &= ~(best.reshape(n_docs, coords).max(axis=1) <= reach)
+        reach = np.where(left, 2 * reach, reach)
     return sig.reshape(n_docs, coords)
 
 
@@ -177,8 +194,8 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, h = word_hashes(part)
             n = len(part)
             t1, t2, count = _text_hashes(doc, h, n)
-            d, e = elements(doc, h, n)
-            keys = band_keys(signatures(d, e, n))
+            d, e, w = elements(doc, h, n)
+            keys = band_keys(signatures(d, e, w, n))
             has = np.bincount(d, minlength=n) > 0
             bands = pa.array([k if ok else None for k, ok in zip(keys, has, strict=True)], pa.list_(pa.int64()))
             own = [batch.column(c).slice(lo, hi - lo) for c in ("id", "k")]
@@ -192,9 +209,39 @@ def _piece_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = [t or "" for t in texts[lo:hi]]
             doc, h = word_hashes(part)
             t1, t2, _ = _text_hashes(doc, h, len(part))
-            d, e = elements(doc, h, len(part))
+            d, e, w = elements(doc, h, len(part))
             bounds = np.searchsorted(d, np.arange(len(part) + 1))
-            yield pd.DataFrame({"t1": t1, "t2": t2, "set": [np.sort(e[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
+            yield pd.DataFrame({"t1": t1, "t2": t2, "set": [_packed(e[a:b], w[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
+
+
+def _packed(element: np.ndarray, weight: np.ndarray) -> bytes:
+    """Elements sorted, those that weigh more than 1 first, then their weights; the first word is their number."""
+    heavy = weight > 1
+    words = np.concatenate([[np.uint64(heavy.sum())], element[heavy], element[~heavy], weight[heavy].astype(np.uint64)])
+    return words.astype(np.uint64).tobytes()
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, weights); the elements are distinct."""
+    words = np.frombuffer(body, np.uint64)
+    heavy = int(words[0])
+    element = words[1 : len(words) - heavy]
+    weight = np.ones(len(element), np.int64)
+    weight[:heavy] = words[len(words) - heavy :]
+    return element, weight
+
+
+def similar(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray], similarity: float) -> bool:
+    """Whether the weighted Jaccard similarity of two sets is at least ``similarity``."""
+    a, b = int(p[1].sum()), int(q[1].sum())
+    if min(a, b) < similarity * max(a, b):
+        return False
+    both = np.concatenate([p[0], q[0]])
+    order = np.argsort(both, kind="stable")
+    both, weight = both[order], np.concatenate([p[1], q[1]])[order]
+    twice = np.flatnonzero(both[1:] == both[:-1])
+    common = int(np.minimum(weight[twice], weight[twice + 1]).sum())
+    return common >= similarity * (a + b - common)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -202,16 +249,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            good = []
-            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                    good.append(False)
-                    continue
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(common >= similarity * (len(p) + len(q) - common))
+            good = [similar(_unpacked(x), _unpacked(y), similarity) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
             yield pdf.loc[good, ["a", "b"]]
 
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -239,20 +277,22 @@ def _crowd_links(rows: DataFrame, similarity: float, chunk: int = 512) -> DataFr
 
         out: list[tuple[int, int]] = []
         if len(root) > 1:
-            sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-            size = np.array([len(x) for x in sets])
-            owner = np.repeat(np.arange(len(sets)), size)
-            _, piece = np.unique(np.concatenate(sets), return_inverse=True)
+            sets = [_unpacked(x) for x in pdf["set"]]
+            size = np.array([w.sum() for _, w in sets])
+            count = np.array([len(e) for e, _ in sets])
+            owner = np.repeat(np.arange(len(sets)), count)
+            weight = np.concatenate([w for _, w in sets])
+            _, piece = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)
             order = np.argsort(piece, kind="stable")
-            holders, bounds = owner[order], np.concatenate([[0], np.cumsum(np.bincount(piece))])
-            ends = np.cumsum(size)
+            holders, weighs, bounds = owner[order], weight[order], np.concatenate([[0], np.cumsum(np.bincount(piece))])
+            ends = np.cumsum(count)
             names, counts = np.unique(comp, return_counts=True)
             largest = names[counts.argmax()]
             for i in np.flatnonzero(comp != largest):
-                mine = piece[ends[i] - size[i] : ends[i]]
-                lens = bounds[mine + 1] - bounds[mine]
-                at = np.repeat(bounds[mine], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-                common = np.bincount(holders[at], minlength=len(sets))
+                mine = slice(ends[i] - count[i], ends[i])
+                lens = bounds[piece[mine] + 1] - bounds[piece[mine]]
+                at = np.repeat(bounds[piece[mine]], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+                common = np.bincount(holders[at], np.minimum(weighs[at], np.repeat(weight[mine], lens)), minlength=len(sets))
                 for j in np.flatnonzero((common >= similarity * (size + size[i] - common)) & (comp != comp[i])):
                     x, y = find(int(comp[i])), find(int(comp[j]))
                     if x != y:
