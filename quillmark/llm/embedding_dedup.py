@@ -192,16 +192,19 @@ def link_embeddings(vectors: DataFrame, cosine: float = 0.93, leading: int = 6,
     Two vectors link if their labels are equal and not null, their lengths are equal and
     their cosine in double precision is at least ``cosine``. A vector that is null, zero
     or empty, or holds a null or non-finite component, links with nothing, as does one
-    without a label: n_links 0, its own component, kept. Equal vectors of a label are
-    compared once and their links counted with their number; rows that repeat a vec_id
-    count as vectors of their own. Other columns are ignored. vec_ids must be longs.
+    without a label: n_links 0, its own component, kept. Rows that repeat vec_id, label
+    and components are one vector; different vectors of one vec_id each have links of
+    their own. Equal vectors of a label are compared once and count with the number of
+    their vec_ids. A row with a null vec_id links with nothing. Other columns are ignored.
+    vec_ids must be longs. A vector that very many rows share is one row until the last
+    join, whose hot side is split by adaptive execution.
     """
     eps = math.sqrt(2 - 2 * cosine)
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label"))
     good = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _valid(F.col("vec")))
-    merged = good.groupBy("label", "vec").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
-    heads = settle(merged.select(F.col("head").alias("id"), "label", "vec", "n", F.size("vec").alias("size")))
-    blocks = _blocks(heads, _axes(heads, leading, sample), eps, leading, block)
+    merged = good.groupBy("label", "vec").agg(F.min("id").alias("head"), F.count_distinct("id").alias("n"))
+    heads = settle(merged.select(F.monotonically_increasing_id().alias("id"), "label", "vec", "n", F.size("vec").alias("size"), "head"))
+    blocks = _blocks(heads.drop("head"), _axes(heads, leading, sample), eps, leading, block)
     starts = blocks.groupBy("part").agg(F.count(F.lit(1)).alias("k")).collect()  # one row a partition
     base, total = {}, 0
     for r in sorted(starts, key=lambda r: r["part"]):
@@ -220,8 +223,10 @@ def link_embeddings(vectors: DataFrame, cosine: float = 0.93, leading: int = 6,
     found = settle(found)
     degrees = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    per_head = heads.join(degrees, "id", "left").join(comp, "id", "left")
-    per_head = per_head.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("l"), F.coalesce("component", "id").alias("c"))
+    linked = comp.join(heads.select("id", "head"), "id")
+    named = linked.join(linked.groupBy("component").agg(F.min("head").alias("c")), "component").select("id", "c")
+    per_head = heads.join(degrees, "id", "left").join(named, "id", "left")
+    per_head = per_head.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("l"), F.coalesce("c", "head").alias("c"))
     keyed = rows.withColumn("ok", F.col("id").isNotNull() & F.col("label").isNotNull() & _valid(F.col("vec")))
     one = keyed.where("ok").join(per_head, ["label", "vec"]).select(F.col("id").alias("vec_id"), F.col("l").alias("n_links"), F.col("c").alias("component_id"))
     rest = keyed.where("NOT ok OR ok IS NULL").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
@@ -230,18 +235,18 @@ def link_embeddings(vectors: DataFrame, cosine: float = 0.93, leading: int = 6,
 
 ORACLE = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  SELECT row_number() OVER () AS r, * FROM (
+    SELECT DISTINCT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
 ), l AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b
-  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  SELECT a.r AS a, b.r AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
 ), reach AS (
-  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+  SELECT r AS a, r AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+), found AS (
+  SELECT v.vec_id, v.label, v.e, (SELECT count(*) FROM l WHERE l.a = v.r) AS n, (SELECT min(w.vec_id) FROM reach JOIN v AS w ON w.r = reach.b WHERE reach.a = v.r) AS c FROM v
 )
-SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links,
-       (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS component_id,
-       vec_id = (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS kept
-FROM embeddings
+SELECT t.vec_id, coalesce(f.n, 0) AS n_links, coalesce(f.c, t.vec_id) AS component_id, coalesce(t.vec_id = coalesce(f.c, t.vec_id), true) AS kept
+FROM embeddings AS t LEFT JOIN found AS f ON t.vec_id = f.vec_id AND t.label = f.label AND list_transform(t.embedding, lambda x: x::DOUBLE) = f.e
 """

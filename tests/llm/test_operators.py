@@ -76,6 +76,13 @@ def test_embedding_links(spark):
     assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_embedding_links_under_repeated_ids(spark):
+    near, far = [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, [1.0, 0.0, 0.0], 1)] * 3 + [(2, near, 1), (2, far, 1), (3, [0.0, 0.1, 1.0], 1), (4, near, 1), (4, near, 1), (None, near, 1), (5, far, 2), (6, None, None), (6, None, None)]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=4).collect())
+    assert got == [(0, 0, 0, True)] + [(1, 2, 1, True)] * 3 + [(2, 1, 2, True), (2, 2, 1, False), (3, 1, 2, False)] + [(4, 2, 1, False)] * 2 + [(5, 0, 5, True), (6, 0, 6, True), (6, 0, 6, True)]
+
+
 # 2
 
 
@@ -188,14 +195,37 @@ def test_near_duplicates_by_text_under_repeated_ids(spark):
     assert got == [(0, 0, True)] * 2 + [(3, 3, True)] * 2 + [(5, 3, False), (5, 5, True), (7, 3, False), (9, 5, False), (big, big, True), (big + 2, big, False)]
 
 
-def test_signature_agrees_with_similarity():
-    base, other = words(600, 1).split(), words(600, 1).split()
-    other[100:140] = words(40, 2).split()
-    d, h = minhash.word_hashes([" ".join(base), " ".join(other)])
-    doc, e = minhash.elements(d, h, 2)
-    sig = minhash.signatures(doc, e, 2)
-    a, b = set(e[doc == 0]), set(e[doc == 1])
-    assert (sig > 0).all() and abs((sig[0] == sig[1]).mean() - len(a & b) / len(a | b)) < 0.1
+def weighted(rows):
+    """(doc, element, weight) arrays of dicts."""
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    return doc, np.array([e for r in rows for e in sorted(r)], np.uint64), np.array([r[e] for r in rows for e in sorted(r)], np.int64)
+
+
+@pytest.mark.parametrize("top", [1, 3, 40, 1000])
+def test_signatures_agree_with_weighted_similarity(top):
+    rng = np.random.default_rng(top)
+    names = rng.integers(1, 2**62, 60)
+    a = {int(x): int(rng.integers(1, top + 1)) for x in names[:50]}
+    b = {x: max(1, w + int(rng.integers(-(w // 2), w // 2 + 1))) for x, w in a.items()} | {int(x): int(rng.integers(1, top + 1)) for x in names[50:]}
+    sig = minhash.signatures(*weighted([a, b, {}, {7: 5}]), 4, coords=4000)
+    common = sum(min(w, b.get(x, 0)) for x, w in a.items())
+    want = common / (sum(a.values()) + sum(b.values()) - common)
+    assert (sig[[0, 1, 3]] > 0).all() and (sig[2] == 0).all()
+    assert abs((sig[0] == sig[1]).mean() - want) < 4 * math.sqrt(want * (1 - want) / 4000) + 1e-9
+    packed = [minhash._unpacked(minhash._packed(*weighted([x])[1:])) for x in (a, b)]
+    assert minhash.similar(*packed, want - 1e-9) and not minhash.similar(*packed, want + 1e-9)
+
+
+def test_signature_cost_grows_with_distinct_elements(monkeypatch):
+    thrown, real = [], minhash._salted
+    monkeypatch.setattr(minhash, "_salted", lambda x, salt: thrown.append(len(x)) or real(x, salt))
+    elements = {int(x): 1 for x in np.random.default_rng(0).integers(1, 2**62, 300)}
+    cost = {}
+    for weight in (1, 10_000):
+        thrown.clear()
+        minhash.signatures(*weighted([dict.fromkeys(elements, weight)]), 1)
+        cost[weight] = sum(thrown)
+    assert cost[10_000] < 20 * cost[1]
 
 
 # 4
@@ -247,6 +277,82 @@ def test_short_encoded_secrets():
         assert secret_scan.scan(f"x {base64.b64encode(plain).decode()} y") == [] == [s for s in secret_scan.scan(f"x {plain.hex()} y") if s[0] == "enc"]
 
 
+def test_wrapped_and_nested_secrets():
+    kinds = lambda t: [k for k, _, _ in secret_scan.scan(t)]
+    key = der(0x30, der(2, b"\x00") + der(2, b"\x00" + bytes(range(1, 65))) * 8)
+    for body, kind in ((key, "der"), (b"some words, then the password = hunter2hunter2 and more words after it, enough for lines", "enc")):
+        b64 = base64.b64encode(body).decode()
+        for width, end in ((64, "\n"), (76, "\r\n"), (32, "\n  ")):
+            text = f"é x\n{end.join(b64[i : i + width] for i in range(0, len(b64), width))}\nplain words"
+            (span,) = (s for s in secret_scan.scan(text) if s[0] == kind)
+            assert span[1] == 4 and text[: span[2]].endswith(b64[-4:]) and text[span[2] :].startswith("\nplain")
+    deep = b"token=abcdefgh1"
+    for n in range(4):
+        assert ("enc" in kinds(f"x {deep.decode()} y")) == (0 < n <= 3), n
+        deep = base64.b64encode(deep) if n % 2 else deep.hex().encode()
+    assert kinds("x " + "\n".join(["plainwordsofsixteen"] * 5)) == []
+
+
+def brute_base(text):
+    """The base kinds by walking over the text."""
+    low, spans = "".join(c.lower() if c.isascii() else c for c in text), []
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, chars):
+        while at < len(text) and text[at] in chars:
+            at += 1
+        return at
+
+    at = 0
+    while at < len(text):
+        end = next((at + len(w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, at)), None)
+        if end is not None:
+            end = run(end + (text[end : end + 1] in ("'", '"')), " ")
+            if text[end : end + 1] in (":", "="):
+                end = run(end + 1, " ")
+                end += text[end : end + 1] in ("'", '"')
+                stop = run(end, value)
+                if stop > end:
+                    if stop - end >= 8:
+                        spans.append(("assign", at, stop))
+                    at = stop
+                    continue
+        at += 1
+    for kind, head, chars, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), ("hex", "", "0123456789abcdef", 32)):
+        at = 0
+        while at < len(text):
+            stop = run(at + len(head), chars) if text.startswith(head, at) else at
+            if stop > at + len(head):
+                if stop - at >= least:
+                    spans.append((kind, at, stop))
+                at = stop
+            else:
+                at += 1
+    return sorted(spans, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_base_spans_against_a_walk():
+    rng = np.random.default_rng(6)
+    parts = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", "'", '"', " ", " ", "=", ":", "=", "abcdefgh", "x.y-z/", "AKIA", "AKIAABCDEFGHIJKL", "Z9", "0123456789abcdef", "deadbeef", "é", "\u212a", "\n", "ſecret", "_", "12345678"]
+    hits = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, rng.integers(1, 24)))
+        got = [s for s in secret_scan.scan(text) if s[0] in secret_scan.BASE]
+        assert got == brute_base(text), text
+        hits += len(got)
+    assert hits > 2000
+
+
+def test_recall_on_encoded_secrets():
+    rng, caught, n = np.random.default_rng(8), 0, 400
+    for i in range(n):
+        secret = [f"AKIA{''.join(rng.choice(list('ABCDEFGHJKLMNPQR2345'), 16))}", f"password: {''.join(rng.choice(list('abcdefgh12345'), 12))}", f"api_key='{rng.bytes(12).hex()}'"][i % 3]
+        body = f"{words(i % 5, i)} {secret} {words(i % 4, i + 1)}".encode()
+        hidden = [base64.b64encode(body).decode(), base64.urlsafe_b64encode(body).decode().rstrip("="), body.hex(), body.hex().upper()][i % 4]
+        caught += any(k == "enc" for k, _, _ in secret_scan.scan(f"{words(9, i)} {hidden} {words(9, i)}"))
+    assert caught == n
+
+
 def test_large_ids_beside_null_ones(spark):
     big = 2**60 + 1  # not a double
     df = docs_of(spark, [(big, "alpha beta token=abcdefgh1", "a"), (None, "uno dos", "b"), (3, "uno dos tres", "b")]).coalesce(1)
