@@ -295,6 +295,14 @@ def _later(new: np.ndarray, rank: np.ndarray, doc: np.ndarray, text: np.ndarray)
     return late
 
 
+def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each place."""
+    words = data[at[:, None] + np.arange(GRAM)[None, :]].view("<u8")
+    with np.errstate(over="ignore"):
+        h = sum((words[:, j] * _M[j] for j in range(GRAM // 8)), np.zeros(len(at), np.uint64))
+        return (h ^ (h >> np.uint64(31))) * _M[1]
+
+
 def repeats(table: dict[str, np.ndarray], window: int) -> np.ndarray:
     """n x levels booleans: whether the window that starts ``level`` bytes before the anchor starts earlier too.
 
@@ -318,6 +326,10 @@ def repeats(table: dict[str, np.ndarray], window: int) -> np.ndarray:
     back, ahead = table["back"].astype(np.int32), table["ahead"].astype(np.int32)
     out[late] = ((x <= back[:, None]) & (x >= window - ahead[:, None]))[late]
     kept = np.flatnonzero(~late)
+    # where all contexts of an anchor are equal, no other window can be one of theirs
+    grams = _grams(table["data"], table["start"][kept] + back[kept])
+    _, which, count = np.unique(grams, return_inverse=True, return_counts=True)
+    kept = kept[count[which] > 1]
     index = Transform(table["data"], table["start"][kept], back[kept], ahead[kept], window)
     index.extend()
     rows = index.rows.reshape(-1)
@@ -391,7 +403,7 @@ def _later_windows(firsts: DataFrame) -> DataFrame:
     return marked.where("doc > first_doc OR a > first_a").select("doc", "key", "a", "b")
 
 
-def repeated_spans(docs: DataFrame, window: int = 100, shard_rows: int = 40_000, filter_keys: int = 16_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 100, shard_rows: int = 20_000, filter_keys: int = 16_000_000) -> DataFrame:
     """Rows ``(doc, key, a, b)``: byte spans covered by windows that occur earlier; spans may overlap. ``docs`` are ``doc_id, text, key``.
 
     Anchor hashes are counted first. Those that occur twice or more go into a bit filter
@@ -408,11 +420,13 @@ def repeated_spans(docs: DataFrame, window: int = 100, shard_rows: int = 40_000,
     passes = max(1, math.ceil(distinct / filter_keys))
     shards, salts = max(1, math.ceil((total or 0) / passes / shard_rows)), max(1, math.ceil(2 * (most or 0) / shard_rows))
     crowded = counts.where(F.col("n") > shard_rows)
+    # some 6 MB of packed contexts a task, as far as a shuffle bears so many tasks
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, math.ceil((total or 0) / passes / 100_000)))
     spans: DataFrame | None = None
     for nth in range(passes if distinct else 0):
         shared = spark.sparkContext.broadcast([_bit_filter(counts, distinct, passes, nth), _bit_filter(crowded, min(distinct, (total or 0) // shard_rows), passes, nth)])
         packed = docs.mapInArrow(_context_rows(window, shared, passes, nth, shards, salts), "shard long, salt long, body binary")
-        found = settle(packed.groupBy("shard", "salt").applyInArrow(_resolve(window), _FOUND_DDL))
+        found = settle(packed.repartition(tasks, "shard", "salt").groupBy("shard", "salt").applyInArrow(_resolve(window), _FOUND_DDL))
         here = found.where("w1 IS NULL").select("doc", "key", "a", "b")
         if most > shard_rows:
             here = here.unionByName(_later_windows(found.where("w1 IS NOT NULL")))
@@ -449,7 +463,7 @@ def _bit_filter(counts: DataFrame, keys: int, passes: int, nth: int) -> tuple[by
     return bytes(out), bits
 
 
-def dedup_substrings(docs: DataFrame, window: int = 100, shard_rows: int = 40_000, filter_keys: int = 16_000_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 100, shard_rows: int = 20_000, filter_keys: int = 16_000_000) -> DataFrame:
     """Rows ``(doc_id, n_bytes, n_removed, spans, kept)``, one for each row of ``docs``.
 
     Texts are taken as UTF-8 bytes (null: empty). A byte goes if a ``window``-byte string
