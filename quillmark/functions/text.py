@@ -44,10 +44,39 @@ def base_url(port: Column) -> Column:
     return F.concat(F.lit("http://127.0.0.1:"), port.cast("string"))
 
 
+def mcp_url(port: Column) -> Column:
+    return F.concat(base_url(port), F.lit("/mcp"))
+
+
 def viewer_query(port: Column, token: Column) -> Column:
     return F.concat(F.lit("api="), encode_query(base_url(port)), F.lit("&token="), encode_query(F.coalesce(token, F.lit(""))))
 
 
+def viewer_url(page: str, port: Column, token: Column) -> Column:
+    return F.concat(F.lit(page), F.lit("?"), viewer_query(port, token))
+
+
+def encode_component(value: Column) -> Column:
+    """Percent-encoding as of a browser's component encoder, which also leaves ``!'()*`` alone."""
+    out = encode_query(value)
+    for a, b in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%2A", "*")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def bearer(token: Column) -> Column:
+    """The authorization header; null without a token."""
+    clean = F.nullif(F.trim(token), F.lit(""))
+    return F.when(clean.isNotNull(), F.concat(F.lit("Bearer "), clean))
+
+
+def client_settings(server: str, port: Column, token: Column, transport: str | None = None) -> Column:
+    """A client's JSON block for the local endpoint; ``transport`` where the client wants its kind named."""
+    kind = [F.lit(transport).alias("type")] if transport else []
+    entry = F.struct(*kind, mcp_url(port).alias("url"), F.struct(bearer(token).alias("Authorization")).alias("headers"))
+    return F.to_json(F.struct(F.struct(entry.alias(server)).alias("mcpServers")), {"pretty": "true"})
+
+
 def after_hash(value: Column) -> Column:
     """What follows the first '#'; '' without one."""
     at = F.instr(value, "#")

@@ -46,14 +46,14 @@ def diagnostic(when: Column, code: str, severity: str, field: str, message: Colu
 def project(notes: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008  frozen
     """``notes`` (relative_path, content, ...) with has_front_matter, front_matter_valid, authored, effective and diagnostics.
 
-    A null content counts as empty. Narrow; with flat options it stays inside the JVM,
-    and the body is not touched unless a later operator reads it.
+    A null content counts as empty. Earlier columns of the added names are replaced.
+    Narrow; with flat options it stays inside the JVM, and the body is not touched unless
+    a later operator reads it.
     """
-    content = F.coalesce("content", F.lit(""))
-    front = fm.front_matter(content)
+    keep = [c for c in notes.columns if c not in ("has_front_matter", "authored", "front_matter_valid", "effective", "diagnostics")]
     a = F.col("authored")
-    out = notes.withColumn("has_front_matter", fm.has_front_matter(content))
-    out = out.withColumn("authored", fm.decode_flat(F.coalesce(front, F.lit(""))) if options.flat else fm.decode_yaml(front))
+    out = fm.split(notes.select(keep), "content", "__block", "__front").withColumn("has_front_matter", F.col("__block") != "")
+    out = fm.decode_flat(out, "__front", "authored", "__lines") if options.flat else fm.decode_yaml(out, "__front", "authored")
     out = out.withColumn("front_matter_valid", F.col("has_front_matter") & a.isNotNull())
     level, state = a["sensitivity"], a["epistemic_state"]
     known = F.coalesce(level.isin(*SENSITIVITY), F.lit(False))
@@ -71,7 +71,10 @@ def project(notes: DataFrame, options: Options = Options()) -> DataFrame:  # noq
         diagnostic(state.isNotNull() & ~sure, EPISTEMIC_INVALID, "error", "epistemic_state", F.concat(F.lit("unknown epistemic state: "), state)),
         *[diagnostic(is_naive_time(a[f]), TEMPORAL_NAIVE, "warning", f, F.concat(F.lit("no time zone: "), a[f])) for f in ("created_at", "updated_at")],
     ]
-    return out.withColumn("diagnostics", F.array_compact(F.array(*found)))
+    out = out.withColumn("diagnostics", F.array_compact(F.array(*found)))
+    made = F.struct("has_front_matter", "authored", "front_matter_valid", "effective", "diagnostics")
+    # a generator of one row: filters on what is made here stay above it, so that the optimizer does not copy the expressions into them
+    return out.select(*keep, F.inline_outer(F.array(made)))
 
 
 def reason(projection: DataFrame) -> Column:

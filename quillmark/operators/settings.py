@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import after_hash
@@ -53,7 +53,7 @@ def patched(base: Column, patch: Column) -> Column:
 
 def blocked_reason(s: Column) -> Column:
     """Why serving can't be enabled; null if it can."""
-    return F.when(F.coalesce(s["notes_dir"], F.lit("")) == "", "Choose a notes folder first.").when(~F.coalesce(s["default_sensitivity"].isin(*SENSITIVITY), F.lit(False)), "Choose a default sensitivity first.")
+    return F.when(F.coalesce(s["notes_dir"], F.lit("")) == "", "notes_dir is not set").when(~F.coalesce(s["default_sensitivity"].isin(*SENSITIVITY), F.lit(False)), "default_sensitivity is not a known level")
 
 
 def connect_info(port: Column, token: Column) -> Column:
@@ -61,21 +61,64 @@ def connect_info(port: Column, token: Column) -> Column:
     return F.when(clean.isNotNull(), F.struct(port.alias("port"), clean.alias("token")))
 
 
-def load(path: str) -> dict:
-    """Settings from a file; an unreadable file gives none, so that all defaults apply."""
+def path_of(folder: str, what: str) -> str:
+    """Where a configuration folder keeps its ``settings``, ``status`` and ``token``."""
+    return str(Path(folder) / {"settings": "settings.json", "status": "status.json", "token": "token"}[what])
+
+
+def _text(path: str) -> str | None:
     try:
-        return json.loads(Path(path).read_text(encoding="utf-8"))
+        return Path(path).read_text(encoding="utf-8")
     except (OSError, ValueError):
-        return {}
+        return None
+
+
+def _normal(spark: SparkSession, body: str | None, patch: dict | None = None) -> dict:
+    row = spark.createDataFrame([(body,)], "body string").select(normalize(F.col("body")).alias("s"))
+    if patch is not None:
+        given = [F.lit(patch.get(f)).cast(kind).alias(f) for f, kind in zip(FIELDS, ("string", "string", "int", "boolean", "boolean"), strict=True)]
+        row = row.select(patched(F.col("s"), F.struct(*given)).alias("s"))
+    return row.first()["s"].asDict()
+
+
+def load(spark: SparkSession, path: str) -> dict:
+    """Valid settings from a file; an unreadable or unparsable one gives all defaults."""
+    return _normal(spark, _text(path))
 
 
 def save(path: str, settings: dict) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(settings, indent=2), encoding="utf-8")
 
 
+def update(spark: SparkSession, path: str, patch: dict) -> dict:
+    """The file's settings with a patch put in, saved and returned."""
+    out = _normal(spark, _text(path), patch)
+    save(path, out)
+    return out
+
+
+def read_token(path: str) -> str | None:
+    """A token file's content, trimmed; None if it is missing or blank."""
+    return (_text(path) or "").strip() or None
+
+
+def read_status(path: str) -> dict | None:
+    """A status document; None if the file is missing. One that can't be parsed is an error."""
+    body = _text(path)
+    return None if body is None else json.loads(body)
+
+
 def git_pins(lockfiles: DataFrame) -> DataFrame:
     """From ``content`` (lockfile JSON): git dependencies, their ref, and whether it is a full commit id."""
     entries = F.explode(F.map_entries(F.from_json(F.get_json_object("content", "$.packages"), "map<string, struct<resolved: string>>")))
     out = lockfiles.select(entries.alias("e")).select(F.col("e.key").alias("name"), F.col("e.value.resolved").alias("resolved"))
     out = out.where(F.col("resolved").startswith("git+")).withColumn("ref", after_hash(F.col("resolved")))
     return out.withColumn("pinned", F.col("ref").rlike("^[0-9a-f]{40}$"))
+
+
+def pin_problems(lockfiles: DataFrame) -> DataFrame:
+    """One row: the number of git dependencies and a line for each that is not pinned, in order."""
+    pins = git_pins(lockfiles)
+    line = F.when(~F.col("pinned"), F.concat("name", F.lit(": "), F.when(F.col("ref") == "", "no ref").otherwise(F.col("ref"))))
+    return pins.agg(F.count(F.lit(1)).alias("git_dependencies"), F.array_sort(F.collect_list(line)).alias("problems"))

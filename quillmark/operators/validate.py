@@ -12,13 +12,11 @@ def with_prefix(diagnostics: Column, prefix: str) -> Column:
     return F.filter(diagnostics, lambda d: d["code"].startswith(prefix))
 
 
-def has_code(diagnostics: Column, code: str) -> Column:
-    return F.exists(diagnostics, lambda d: d["code"] == code)
-
-
 def report(projection: DataFrame) -> DataFrame:
     """A row for each diagnostic."""
-    return projection.select("relative_path", F.explode("diagnostics").alias("d")).select("relative_path", "d.*")
+    # the outer form, as the inner one has the optimizer filter by a second copy of the whole projection
+    rows = projection.select("relative_path", F.explode_outer("diagnostics").alias("d"))
+    return rows.where("d IS NOT NULL").select("relative_path", "d.*")
 
 
 def summary(projection: DataFrame) -> DataFrame:

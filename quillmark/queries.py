@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quillmark.functions import text
 from quillmark.operators import assess, graph, proposals, settings, validate
 from quillmark.operators.projection import Options, project, reason, visible
-from quillmark.sources.notes import notes_from_documents
+from quillmark.sources.notes import FORMS, notes_from_documents, varied_notes_from_documents
 from quillmark.streaming.watch import event_windows
+from quillmark.vocabulary import SENSITIVITY
 
 FLAT = Options(flat=True)
 
@@ -104,13 +105,41 @@ def corpus_hash(s, d):
     return assess.corpus_hash(_table(s, d, "documents"), "doc_id", "text")
 
 
+def varied_projection(s, d):
+    """Every composed form of front matter through the YAML decoder, a row a note."""
+    p = project(varied_notes_from_documents(_table(s, d, "documents")))
+    a, e = F.col("authored"), F.col("effective")
+    return p.select("relative_path", "has_front_matter", "front_matter_valid", a["uid"].alias("uid"), a["sensitivity"].alias("authored_sensitivity"), F.array_join(a["handling"], ",").alias("handling"), F.array_join(a["tags"], ",").alias("tags"), a["confidence"].alias("confidence"), e["sensitivity"].alias("sensitivity"), e["epistemic_state"].alias("epistemic_state"), e["epistemic_state_defaulted"].alias("epistemic_state_defaulted"))
+
+
+def varied_diagnostics(s, d):
+    return validate.summary(project(varied_notes_from_documents(_table(s, d, "documents"))))
+
+
+def varied_ceiling_filter(s, d):
+    p = visible(project(varied_notes_from_documents(_table(s, d, "documents")), Options("internal")), "restricted")
+    return p.select("relative_path", F.col("effective.sensitivity").alias("sensitivity"))
+
+
+def varied_flat_projection(s, d):
+    """The same notes through the flat decoder, which reads scalar lines only."""
+    p = project(varied_notes_from_documents(_table(s, d, "documents")), FLAT)
+    return p.select("relative_path", F.col("authored.uid").alias("uid"), F.col("authored.sensitivity").alias("authored_sensitivity"), F.col("effective.sensitivity").alias("sensitivity"))
+
+
 def task_alias(s, d):
-    names = s.createDataFrame([(x,) for x in ("explain", "improve", "repair", "find-links", "find-claims", "check-conflicts", "check-privacy", "relationship", "other")], "name string")
-    return names.select("name", text.resolve_task(F.col("name")).alias("task"))
+    names = F.array(*map(F.lit, ("explain", "improve", "repair", "find-links", "find-claims", "check-conflicts", "check-privacy")))
+    e = _table(s, d, "events")
+    name = F.when(F.col("event_id") % 9 < 7, F.try_element_at(names, (F.col("event_id") % 9 + 1).cast("int"))).otherwise(F.col("event_type"))
+    return e.select("event_id", name.alias("name"), text.resolve_task(name).alias("task"))
 
 
 def loopback_filter(s, d):
-    urls = s.createDataFrame([(x,) for x in ("http://127.0.0.1:8765", "http://localhost/x", "http://[::1]:9/", "https://example.com/", "http://127.0.0.1.example.com/")], "url string")
+    hosts = F.array(*map(F.lit, ("http://127.0.0.1:8765", "http://localhost", "http://[::1]:9", "http://127.0.0.1.example.com", "http://localhost.example.com:80")))
+    pages = _table(s, d, "pages")
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]*(/.*)?$", 1)
+    local = F.concat(F.element_at(hosts, (F.col("page_id") % 5 + 1).cast("int")), path)
+    urls = pages.select("page_id", F.col("url")).unionByName(pages.select("page_id", local.alias("url")))
     return urls.where(text.is_loopback(F.col("url")))
 
 
@@ -126,11 +155,24 @@ def settings_normalize(s, d):
     return out.select("event_id", "s.*", settings.blocked_reason(F.col("s")).alias("blocked"))
 
 
-_LOCK = '{"packages":{"":{"version":"1"},"a":{"resolved":"git+https://h/a.git#0123456789abcdef0123456789abcdef01234567"},"b":{"resolved":"git+https://h/b.git#main"},"c":{"resolved":"git+https://h/c.git"},"d":{"resolved":"https://h/d.tgz"}}}'
+def _lockfiles(s, d):
+    """A lockfile for each part: a pinned, a branch, a bare and a registry dependency, by its key."""
+    p = _table(s, d, "part")
+    k = F.col("p_partkey").cast("string")
+    commit = F.sha1("p_name")
+    ref = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("#"), commit)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("#v"), k)).otherwise("")
+    entry = F.when(F.col("p_partkey") % 4 == 3, F.concat(F.lit("https://h/"), k, F.lit(".tgz"))).otherwise(F.concat(F.lit("git+https://h/"), k, F.lit(".git"), ref))
+    body = F.concat(F.lit('{"packages":{"":{"version":"1"},"dep-'), k, F.lit('":{"resolved":"'), entry, F.lit('"},"other":{"resolved":"git+ssh://h/o.git#'), commit, F.lit('"}}}'))
+    return p.select("p_partkey", body.alias("content"))
 
 
 def lockfile_pins(s, d):
-    return settings.git_pins(s.createDataFrame([(_LOCK,)], "content string"))
+    return settings.git_pins(_lockfiles(s, d)).groupBy("name", "resolved", "ref", "pinned").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lockfile_problems(s, d):
+    out = settings.pin_problems(_lockfiles(s, d))
+    return out.select("git_dependencies", F.size("problems").cast("long").alias("problems"), F.element_at("problems", 1).alias("first_problem"))
 
 
 def proposal_outcomes(s, d):
@@ -170,8 +212,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         note_effective_sensitivity, note_sensitivity_relaxed_default, note_epistemic, note_diagnostics, note_severity_gate, note_temporal, note_duplicate_uid, note_ceiling_filter, note_raise_only,
+        varied_projection, varied_diagnostics, varied_ceiling_filter, varied_flat_projection,
         note_links, note_graph_stats, note_dangling, note_assessment, episode_export, page_links, duplicate_content, corpus_hash, task_alias, loopback_filter, query_encode, settings_normalize,
-        lockfile_pins, proposal_outcomes, generic_event_windows, generic_pricing_summary, generic_customer_rank,
+        lockfile_pins, lockfile_problems, proposal_outcomes, generic_event_windows, generic_pricing_summary, generic_customer_rank,
     )
 }
 
@@ -180,6 +223,45 @@ _REASON = "CASE doc_id % 9 WHEN 7 THEN 'missing' WHEN 8 THEN 'invalid' ELSE 'ok'
 _SECRET = _LEVEL.format("")
 _UID = "CAST(doc_id - (doc_id % 50 = 49)::INT AS VARCHAR)"
 
+
+
+def _varied() -> str:
+    """The composed notes as text, and what patterns find in that text; the forms' rule is not used beyond composing."""
+    case = " ".join(f"WHEN {n} THEN '{x.replace('{{', '{').replace('}}', '}').replace(chr(39), chr(39) * 2)}'" for n, x in enumerate(FORMS))
+    levels = " ".join(f"WHEN {n} THEN '{x}'" for n, x in enumerate((*SENSITIVITY, "unclassified")))
+    return f"""
+        WITH noted AS (
+          SELECT 'varied/' || doc_id || '.md' AS relative_path, replace(replace(replace(replace(CASE doc_id % 8 {case} END, '{{id}}', doc_id::VARCHAR), '{{level}}', CASE doc_id // 8 % 8 {levels} END),
+                 '{{state}}', CASE doc_id // 4 % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'hypothesis' ELSE 'gospel' END), '{{day}}', lpad((doc_id % 28 + 1)::VARCHAR, 2, '0')) || coalesce(text, '') AS content FROM documents
+        ), split AS (
+          SELECT *, regexp_extract(content, '^---\\r?\\n((?:[^-\\r\\n][^\\r\\n]*\\r?\\n)*)---\\r?\\n', 1) AS block FROM noted
+        ), found AS (
+          SELECT *, block <> '' AS has_front_matter, block <> '' AND NOT regexp_matches(block, '\\[[^\\]]*$') AS valid FROM split
+        ), picked AS (
+          SELECT *, CASE WHEN valid THEN block ELSE '' END AS front FROM found
+        ), parsed AS (
+          SELECT *, nullif(regexp_extract(front, '(?:^|\\n)uid: *["'']?([0-9]+)', 1), '') AS uid,
+                 nullif(regexp_extract(front, '(?:^|\\n)sensitivity:(?:\\s*\\{{?\\s*level:)? *["'']?([a-z]+)', 1), '') AS authored_sensitivity,
+                 nullif(regexp_extract(front, '(?:^|\\n)epistemic(?:_state)?:(?:\\s*\\{{?\\s*state:)? *["'']?([a-z]+)', 1), '') AS state,
+                 nullif(regexp_extract(front, 'confidence: *([0-9.]+)', 1), '') AS confidence,
+                 CASE WHEN front LIKE '%handling: [keep, local]%' THEN 'keep,local' WHEN front LIKE '%- "keep"%' THEN 'keep' ELSE '' END AS handling,
+                 replace(regexp_extract(front, 'tags: \\[([^\\]]*)\\]', 1), ' ', '') AS tags,
+                 coalesce(authored_sensitivity IN ('public', 'internal', 'restricted', 'confidential', 'regulated', 'phi', 'secret'), false) AS known, coalesce(state IN ('hypothesis', 'fact', 'unknown'), false) AS sure
+          FROM picked
+        )"""
+
+
+_VARIED = _varied()
+_LOCKS = r"""
+        WITH files AS (
+          SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 3 THEN 'https://h/' || p_partkey || '.tgz' ELSE 'git+https://h/' || p_partkey || '.git' || CASE p_partkey % 3 WHEN 0 THEN '#' || sha1(p_name) WHEN 1 THEN '#v' || p_partkey ELSE '' END END AS a,
+                 'git+ssh://h/o.git#' || sha1(p_name) AS b FROM part
+        ), pins AS (
+          SELECT name, resolved, CASE WHEN strpos(resolved, '#') > 0 THEN substr(resolved, strpos(resolved, '#') + 1) ELSE '' END AS ref
+          FROM (SELECT 'dep-' || k AS name, a AS resolved FROM files UNION ALL SELECT 'other', b FROM files) WHERE resolved LIKE 'git+%'
+        )
+        """
+
 ORACLE_SQL: dict[str, str] = {
     "note_effective_sensitivity": f"SELECT {_SECRET} AS effective, {_REASON} AS reason, count(*) AS n FROM documents GROUP BY 1, 2",
     "note_sensitivity_relaxed_default": f"SELECT {_LEVEL.format("WHEN 7 THEN 'internal'")} AS effective, {_REASON} AS reason, count(*) AS n FROM documents GROUP BY 1, 2",
@@ -216,18 +298,45 @@ ORACLE_SQL: dict[str, str] = {
         WITH one AS (SELECT CAST(doc_id AS VARCHAR) AS p, sha256(coalesce(text, '')) AS h FROM documents),
         inner_ AS (SELECT substr(md5(p), 1, 4) AS bucket, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p || ':' || h)) AS b, count(*) AS n FROM one GROUP BY 1)
         SELECT sha256(string_agg(bucket || ':' || b, chr(10) ORDER BY bucket || ':' || b)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS notes FROM inner_""",
+    "varied_projection": _VARIED + """
+        SELECT relative_path, has_front_matter, valid AS front_matter_valid, uid, authored_sensitivity, CASE WHEN valid THEN handling END AS handling, CASE WHEN valid THEN tags END AS tags, confidence,
+               CASE WHEN known THEN authored_sensitivity ELSE 'secret' END AS sensitivity, CASE WHEN sure THEN state ELSE 'unknown' END AS epistemic_state, NOT sure AS epistemic_state_defaulted FROM parsed""",
+    "varied_diagnostics": _VARIED + """
+        SELECT severity, code, count(*) AS n FROM (
+          SELECT 'error' AS severity, 'OKF-FRONTMATTER-001' AS code FROM parsed WHERE has_front_matter AND NOT valid
+          UNION ALL SELECT 'warning', 'OKF-SENSITIVITY-001' FROM parsed WHERE authored_sensitivity IS NULL
+          UNION ALL SELECT 'error', 'OKF-SENSITIVITY-002' FROM parsed WHERE authored_sensitivity IS NOT NULL AND NOT known
+          UNION ALL SELECT 'info', 'OKF-EPISTEMIC-001' FROM parsed WHERE state IS NULL
+          UNION ALL SELECT 'error', 'OKF-EPISTEMIC-002' FROM parsed WHERE state IS NOT NULL AND NOT sure
+          UNION ALL SELECT 'warning', 'OKF-TEMPORAL-001' FROM parsed WHERE regexp_matches(front, '(created|updated_at): *[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:]+\\s') AND valid
+        ) GROUP BY 1, 2""",
+    "varied_ceiling_filter": _VARIED + """
+        SELECT relative_path, level AS sensitivity FROM (SELECT relative_path, CASE WHEN known THEN authored_sensitivity WHEN authored_sensitivity IS NULL THEN 'internal' ELSE 'secret' END AS level FROM parsed)
+        WHERE level IN ('public', 'internal', 'restricted')""",
+    "varied_flat_projection": _VARIED + """
+        SELECT relative_path, nullif(regexp_extract(block, '(?:^|\\n)uid: *["'']?([0-9]+)', 1), '') AS uid, flat AS authored_sensitivity,
+               CASE WHEN flat IN ('public', 'internal', 'restricted', 'confidential', 'regulated', 'phi', 'secret') THEN flat ELSE 'secret' END AS sensitivity
+        FROM (SELECT *, nullif(regexp_extract(block, '\\nsensitivity: *["'']?([a-z]+)', 1), '') AS flat FROM parsed)""",
     "task_alias": """
-        SELECT * FROM (VALUES ('explain', 'diagnostic_explanation'), ('improve', 'documentation_improvement'), ('repair', 'metadata_repair'), ('find-links', 'relationship'),
-          ('find-claims', 'claim_extraction'), ('check-conflicts', 'contradiction'), ('check-privacy', 'classification_raise'), ('relationship', 'relationship'), ('other', 'other')) AS t(name, task)""",
-    "loopback_filter": "SELECT * FROM (VALUES ('http://127.0.0.1:8765'), ('http://localhost/x'), ('http://[::1]:9/')) AS t(url)",
+        SELECT event_id, name, coalesce(task, name) AS task FROM (
+          SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'explain' WHEN 1 THEN 'improve' WHEN 2 THEN 'repair' WHEN 3 THEN 'find-links' WHEN 4 THEN 'find-claims' WHEN 5 THEN 'check-conflicts' WHEN 6 THEN 'check-privacy' ELSE event_type END AS name FROM events)
+        LEFT JOIN (VALUES ('explain', 'diagnostic_explanation'), ('improve', 'documentation_improvement'), ('repair', 'metadata_repair'), ('find-links', 'relationship'),
+          ('find-claims', 'claim_extraction'), ('check-conflicts', 'contradiction'), ('check-privacy', 'classification_raise')) AS t(alias, task) ON name = alias""",
+    "loopback_filter": r"""
+        SELECT page_id, url FROM (
+          SELECT page_id, url FROM pages
+          UNION ALL SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http://127.0.0.1:8765' WHEN 1 THEN 'http://localhost' WHEN 2 THEN 'http://[::1]:9' WHEN 3 THEN 'http://127.0.0.1.example.com' ELSE 'http://localhost.example.com:80' END
+                 || regexp_extract(url, '^[a-z]+://[^/]*(/.*)?$', 1) FROM pages)
+        WHERE regexp_matches(url, '^[a-z]+://(127\.0\.0\.1|localhost|\[::1\])(:[0-9]+)?(/|$)')""",
     "query_encode": "SELECT page_id, url_encode(url) AS encoded FROM pages",
     "settings_normalize": """
         SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '/notes' END AS notes_dir, CASE event_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'phi' ELSE 'secret' END AS default_sensitivity,
                CAST(CASE WHEN event_id * 97 - 500 BETWEEN 1 AND 65535 THEN event_id * 97 - 500 ELSE 4814 END AS INT) AS port, event_id % 2 = 0 AS enabled, false AS wizard_completed,
-               CASE WHEN event_id % 3 <> 0 THEN 'Choose a notes folder first.' END AS blocked FROM events""",
-    "lockfile_pins": """
-        SELECT * FROM (VALUES ('a', 'git+https://h/a.git#0123456789abcdef0123456789abcdef01234567', '0123456789abcdef0123456789abcdef01234567', true),
-          ('b', 'git+https://h/b.git#main', 'main', false), ('c', 'git+https://h/c.git', '', false)) AS t(name, resolved, ref, pinned)""",
+               CASE WHEN event_id % 3 <> 0 THEN 'notes_dir is not set' END AS blocked FROM events""",
+    "lockfile_pins": _LOCKS + "SELECT name, resolved, ref, regexp_full_match(ref, '[0-9a-f]{40}') AS pinned, count(*) AS n FROM pins GROUP BY ALL",
+    "lockfile_problems": _LOCKS + """
+        SELECT count(*) AS git_dependencies, count(problem) AS problems, min(problem) AS first_problem FROM (
+          SELECT CASE WHEN ref = '' THEN name || ': no ref' WHEN NOT regexp_full_match(ref, '[0-9a-f]{40}') THEN name || ': ' || ref END AS problem FROM pins)""",
     "proposal_outcomes": """
         SELECT 'request:' || doc_id AS request_id, CAST((doc_id % 7 <> 0 AND doc_id % 5 <> 0)::INT AS BIGINT) AS proposals,
                CASE WHEN doc_id % 7 = 0 THEN 'PROPOSAL: proposal is for another note' WHEN doc_id % 5 = 0 THEN 'PROPOSAL: patch claims authority' END AS warnings,

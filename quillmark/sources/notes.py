@@ -43,3 +43,30 @@ def notes_from_documents(docs: DataFrame) -> DataFrame:
     head = F.concat(F.lit('---\nuid: "'), (i - F.when(i % 50 == 49, 1).otherwise(0)).cast("string"), F.lit('"\n'), pick(labels), title, pick(states), pick(times), F.lit("---\n"))
     link = F.concat(F.lit("\n[[doc-"), ((i * 7) % 1200).cast("string"), F.lit("]]"))
     return docs.select(F.concat(F.lit("doc-"), i.cast("string"), F.lit(".md")).alias("relative_path"), F.concat(head, F.coalesce("text", F.lit("")), link).alias("content"))
+
+
+#: Front matter as people write it: quoted, plain, in flow style, with foreign line ends, broken, missing, not closed, without a label.
+FORMS = (
+    '---\nokf_version: "2.3"\nuid: "{id}"\ncreated_at: "2026-03-{day}T08:00:00Z"\nepistemic:\n  state: "{state}"\n  confidence: 0.5\nsensitivity:\n  level: "{level}"\n  handling:\n    - "keep"\n---\n',
+    "---\r\nuid: '{id}'\r\ncreated: 2026-03-{day} 08:00\r\nepistemic:\r\n  state: '{state}'\r\nsensitivity:\r\n  level: '{level}'\r\n---\r\n",
+    "---\nuid: {id}\nepistemic: {{state: {state}, confidence: 0.25}}\nsensitivity: {{level: {level}, handling: [keep, local]}}\ntags: [a, b]\n---\n",
+    "---\n# kept by hand\nuid: {id}\nupdated_at: 2026-03-{day}T08:00:00\nepistemic_state: {state}\nsensitivity: {level}\n---\n",
+    '---\nuid: "{id}"\nsensitivity: [{level}\n---\n',
+    "",
+    '---\nuid: "{id}"\nsensitivity: "{level}"\n',
+    '---\nuid: "{id}"\nepistemic:\n  state: "{state}"\nprovenance:\n  level: "{level}"\n---\n',
+)
+
+
+def varied_notes_from_documents(docs: DataFrame) -> DataFrame:
+    """Notes composed from rows of ``documents`` in eight forms of front matter, by doc_id; the text is the body."""
+    i = F.col("doc_id")
+
+    def pick(values, by):
+        return F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+
+    out = pick([x.replace("{{", "{").replace("}}", "}") for x in FORMS], i)
+    parts = {"id": i.cast("string"), "level": pick([*SENSITIVITY, "unclassified"], F.floor(i / 8)), "state": pick(["fact", "hypothesis", "gospel"], F.floor(i / 4)), "day": F.lpad((i % 28 + 1).cast("string"), 2, "0")}
+    for name, value in parts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return docs.select(F.concat(F.lit("varied/"), i.cast("string"), F.lit(".md")).alias("relative_path"), F.concat(out, F.coalesce("text", F.lit(""))).alias("content"))
