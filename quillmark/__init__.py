@@ -1,3 +1,3 @@
 """quillmark: a Spark-native engine for governed Markdown notes."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

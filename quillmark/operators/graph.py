@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.front_matter import body
+from quillmark.operators.validate import duplicate_identities
+from quillmark.vocabulary import LINK_DANGLING
 
 _LINK = r"\[\[([^\[\]\r\n]+)\]\]"
 
@@ -34,17 +36,32 @@ def dangling(found: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def stats(notes: DataFrame) -> DataFrame:
-    resolved = resolve(links(notes), notes)
-    counts = resolved.agg(F.count(F.lit(1)).alias("links"), F.count("target_path").alias("resolved"), F.countDistinct("target_raw").alias("targets"))
-    return notes.agg(F.count(F.lit(1)).alias("notes")).join(counts)
-
-
-def graph_json(notes: DataFrame) -> DataFrame:
-    """``kind, key, json`` rows whose order by (kind, key) is the stable serialisation."""
-    nodes = notes.select(F.lit("node").alias("kind"), F.col("relative_path").alias("key"), F.to_json(F.struct(F.col("relative_path").alias("id"))).alias("json"))
-    edges = resolve(links(notes), notes)
+    """One row: notes, links, resolved links, distinct targets; notes and links are counted together."""
+    none = F.lit(None).cast("string")
+    both = notes.select(F.lit(1).alias("note"), none.alias("target_raw"), none.alias("target_path"))
+    both = both.unionByName(resolve(links(notes), notes).select(F.lit(0).alias("note"), "target_raw", "target_path"))
+    return both.agg(F.coalesce(F.sum("note"), F.lit(0)).alias("notes"), F.count("target_raw").alias("links"), F.count("target_path").alias("resolved"), F.countDistinct("target_raw").alias("targets"))
+
+
+def diagnostics(projection: DataFrame) -> DataFrame:
+    """``code, severity, subject, message`` of dangling links and of identities that several notes bear."""
+    loose = dangling(links(projection), projection).distinct()
+    loose = loose.select(F.lit(LINK_DANGLING).alias("code"), F.lit("warning").alias("severity"), F.col("source_path").alias("subject"), F.concat(F.lit("link to no note: "), "target_raw").alias("message"))
+    same = duplicate_identities(projection)
+    return loose.unionByName(same.select("code", F.lit("error").alias("severity"), F.col("first_path").alias("subject"), F.concat(F.lit("several notes have the uid "), "uid").alias("message")))
+
+
+def graph_json(projection: DataFrame) -> DataFrame:
+    """``kind, key, json``: nodes, links, statistics and diagnostics; their order by (kind, key) is the stable serialisation."""
+    a, e = F.col("authored"), F.col("effective")
+    node = F.struct(a["epistemic_state"].alias("authoredEpistemicState"), e["epistemic_state"].alias("epistemicState"), F.col("relative_path").alias("id"), e["sensitivity"].alias("sensitivity"), a["tags"].alias("tags"), a["title"].alias("title"), a["type"].alias("type"), a["uid"].alias("uid"))
+    nodes = projection.select(F.lit("node").alias("kind"), F.col("relative_path").alias("key"), F.to_json(node).alias("json"))
+    edges = resolve(links(projection), projection)
     edges = edges.select(F.lit("link").alias("kind"), F.concat_ws("\u0000", "source_path", "target_raw").alias("key"), F.to_json(F.struct("link_type", "source_path", "target_path", "target_raw")).alias("json"))
-    return nodes.unionByName(edges)
+    counts = stats(projection).select(F.lit("stats").alias("kind"), F.lit("").alias("key"), F.to_json(F.struct("links", "notes", "resolved", "targets")).alias("json"))
+    found = diagnostics(projection)
+    found = found.select(F.lit("diagnostic").alias("kind"), F.concat_ws("\u0000", "code", "subject", "message").alias("key"), F.to_json(F.struct("code", "message", "severity", "subject")).alias("json"))
+    return nodes.unionByName(edges).unionByName(counts).unionByName(found)
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""The command line: four deterministic commands over a folder, and offline assistance requests."""
+"""The command line: four deterministic commands over a folder, and offline assistance."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,13 @@ from quillmark import __version__
 from quillmark.operators import assess, graph, proposals, validate
 from quillmark.operators.projection import Options, project
 from quillmark.sources.notes import read_notes, read_one
+from quillmark.streaming.supervise import Supervisor
+from quillmark.streaming.watch import watch
 
 USAGE = "commands: validate, assess, graph, export graphiti, assist"
+EXAMPLES = "assist explain note.md | assist improve note.md | assist repair note.md --responses answers.jsonl; a note is never changed"
+#: The parts of a graph file, in its order.
+_PARTS = (("diagnostic", "diagnostics"), ("link", "links"), ("node", "nodes"), ("stats", "stats"))
 
 
 def allowed(argv: list[str]) -> bool:
@@ -21,11 +28,39 @@ def allowed(argv: list[str]) -> bool:
     return argv[:1] in (["validate"], ["assess"], ["graph"]) or argv[:2] == ["export", "graphiti"]
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """One local file from ordered ``line`` rows, streamed through the driver a partition at a time."""
-    with open(path, "w", encoding="utf-8") as out:
+def build_line(notes: DataFrame, options: Options) -> str:
+    """The build block as JSON with ordered keys."""
+    block = assess.build_block(notes, options, __version__)
+    at = F.date_format("generated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at")
+    return block.select(F.to_json(F.struct("corpus_hash", "engine_version", at, "policy_hash"))).first()[0]
+
+
+def write_lines(lines: DataFrame, path: str, first: str) -> None:
+    """One local file: the build line, then ordered ``line`` rows, streamed through the driver a partition at a time; it takes the place of an earlier one when complete."""
+    with open(f"{path}.part", "w", encoding="utf-8") as out:
+        out.write(json.dumps({"build": json.loads(first)}, sort_keys=True) + "\n")
         for r in lines.toLocalIterator():
             out.write(r["line"] + "\n")
+    os.replace(f"{path}.part", path)
+
+
+def write_graph(notes: DataFrame, options: Options, path: str) -> None:
+    """The graph as one JSON document with ordered keys, streamed as ``write_lines`` does."""
+    rows = graph.graph_json(project(notes, options)).orderBy("kind", "key")
+    with open(f"{path}.part", "w", encoding="utf-8") as out:
+        out.write(f'{{"build": {build_line(notes, options)}')
+        now, left = None, list(_PARTS)
+        for r in rows.toLocalIterator():
+            while now != r["kind"]:
+                if now not in (None, "stats"):
+                    out.write("]")
+                now, name = left.pop(0)
+                out.write(f',\n"{name}": ' + ("" if now == "stats" else "["))
+                lead = ""
+            out.write(lead + r["json"])
+            lead = ",\n"
+        out.write("}\n")
+    os.replace(f"{path}.part", path)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,6 +74,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--json", action="store_true")
         if name == "graph":
             p.add_argument("-o", "--output", required=True)
+            p.add_argument("--watch", action="store_true", help="go on and rebuild whenever a note changes")
+            p.add_argument("--state", help="folder for the watch's snapshots, shared by all executors (default: beside the output)")
     p = sub.add_parser("export")
     p.add_argument("what", choices=["graphiti"])
     p.add_argument("folder")
@@ -47,9 +84,36 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("assist")
     p.add_argument("task")
     p.add_argument("note")
+    p.add_argument("--responses", help="JSON lines of responses to earlier requests for this task and note")
+    p.add_argument("--contract-version", default=proposals.CONTRACT)
     return top
 
 
+def assist(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Without responses prints the request to be answered; with them prints what passes the checks."""
+    note = read_one(spark, args.note)
+    asked = proposals.requests(note, args.task, contract=args.contract_version)
+    first = asked.first()  # one note
+    if first is None:
+        print(f"unknown task: {args.task}", file=sys.stderr)
+        return 2
+    if not args.responses:
+        print(asked.toJSON().first())
+        return 0
+    answers = proposals.read_responses(spark, args.responses)
+    known = answers.select("request_id").distinct().select("request_id", F.lit(first["task"]).alias("task"), F.lit(first["targetId"]).alias("target_id"))
+    checked = proposals.check(answers, known, args.contract_version)
+    failed = 0
+    results = {r["request_id"]: r for r in proposals.outcome(checked).toLocalIterator()}
+    for r in proposals.document(checked, args.contract_version).orderBy("request_id").toLocalIterator():
+        if results[r["request_id"]]["status"] == "error":
+            failed = 2
+            print(f"no safe proposals:\n{results[r['request_id']]['warnings']}", file=sys.stderr)
+        else:
+            print(r["json"])
+    return failed
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     if not argv:
@@ -58,38 +122,60 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if argv[0] in ("-h", "--help"):
         print(USAGE)
         return 0
+    if argv[0] == "assist" and len([a for a in argv if not a.startswith("-")]) < 3:
+        print(EXAMPLES, file=sys.stderr)
+        return 2
     if argv[0] != "assist" and not allowed(argv):
         print(f"unsupported command; {USAGE}", file=sys.stderr)
         return 1
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quillmark").getOrCreate()
     if args.command == "assist":
-        asked = proposals.requests(read_one(spark, args.note), args.task).toJSON().collect()  # one note
-        print(asked[0] if asked else f"unknown task: {args.task}")
-        return 0 if asked else 2
+        return assist(spark, args)
     options = Options(getattr(args, "default_sensitivity", None))
     notes = read_notes(spark, args.folder)
     projection = project(notes, options)
     if args.command == "validate":
         for r in validate.report(projection).orderBy("relative_path", "code", "field").toLocalIterator():
             print(f"{r['relative_path']}: {r['severity']} {r['code']}: {r['message']}")
+        for r in validate.summary(projection).orderBy("severity", "code").toLocalIterator():
+            print(f"{r['n']:6d} {r['severity']} {r['code']}")
         row = validate.gate(projection).first()
         print(f"{row['notes']} notes, {row['failures']} failures")
+        print(f"build: {build_line(notes, options)}")
         return row["exit_code"]
     if args.command == "assess":
         rows = assess.assess(projection).orderBy("relative_path")
         if args.json:
-            print("[" + ",".join(r["j"] for r in rows.select(F.to_json(F.struct("label", "relative_path", "score")).alias("j")).toLocalIterator()) + "]")
+            print("[" + ",\n".join(r["j"] for r in rows.select(F.to_json(F.struct("label", "relative_path", "score")).alias("j")).toLocalIterator()) + "]")
         else:
             for r in rows.toLocalIterator():
                 print(f"{r['score']:3d} {r['label']:5s} {r['relative_path']}")
+        print(f"build: {build_line(notes, options)}", file=sys.stderr if args.json else sys.stdout)
     elif args.command == "graph":
-        write_lines(graph.graph_json(notes).orderBy(F.desc("kind"), "key").select(F.col("json").alias("line")), args.output)
+        write_graph(notes, options, args.output)
+        if args.watch:
+            keep_watching(spark, args, options)
     else:
         out = assess.episodes(projection, args.group_id).orderBy("source", "uid")
-        write_lines(out.select(F.to_json(F.struct(*sorted(out.columns))).alias("line")), args.episodes)
+        write_lines(out.select(F.to_json(F.struct(*sorted(out.columns))).alias("line")), args.episodes, build_line(notes, options))
     return 0
 
 
+def keep_watching(spark: SparkSession, args: argparse.Namespace, options: Options, seconds: int = 5) -> None:
+    """Rebuilds the graph on every change until interrupted or restarts are used up."""
+    state = args.state or f"{args.output}.state"
+    keeper = Supervisor(lambda: watch(spark, args.folder, lambda _changes, notes, _batch: write_graph(notes, options, args.output), state, seconds))
+    keeper.start()
+    try:
+        while keeper.tend() in ("indexing", "serving"):
+            if keeper.query is not None:
+                keeper.query.awaitTermination(seconds)
+    except KeyboardInterrupt:
+        pass
+    finally:
+        keeper.stop()
+
+
 if __name__ == "__main__":
     sys.exit(main())

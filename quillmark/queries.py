@@ -71,6 +71,23 @@ def note_raise_only(s, d):
     return out.select("doc_id", text.raise_only(F.col("effective.sensitivity"), F.col("proposed")).alias("raised"))
 
 
+def note_build(s, d):
+    out = assess.build_block(_notes(s, d), Options("internal"), "0")
+    return out.select("engine_version", "policy_hash", F.length("corpus_hash").alias("hash_chars"))
+
+
+def note_graph_document(s, d):
+    """The graph document's parts: rows and bytes of each kind."""
+    p = project(_notes(s, d), FLAT)
+    return graph.graph_json(p).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+
+
+def proposal_sink(s, d):
+    """What is printed of each answered request."""
+    out = proposals.document(proposals.check(*_answers(s, d)))
+    return out.select("request_id", F.get_json_object("json", "$.authoritative").alias("authoritative"), F.get_json_object("json", "$.proposals[0].proposalId").alias("proposal_id"), F.get_json_object("json", "$.warnings").alias("warnings"))
+
+
 def note_links(s, d):
     n = _notes(s, d)
     return graph.resolve(graph.links(n), n)
@@ -175,7 +192,7 @@ def lockfile_problems(s, d):
     return out.select("git_dependencies", F.size("problems").cast("long").alias("problems"), F.element_at("problems", 1).alias("first_problem"))
 
 
-def proposal_outcomes(s, d):
+def _answers(s, d):
     """A response made up for each labelled document; every fifth claims authority, every seventh is for another note."""
     ids = _table(s, d, "labels").select("doc_id")
     k = F.col("doc_id").cast("string")
@@ -184,7 +201,11 @@ def proposal_outcomes(s, d):
     patch = F.when(F.col("doc_id") % 5 == 0, ',"proposedPatch":{"approved":true}').otherwise("")
     body = F.concat(F.lit('{"contractVersion":"1.0","requestId":"'), request, F.lit('","proposals":[{"contractVersion":"1.0","proposalId":"p'), k, F.lit('","proposalType":"relationship","targetId":"'), target, F.lit('","confidence":0.5'), patch, F.lit("}]}"))
     asked = ids.select(request.alias("request_id"), F.lit("relationship").alias("task"), F.concat(F.lit("doc-"), k, F.lit(".md")).alias("target_id"))
-    return proposals.outcome(proposals.check(ids.select(request.alias("request_id"), body.alias("body")), asked))
+    return ids.select(request.alias("request_id"), body.alias("body")), asked
+
+
+def proposal_outcomes(s, d):
+    return proposals.outcome(proposals.check(*_answers(s, d)))
 
 
 def generic_event_windows(s, d):
@@ -213,8 +234,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         note_effective_sensitivity, note_sensitivity_relaxed_default, note_epistemic, note_diagnostics, note_severity_gate, note_temporal, note_duplicate_uid, note_ceiling_filter, note_raise_only,
         varied_projection, varied_diagnostics, varied_ceiling_filter, varied_flat_projection,
-        note_links, note_graph_stats, note_dangling, note_assessment, episode_export, page_links, duplicate_content, corpus_hash, task_alias, loopback_filter, query_encode, settings_normalize,
-        lockfile_pins, lockfile_problems, proposal_outcomes, generic_event_windows, generic_pricing_summary, generic_customer_rank,
+        note_links, note_graph_stats, note_graph_document, note_build, note_dangling, note_assessment, episode_export, page_links, duplicate_content, corpus_hash, task_alias, loopback_filter, query_encode, settings_normalize,
+        lockfile_pins, lockfile_problems, proposal_outcomes, proposal_sink, generic_event_windows, generic_pricing_summary, generic_customer_rank,
     )
 }
 
@@ -286,6 +307,12 @@ ORACLE_SQL: dict[str, str] = {
     "note_graph_stats": """
         SELECT (SELECT count(*) FROM documents) AS notes, count(*) AS links, count(b.doc_id) AS resolved, count(DISTINCT a.doc_id * 7 % 1200) AS targets
         FROM documents AS a LEFT JOIN documents AS b ON b.doc_id = a.doc_id * 7 % 1200""",
+    "note_build": "SELECT '0' AS engine_version, sha256('{\"default_sensitivity\": \"internal\"}') AS policy_hash, 64 AS hash_chars",
+    "note_graph_document": """
+        WITH links AS (SELECT doc_id, doc_id * 7 % 1200 AS target FROM documents), same AS (SELECT doc_id - (doc_id % 50 = 49)::INT AS uid, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1)
+        SELECT kind, n, n AS keys FROM (
+          SELECT 'node' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'link', count(*) FROM links UNION ALL SELECT 'stats', 1
+          UNION ALL SELECT 'diagnostic', (SELECT count(*) FROM links WHERE target NOT IN (SELECT doc_id FROM documents)) + (SELECT count(*) FROM same)) WHERE n > 0""",
     "note_dangling": "SELECT 'doc-' || doc_id || '.md' AS source_path, 'doc-' || (doc_id * 7 % 1200) AS target_raw FROM documents WHERE doc_id * 7 % 1200 NOT IN (SELECT doc_id FROM documents)",
     "note_assessment": """
         SELECT relative_path, score, CASE WHEN score >= 80 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS label FROM (
@@ -299,7 +326,7 @@ ORACLE_SQL: dict[str, str] = {
         inner_ AS (SELECT substr(md5(p), 1, 4) AS bucket, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p || ':' || h)) AS b, count(*) AS n FROM one GROUP BY 1)
         SELECT sha256(string_agg(bucket || ':' || b, chr(10) ORDER BY bucket || ':' || b)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS notes FROM inner_""",
     "varied_projection": _VARIED + """
-        SELECT relative_path, has_front_matter, valid AS front_matter_valid, uid, authored_sensitivity, CASE WHEN valid THEN handling END AS handling, CASE WHEN valid THEN tags END AS tags, confidence,
+        SELECT relative_path, has_front_matter, valid AS front_matter_valid, uid, authored_sensitivity, CASE WHEN valid OR NOT has_front_matter THEN handling END AS handling, CASE WHEN valid OR NOT has_front_matter THEN tags END AS tags, confidence,
                CASE WHEN known THEN authored_sensitivity ELSE 'secret' END AS sensitivity, CASE WHEN sure THEN state ELSE 'unknown' END AS epistemic_state, NOT sure AS epistemic_state_defaulted FROM parsed""",
     "varied_diagnostics": _VARIED + """
         SELECT severity, code, count(*) AS n FROM (
@@ -341,6 +368,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'request:' || doc_id AS request_id, CAST((doc_id % 7 <> 0 AND doc_id % 5 <> 0)::INT AS BIGINT) AS proposals,
                CASE WHEN doc_id % 7 = 0 THEN 'PROPOSAL: proposal is for another note' WHEN doc_id % 5 = 0 THEN 'PROPOSAL: patch claims authority' END AS warnings,
                CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'error' ELSE 'ok' END AS status, false AS authoritative FROM labels""",
+    "proposal_sink": """
+        SELECT 'request:' || doc_id AS request_id, 'false' AS authoritative, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN 'p' || doc_id END AS proposal_id,
+               CASE WHEN doc_id % 7 = 0 THEN 'PROPOSAL: proposal is for another note' WHEN doc_id % 5 = 0 THEN 'PROPOSAL: patch claims authority' END AS warnings FROM labels""",
     "generic_event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "generic_pricing_summary": """
         SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS sum_price, count(*) AS n

@@ -19,17 +19,18 @@ class Supervisor:
     """Runs what ``start`` returns; a query that fails is started again, one that is stopped is not.
 
     ``state`` is one of ``SUPERVISOR_STATES``: indexing until a first batch has been
-    finished, then serving. Only ``start`` sets the count of restarts back.
+    finished, then serving. The count of restarts goes back to none by ``start``, and once
+    a query has run for ``healthy`` seconds.
     """
 
-    def __init__(self, start: Callable[[], StreamingQuery], sleep: Callable[[float], None] = time.sleep):
-        self._start, self._sleep = start, sleep
+    def __init__(self, start: Callable[[], StreamingQuery], sleep: Callable[[float], None] = time.sleep, healthy: float = 60.0, clock: Callable[[], float] = time.monotonic):
+        self._start, self._sleep, self._healthy, self._clock = start, sleep, healthy, clock
         self.query: StreamingQuery | None = None
-        self.restarts, self.error = 0, None
+        self.restarts, self.error, self._since = 0, None, 0.0
 
     def start(self) -> None:
         self.restarts, self.error = 0, None
-        self.query = self._start()
+        self.query, self._since = self._start(), self._clock()
 
     def stop(self) -> None:
         if self.query is not None:
@@ -46,6 +47,8 @@ class Supervisor:
 
     def tend(self) -> str:
         """Restarts a failed query, or gives it up; returns the state. To be called from time to time."""
+        if self.query is not None and self.restarts and self._clock() - self._since >= self._healthy:
+            self.restarts = 0
         if self.query is not None and not self.query.isActive:
             failure = self.query.exception()
             if failure is None:
@@ -56,7 +59,7 @@ class Supervisor:
             if pause is not None:
                 self.restarts += 1
                 self._sleep(pause / 1000)
-                self.query = self._start()
+                self.query, self._since = self._start(), self._clock()
         return self.state
 
     def status(self) -> dict:

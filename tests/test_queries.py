@@ -1,6 +1,8 @@
 """Every note query against its SQL at the smallest size."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -29,3 +31,9 @@ def test_query(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_missing_dependency_leaves_the_note_queries(tmp_path):
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'note_links' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, check=True)
