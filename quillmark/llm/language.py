@@ -186,6 +186,34 @@ def _lexicon(words: Words, label: np.ndarray, langs: int, most: int, ident_rows:
     return ids[kept], 1 + share.argmax(axis=1) * ident_rows + level
 
 
+def gradients(crf: Crf, grams: np.ndarray, cell: np.ndarray, lex: np.ndarray, gold: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the negative log-likelihood of the labels ``gold``, word after word in sequences of ``sizes``: expected less observed counts.
+
+    ``grams`` are the words' buckets, ``cell`` the word that each belongs to, ``lex`` the words' lexicon rows.
+    """
+    k = len(crf.langs)
+    emit = np.add.reduceat(crf.emit[grams], np.flatnonzero(np.diff(cell, prepend=-1)), axis=0) + crf.lex_emit[lex]
+    gamma, alpha, beta = posteriors(emit, sizes, crf.trans, crf.begin)
+    err = gamma.copy()
+    err[np.arange(len(gold)), gold] -= 1
+    starts = np.cumsum(sizes) - sizes
+    inner = np.ones(len(gold), bool)
+    inner[starts] = False
+    t = np.flatnonzero(inner)
+    psi = np.exp((emit[t] - emit[t].max(axis=1, keepdims=True)).clip(-60, 0))
+    xi = alpha[t - 1][:, :, None] * np.exp(crf.trans - crf.trans.max())[None] * (psi * beta[t])[:, None, :]
+    xi /= xi.sum(axis=(1, 2), keepdims=True).clip(1e-300)
+    g_trans = xi.sum(axis=0)
+    np.subtract.at(g_trans, (gold[t - 1], gold[t]), 1)
+    flat = err[cell]
+    return {
+        "trans": g_trans,
+        "begin": err[starts].sum(axis=0),
+        "emit": np.stack([np.bincount(grams, flat[:, j], len(crf.emit)) for j in range(k)], axis=1),
+        "lex_emit": np.stack([np.bincount(lex, err[:, j], len(crf.lex_emit)) for j in range(k)], axis=1),
+    }
+
+
 def train(sample: pd.DataFrame, epochs: int = 6, batch: int = 64, rate: float = 0.15, decay: float = 1e-5, switch: float = 0.35, most_words: int = 20_000, seed: int = 5) -> Crf | None:
     """From windows ``text, lang``. Windows of different languages are joined at a rate of ``switch``, so that transitions are learned."""
     langs = sorted(sample["lang"].unique())
@@ -212,30 +240,12 @@ def train(sample: pd.DataFrame, epochs: int = 6, batch: int = 64, rate: float =
             glue[:1] = False
             rows = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in docs])
             sizes = bounds[docs + 1] - bounds[docs]
-            y = np.repeat(gold[docs], sizes)
             seq_sizes = np.bincount(np.cumsum(~glue) - 1, weights=sizes).astype(np.int64)
             spans = ends[rows] - words.first[rows]
             cell = np.repeat(np.arange(len(rows)), spans)
             inside = np.arange(len(cell)) - np.repeat(np.cumsum(spans) - spans, spans)
-            grams = words.grams[words.first[rows][cell] + inside]
-            emit = np.add.reduceat(crf.emit[grams], np.cumsum(spans) - spans, axis=0) + crf.lex_emit[lex[rows]]
-            gamma, alpha, beta = posteriors(emit, seq_sizes, crf.trans, crf.begin)
-            err = gamma.copy()
-            err[np.arange(len(rows)), y] -= 1
-            norm = 1.0 / len(docs)
-            starts = np.cumsum(seq_sizes) - seq_sizes
-            inner = np.ones(len(rows), bool)
-            inner[starts] = False
-            t = np.flatnonzero(inner)
-            psi = np.exp((emit[t] - emit[t].max(axis=1, keepdims=True)).clip(-60, 0))
-            xi = alpha[t - 1][:, :, None] * np.exp(crf.trans - crf.trans.max())[None] * (psi * beta[t])[:, None, :]
-            xi /= xi.sum(axis=(1, 2), keepdims=True).clip(1e-300)
-            g_trans = xi.sum(axis=0)
-            np.subtract.at(g_trans, (y[t - 1], y[t]), 1)
-            grads = {"trans": g_trans * norm, "begin": err[starts].sum(axis=0) * norm}
-            flat = err[cell]
-            grads["emit"] = np.stack([np.bincount(grams, flat[:, j], BUCKETS) for j in range(k)], axis=1) * norm
-            grads["lex_emit"] = np.stack([np.bincount(lex[rows], err[:, j], 1 + 3 * k) for j in range(k)], axis=1) * norm
+            grads = gradients(crf, words.grams[words.first[rows][cell] + inside], cell, lex[rows], np.repeat(gold[docs], sizes), seq_sizes)
+            grads = {name: g / len(docs) for name, g in grads.items()}
             for name, g in grads.items():  # Adagrad
                 v = getattr(crf, name)
                 g = g + decay * v
@@ -269,7 +279,8 @@ def sample_windows(docs: DataFrame, per_lang: int, window_words: int) -> pd.Data
         take = take | ((F.col("lang") == lang) & (h < math.ceil(min(1.0, per_lang / n) * 10_000_000)))
     ws = F.split("text", r"\s+")
     at = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.greatest(F.size(ws) - window_words, F.lit(1))).cast("int") + 1
-    rows = marked.where(take).select("doc_id", "lang", F.array_join(F.slice(ws, at, F.lit(window_words)), " ").alias("text"))
+    window = F.substring(F.array_join(F.slice(ws, at, F.lit(window_words)), " "), 1, 20 * window_words)  # texts without blanks too
+    rows = marked.where(take).select("doc_id", "lang", window.alias("text"))
     return rows.toPandas().sort_values(["doc_id", "lang", "text"])[["text", "lang"]]
 
 
@@ -277,8 +288,9 @@ def label_languages(docs: DataFrame, learn=None, per_lang: int = 600, window_wor
     """Rows ``(doc_id, lang_pred, score)``, one for each row of ``docs``.
 
     Learns from text and non-null lang of the documents for which ``learn`` holds
-    (default: all), at most about ``per_lang`` windows of ``window_words`` words for each
-    language (the documented bound of the fit); every whole text is labelled. ``score`` is
+    (default: all), at most about ``per_lang`` windows of ``window_words`` words (and 20
+    times as many characters) for each language (the documented bound of the fit); every
+    whole text is labelled. ``score`` is
     the predicted language's expected share of words. A null text or one without letters
     is ``und`` with score 0, as is every text where nothing could be learned. Repeated
     rows agree; other columns are ignored. Narrow but for the sample: no shuffle.

@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 _BUCKET_BITS = 10
-_BROADCAST_CELLS = 250_000  # of some 60 bytes each
+_BROADCAST_CELLS = 250_000  # some 60 MB as they are hashed for the join
 
 
 def words(text: Column) -> Column:

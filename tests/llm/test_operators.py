@@ -384,6 +384,50 @@ def test_forward_backward_matches_enumeration():
         at += n
 
 
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    words_, k, sizes = 9, 3, np.array([4, 1, 4])
+    cell = np.repeat(np.arange(words_), rng.integers(1, 4, words_))
+    grams, lex, gold = rng.integers(0, 12, len(cell)), rng.integers(0, 5, words_), rng.integers(0, k, words_)
+    made = language.Crf(list("abc"), rng.normal(size=(12, k)), np.zeros(0, np.uint64), np.zeros(0, np.int64), rng.normal(size=(5, k)), rng.normal(size=(k, k)), rng.normal(size=k))
+
+    def loss():
+        emit = np.array([made.emit[grams[cell == w]].sum(axis=0) + made.lex_emit[lex[w]] for w in range(words_)])
+        total, at = 0.0, 0
+        for n in sizes:
+            score, f = made.begin[gold[at]] + emit[at, gold[at]], made.begin + emit[at]
+            for t in range(at + 1, at + n):
+                score += made.trans[gold[t - 1], gold[t]] + emit[t, gold[t]]
+                f = np.logaddexp.reduce(f[:, None] + made.trans, axis=0) + emit[t]
+            total += np.logaddexp.reduce(f) - score
+            at += n
+        return total
+
+    got = language.gradients(made, grams, cell, lex, gold, sizes)
+    for name, g in got.items():
+        values = getattr(made, name)
+        for i in np.ndindex(values.shape):
+            was = values[i]
+            values[i] = was + 1e-5
+            up = loss()
+            values[i] = was - 1e-5
+            assert g[i] == pytest.approx((up - loss()) / 2e-5, abs=1e-6)
+            values[i] = was
+
+
+def test_prediction_is_the_largest_expected_share():
+    made = language.train(pd.DataFrame({"text": ["alpha beta gamma delta", "uno dos tres cuatro"] * 6, "lang": ["a", "b"] * 6}))
+    text = "alpha beta uno gamma delta, beta! dos"
+    words_ = language.featurize([text])
+    emit = made.emissions(words_).astype(float)
+    n = len(emit)
+    weights = {}
+    for path in np.ndindex(*[2] * n):  # every labelling
+        weights[path] = math.exp(made.begin[path[0]] + sum(emit[t, path[t]] for t in range(n)) + sum(made.trans[path[t - 1], path[t]] for t in range(1, n)))
+    share = np.array([sum(w * path.count(j) for path, w in weights.items()) for j in (0, 1)]) / n / sum(weights.values())
+    assert np.allclose(language._shares(made, [text])[0], share, atol=1e-6) and n == 7
+
+
 def test_nul_characters_split_no_text():
     made = language.train(pd.DataFrame({"text": ["alpha\x00beta gamma", "uno\x00dos tres"] * 4, "lang": ["a", "b"] * 4}))
     assert language._shares(made, ["gamma\x00alpha", "tres\x00uno"]).argmax(axis=1).tolist() == [0, 1]
@@ -462,8 +506,31 @@ def test_quality(spark):
 
 
 def test_isotonic():
-    x, y = quality.isotonic(np.arange(6.0), np.ones(6), np.array([0, 1, 0, 1, 1, 0.0]))
-    assert (np.diff(y) >= 0).all() and y[0] == 0 and len(x) == len(y)
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 6, 40):
+        x, w, m = np.arange(n) + 0.0, rng.integers(1, 5, n).astype(float), rng.random(n)
+        knots, levels = quality.isotonic(x, w, m)
+        mean = lambda a, b: np.average(m[a : b + 1], weights=w[a : b + 1])
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]  # the min-max form
+        assert sorted({round(v, 9) for v in levels}) == sorted({round(v, 9) for v in want}) and (np.diff(levels) >= 0).all() and (np.diff(knots) > 0).all()
+
+
+def test_ridge_solves_the_normal_equations(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, len(quality.STATS)))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    rows = spark.createDataFrame([(i, [float(v) for v in a], float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "doc_id long, x array<double>, y double")
+    made = quality.fit(rows, features=64, parts=5)
+    held = {r[0] for r in rows.where(quality._id_hash(7) < 200_000).select("doc_id").collect()}
+    own = np.array([i not in held for i in range(len(x))])
+    z = made.lift(x[own])
+    penalty = np.diag([1.0] * 64 + [1e-9])
+    assert 0 < len(held) < 200 and np.allclose(made.beta, np.linalg.solve(z.T @ z + penalty, z.T @ y[own]), atol=1e-8)
+    assert np.allclose(made.mean, x.mean(axis=0)) and np.allclose(made.scale, x.std(axis=0))
+    wide = quality.Model(made.mean, made.scale, rng.normal(0, 1 / 4.0, (x.shape[1], 40_000)), rng.uniform(0, 2 * math.pi, 40_000), np.zeros(40_001), np.zeros(2), np.zeros(2)).lift(x[:6])[:, :-1]
+    u = (x[:6] - made.mean) / made.scale
+    kernel = np.exp(-((u[:, None] - u[None]) ** 2).sum(axis=2) / 2 / 4.0**2)
+    assert np.allclose(wide @ wide.T, kernel, atol=0.03)
 
 
 # 8
