@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontaminate, embedding_dedup, language, line_dedup, minhash, mixing, quality, secret_scan, sharding, substring_dedup
+from quillmark.llm import decontaminate, divergence, embedding_dedup, language, line_dedup, minhash, mixing, negatives, pieces, quality, secret_scan, sharding, substring_dedup
 from quillmark.llm.common import table
 
 SHARD_BYTES = 1 << 20
@@ -59,6 +59,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "n_bytes", "shard_id", "shard_depth", "shard_bytes", "shard_docs", "oversized")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digest(pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, label = F.col("vec_id"), F.col("label")
+    moved = table(spark, sf_dir, "embeddings").withColumn("label", F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine_negatives(moved, i % 50 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mixing": op2_mixing,
@@ -70,10 +86,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_dedup": embedding_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_sharding": sharding.oracle(SHARD_BYTES),
+    "op12_hard_negatives": negatives.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
