@@ -3,9 +3,11 @@
 Base kinds are plain patterns. The added kinds are reported only after their bytes
 have been decoded and parsed: PEM and bare DER keys by their nested lengths, OpenSSH
 keys by their length-prefixed fields, signed tokens by their JSON header, and base64 or
-hex text by the secret that it holds once decoded. Base64 may be wrapped in lines of equal
-width, and what was decoded may be encoded in turn, up to three times in all. Encoded text
-in other wrappings (hex over several lines, blanks within) is not joined.
+hex text by the secret that it holds once decoded to printable UTF-8. Patterns ask for no
+more characters than the shortest form that the parsers confirm. Base64 may be wrapped in
+lines of one width, of four characters at least, and what was decoded may be encoded in
+turn, up to three times in all. Encoded text in other wrappings (hex over several lines,
+blanks within) is not joined.
 """
 
 from __future__ import annotations
@@ -27,16 +29,22 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
-_DER64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{38,}={0,2}")
-_DERHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
-_SSH64 = re.compile(r"(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{40,}={0,2}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])ey[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: The least that is_der_key confirms has 24 bytes: 32 characters of base64, 48 of hex.
+_DER64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{30,}={0,2}")
+_DERHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+#: The least that is_ssh_key confirms has 40 bytes: 54 characters of base64, 80 of hex, the magic's among them.
+_SSH64 = re.compile(r"(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{35,}={0,2}")
+_SSHHEX = re.compile(r"(?<![0-9A-Fa-f])6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100[0-9A-Fa-f]{50,}")
+#: A header that names a signature algorithm, of one letter even, has 14 characters, and claims have 3.
+_JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]{3,}\.[A-Za-z0-9_-]*")
 #: From the shortest secret that _holds_secret confirms, 14 bytes (token= and 8 more): 19 characters of base64, 28 of hex.
 _ENC64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}={0,2}")
 _ENCHEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{28,}")
 #: Base64 over several lines; which lines belong together is decided by their width.
-_WRAP64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_WRAP64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LEAST_WIDTH, _LEAST_WRAPPED = 4, 19
 _DEPTH = 3
+_BLANKS = dict.fromkeys((9, 10, 13), " ")
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
 
@@ -141,9 +149,12 @@ def _pem(text: str) -> list[tuple[str, int, int]]:
 
 
 def _holds_secret(data: bytes | None, depth: int) -> bool:
-    if not data or not all(32 <= c < 127 or c in (9, 10, 13) for c in data):
+    try:
+        text = (data or b"").decode()
+    except UnicodeDecodeError:
+        return False
+    if not text.translate(_BLANKS).isprintable():
         return False
-    text = data.decode("ascii")
     if _ACCESS.search(text) or any(len(m[2]) >= 8 for m in _ASSIGN.finditer(text)):
         return True
     return bool(_confirmed(text, depth - 1))
@@ -161,8 +172,9 @@ def _wrapped(text: str) -> list[tuple[int, int, str]]:
                 j += 1
             narrower = j < len(lines) and lines[j][1] - lines[j][0] < width
             for end in (j + 1, j) if narrower else (j,):
-                if width >= 16 and end > i + 1:
-                    found.append((lines[i][0], lines[end - 1][1], "".join(text[a:b] for a, b in lines[i:end])))
+                joined = "".join(text[a:b] for a, b in lines[i:end])
+                if width >= _LEAST_WIDTH and end > i + 1 and len(joined) >= _LEAST_WRAPPED:
+                    found.append((lines[i][0], lines[end - 1][1], joined))
             i = j
     return found
 
@@ -174,7 +186,8 @@ def _confirmed(text: str, depth: int = _DEPTH) -> list[tuple[str, int, int]]:
     found += [("der", *m.span()) for m in _DERHEX.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
     if "b3BlbnNzaC1rZXktdjE" in text:
         found += [("ssh", *m.span()) for m in _SSH64.finditer(text) if is_ssh_key(unbase64(m[0]))]
-    if "ey" in text:
+    found += [("ssh", *m.span()) for m in _SSHHEX.finditer(text) if len(m[0]) % 2 == 0 and is_ssh_key(bytes.fromhex(m[0]))]
+    if "." in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     if depth:
         found += [("enc", *m.span()) for m in _ENC64.finditer(text) if _holds_secret(unbase64(m[0]), depth)]
