@@ -95,7 +95,7 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(joined))
 
 
-def _count(batches: Iterator[pa.RecordBatch], portion: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], portion: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term by lang and source; a row without a term for each group."""
     for batch in batches:
         for rows in _portions(batch, portion):
@@ -135,9 +135,11 @@ def _portions(batch: pa.RecordBatch, portion: int) -> Iterator[pa.RecordBatch]:
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / (total + terms)); decimals hold what longs would not."""
+    """1 + floor(SCALE * (n + 1) / (total + terms)); decimals where a long would not hold the product."""
+    fits = n < (1 << 63) // SCALE - 1
+    short = F.call_function("div", (F.when(fits, n).otherwise(0) + 1) * SCALE, total + terms)
     up = (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return F.lit(1).cast("long") + F.call_function("div", up, (total + terms).cast("decimal(20,0)")).cast("long")
+    return F.lit(1).cast("long") + F.when(fits, short).otherwise(F.call_function("div", up, (total + terms).cast("decimal(20,0)")).cast("long"))
 
 
 def _gap(p: Column, q: Column) -> Column:
