@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.vocabulary import SENSITIVITY
 
 
+def _bare(uri: Column) -> Column:
+    """The path of a file's URI: without scheme and host, decoded."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+
+
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """``relative_path, content, modified_at`` of every Markdown file under a folder."""
+    """``relative_path, content, modified_at`` of every Markdown file under a folder.
+
+    The folder is made absolute by its own file system, and paths are cut after exactly
+    that prefix; a file that Spark names by another root keeps its whole path.
+    """
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    root = folder.rstrip("/").split("://")[-1].lstrip("/") + "/"
-    path = F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))")
-    cut = F.instr(path, root)
-    return files.select(F.when(cut > 0, F.substring(path, cut + len(root), F.length(path))).otherwise(path).alias("relative_path"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("modified_at"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = system.makeQualified(path).toUri().getPath().rstrip("/") + "/"
+    whole = _bare(F.col("_metadata.file_path"))
+    relative = F.when(whole.startswith(root), F.substring(whole, len(root) + 1, 1 << 30)).otherwise(whole)
+    return files.select(relative.alias("relative_path"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("modified_at"))
 
 
 def notes_from_rows(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
