@@ -23,6 +23,7 @@ DEFAULT_PORT = 4814
 SUPERVISOR_STATES = ("stopped", "indexing", "serving", "error")
 MAX_RESTARTS = 3
 BACKOFF_MS = 500
+REQUEST_SECONDS = 30.0
 
 # Codes that the format leaves open; ours.
 SENSITIVITY_INVALID = "OKF-SENSITIVITY-002"
@@ -31,5 +32,6 @@ TEMPORAL_NAIVE = "OKF-TEMPORAL-001"
 FRONT_MATTER_INVALID = "OKF-FRONTMATTER-001"
 IDENTITY_DUPLICATE = "OKF-IDENTITY-001"
 LINK_DANGLING = "OKF-LINK-001"
+LINEAGE_CYCLE = "OKF-LINEAGE-001"
 SEVERITIES = ("info", "warning", "error", "critical")
 GATE = ("error", "critical")
