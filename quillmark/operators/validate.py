@@ -37,3 +37,23 @@ def duplicate_identities(projection: DataFrame) -> DataFrame:
     """uids that several notes bear: counted with map-side combine, no list of notes."""
     by = projection.where("authored.uid IS NOT NULL").groupBy(F.col("authored.uid").alias("uid"))
     return by.agg(F.count(F.lit(1)).alias("n"), F.min("relative_path").alias("first_path")).where("n > 1").withColumn("code", F.lit(IDENTITY_DUPLICATE))
+
+
+def summary_sets(projection: DataFrame, how: str = "cube") -> DataFrame:
+    """``severity, code, folder, grouping, n``: diagnostics counted in several groupings at once; a grouping's number has a bit, from the left, for each of severity, code and folder that is summed over.
+
+    ``how`` is cube (all eight), rollup (severity, then code, then folder) or sets (by
+    severity, by code, by folder, and all). Folder is the first part of the path, '' for
+    notes in none. Every diagnostic is expanded once for each grouping and combined before
+    the one shuffle.
+    """
+    folder = F.when(F.instr("relative_path", "/") > 0, F.substring_index("relative_path", "/", 1)).otherwise("")
+    rows = report(projection).select("severity", "code", folder.alias("folder"))
+    cols = ["severity", "code", "folder"]
+    if how == "sets":
+        grouped = rows.groupingSets([["severity"], ["code"], ["folder"], []], *cols)
+    elif how in ("cube", "rollup"):
+        grouped = getattr(rows, how)(*cols)
+    else:
+        raise ValueError(f"unknown grouping: {how}")
+    return grouped.agg(F.grouping_id().alias("grouping"), F.count(F.lit(1)).alias("n"))
