@@ -47,7 +47,8 @@ def policy_hash(options: Options) -> str:
 
 
 def build_block(notes: DataFrame, options: Options, version: str) -> DataFrame:
-    return corpus_hash(notes).select(F.lit(version).alias("engine_version"), F.lit(policy_hash(options)).alias("policy_hash"), "corpus_hash", F.current_timestamp().alias("generated_at"))
+    """``engine_version, policy_hash, corpus_hash, notes, generated_at``, one row."""
+    return corpus_hash(notes).select(F.lit(version).alias("engine_version"), F.lit(policy_hash(options)).alias("policy_hash"), "corpus_hash", "notes", F.current_timestamp().alias("generated_at"))
 
 
 def duplicate_content(docs: DataFrame, key: str, content: str) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark import extended_queries
+from quillmark.composed_sql import READ, VARIED
 from quillmark.functions import text
 from quillmark.operators import assess, graph, proposals, settings, validate
 from quillmark.operators.projection import Options, project, reason, visible
-from quillmark.sources.notes import FORMS, notes_from_documents, varied_notes_from_documents
+from quillmark.sources.notes import notes_from_documents, varied_notes_from_documents
 from quillmark.streaming.watch import event_windows
-from quillmark.vocabulary import SENSITIVITY
 
 FLAT = Options(flat=True)
 
@@ -73,13 +74,13 @@ def note_raise_only(s, d):
 
 def note_build(s, d):
     out = assess.build_block(_notes(s, d), Options("internal"), "0")
-    return out.select("engine_version", "policy_hash", F.length("corpus_hash").alias("hash_chars"))
+    return out.select("engine_version", "policy_hash", "corpus_hash", "notes")
 
 
 def note_graph_document(s, d):
-    """The graph document's parts: rows and bytes of each kind."""
-    p = project(_notes(s, d), FLAT)
-    return graph.graph_json(p).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+    """The graph document's parts as they are written."""
+    out = graph.graph_json(project(_notes(s, d), FLAT))
+    return out.select("kind", F.translate("key", "\u0000", "|").alias("key"), "json")
 
 
 def proposal_sink(s, d):
@@ -239,40 +240,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_LEVEL = "CASE doc_id % 9 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'restricted' WHEN 3 THEN 'confidential' WHEN 4 THEN 'regulated' WHEN 5 THEN 'phi' {} ELSE 'secret' END"
-_REASON = "CASE doc_id % 9 WHEN 7 THEN 'missing' WHEN 8 THEN 'invalid' ELSE 'ok' END"
-_SECRET = _LEVEL.format("")
-_UID = "CAST(doc_id - (doc_id % 50 = 49)::INT AS VARCHAR)"
-
-
-
-def _varied() -> str:
-    """The composed notes as text, and what patterns find in that text; the forms' rule is not used beyond composing."""
-    case = " ".join(f"WHEN {n} THEN '{x.replace('{{', '{').replace('}}', '}').replace(chr(39), chr(39) * 2)}'" for n, x in enumerate(FORMS))
-    levels = " ".join(f"WHEN {n} THEN '{x}'" for n, x in enumerate((*SENSITIVITY, "unclassified")))
-    return f"""
-        WITH noted AS (
-          SELECT 'varied/' || doc_id || '.md' AS relative_path, replace(replace(replace(replace(CASE doc_id % 8 {case} END, '{{id}}', doc_id::VARCHAR), '{{level}}', CASE doc_id // 8 % 8 {levels} END),
-                 '{{state}}', CASE doc_id // 4 % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'hypothesis' ELSE 'gospel' END), '{{day}}', lpad((doc_id % 28 + 1)::VARCHAR, 2, '0')) || coalesce(text, '') AS content FROM documents
-        ), split AS (
-          SELECT *, regexp_extract(content, '^---\\r?\\n((?:[^-\\r\\n][^\\r\\n]*\\r?\\n)*)---\\r?\\n', 1) AS block FROM noted
-        ), found AS (
-          SELECT *, block <> '' AS has_front_matter, block <> '' AND NOT regexp_matches(block, '\\[[^\\]]*$') AS valid FROM split
-        ), picked AS (
-          SELECT *, CASE WHEN valid THEN block ELSE '' END AS front FROM found
-        ), parsed AS (
-          SELECT *, nullif(regexp_extract(front, '(?:^|\\n)uid: *["'']?([0-9]+)', 1), '') AS uid,
-                 nullif(regexp_extract(front, '(?:^|\\n)sensitivity:(?:\\s*\\{{?\\s*level:)? *["'']?([a-z]+)', 1), '') AS authored_sensitivity,
-                 nullif(regexp_extract(front, '(?:^|\\n)epistemic(?:_state)?:(?:\\s*\\{{?\\s*state:)? *["'']?([a-z]+)', 1), '') AS state,
-                 nullif(regexp_extract(front, 'confidence: *([0-9.]+)', 1), '') AS confidence,
-                 CASE WHEN front LIKE '%handling: [keep, local]%' THEN 'keep,local' WHEN front LIKE '%- "keep"%' THEN 'keep' ELSE '' END AS handling,
-                 replace(regexp_extract(front, 'tags: \\[([^\\]]*)\\]', 1), ' ', '') AS tags,
-                 coalesce(authored_sensitivity IN ('public', 'internal', 'restricted', 'confidential', 'regulated', 'phi', 'secret'), false) AS known, coalesce(state IN ('hypothesis', 'fact', 'unknown'), false) AS sure
-          FROM picked
-        )"""
-
-
-_VARIED = _varied()
+#: Of the notes that were read back from composed text.
+_REASON = "CASE WHEN authored IS NULL THEN 'missing' WHEN place = 0 THEN 'invalid' ELSE 'ok' END"
+_FOUND = """
+          SELECT 'warning' AS severity, 'OKF-SENSITIVITY-001' AS code FROM read WHERE authored IS NULL
+          UNION ALL SELECT 'error', 'OKF-SENSITIVITY-002' FROM read WHERE authored IS NOT NULL AND place = 0
+          UNION ALL SELECT 'info', 'OKF-EPISTEMIC-001' FROM read WHERE state IS NULL
+          UNION ALL SELECT 'error', 'OKF-EPISTEMIC-002' FROM read WHERE state IS NOT NULL AND NOT sure
+          UNION ALL SELECT 'warning', 'OKF-TEMPORAL-001' FROM read WHERE naive"""
+_TREE = """
+        inner_ AS (SELECT substr(md5(p), 1, 4) AS bucket, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p || ':' || h)) AS b, count(*) AS n FROM one GROUP BY 1),
+        tree AS (SELECT sha256(string_agg(bucket || ':' || b, chr(10) ORDER BY bucket || ':' || b)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS notes FROM inner_)"""
 _LOCKS = r"""
         WITH files AS (
           SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 3 THEN 'https://h/' || p_partkey || '.tgz' ELSE 'git+https://h/' || p_partkey || '.git' || CASE p_partkey % 3 WHEN 0 THEN '#' || sha1(p_name) WHEN 1 THEN '#v' || p_partkey ELSE '' END END AS a,
@@ -284,51 +262,40 @@ _LOCKS = r"""
         """
 
 ORACLE_SQL: dict[str, str] = {
-    "note_effective_sensitivity": f"SELECT {_SECRET} AS effective, {_REASON} AS reason, count(*) AS n FROM documents GROUP BY 1, 2",
-    "note_sensitivity_relaxed_default": f"SELECT {_LEVEL.format("WHEN 7 THEN 'internal'")} AS effective, {_REASON} AS reason, count(*) AS n FROM documents GROUP BY 1, 2",
-    "note_epistemic": "SELECT CASE doc_id % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'hypothesis' ELSE 'unknown' END AS state, doc_id % 4 >= 2 AS defaulted, count(*) AS n FROM documents GROUP BY 1, 2",
-    "note_diagnostics": """
-        SELECT severity, code, count(*) AS n FROM (
-          SELECT 'warning' AS severity, 'OKF-SENSITIVITY-001' AS code FROM documents WHERE doc_id % 9 = 7
-          UNION ALL SELECT 'error', 'OKF-SENSITIVITY-002' FROM documents WHERE doc_id % 9 = 8
-          UNION ALL SELECT 'info', 'OKF-EPISTEMIC-001' FROM documents WHERE doc_id % 4 = 3
-          UNION ALL SELECT 'error', 'OKF-EPISTEMIC-002' FROM documents WHERE doc_id % 4 = 2
-          UNION ALL SELECT 'warning', 'OKF-TEMPORAL-001' FROM documents WHERE doc_id % 3 = 1
-        ) GROUP BY 1, 2""",
-    "note_severity_gate": "SELECT count(*) AS notes, CAST(sum((doc_id % 9 = 8)::INT + (doc_id % 4 = 2)::INT) AS BIGINT) AS failures, CAST(sum((doc_id % 9 = 8)::INT + (doc_id % 4 = 2)::INT) > 0 AS INT) AS exit_code FROM documents",
-    "note_temporal": "SELECT 'doc-' || doc_id || '.md' AS relative_path FROM documents WHERE doc_id % 3 = 1",
-    "note_duplicate_uid": f"SELECT {_UID} AS uid, count(*) AS n, min('doc-' || doc_id || '.md') AS first_path, 'OKF-IDENTITY-001' AS code FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "note_ceiling_filter": f"SELECT 'doc-' || doc_id || '.md' AS relative_path, {_SECRET} AS sensitivity FROM documents WHERE doc_id % 9 <= 3",
-    "note_raise_only": f"SELECT doc_id, CASE WHEN doc_id % 9 < 2 THEN 'restricted' ELSE {_SECRET} END AS raised FROM documents JOIN labels USING (doc_id) WHERE toxic = 1",
-    "note_links": """
-        SELECT 'doc-' || a.doc_id || '.md' AS source_path, 'doc-' || (a.doc_id * 7 % 1200) AS target_raw,
-               CASE WHEN b.doc_id IS NOT NULL THEN 'doc-' || b.doc_id || '.md' END AS target_path, 'link' AS link_type
-        FROM documents AS a LEFT JOIN documents AS b ON b.doc_id = a.doc_id * 7 % 1200""",
-    "note_graph_stats": """
-        SELECT (SELECT count(*) FROM documents) AS notes, count(*) AS links, count(b.doc_id) AS resolved, count(DISTINCT a.doc_id * 7 % 1200) AS targets
-        FROM documents AS a LEFT JOIN documents AS b ON b.doc_id = a.doc_id * 7 % 1200""",
-    "note_build": "SELECT '0' AS engine_version, sha256('{\"default_sensitivity\": \"internal\"}') AS policy_hash, 64 AS hash_chars",
-    "note_graph_document": """
-        WITH links AS (SELECT doc_id, doc_id * 7 % 1200 AS target FROM documents), same AS (SELECT doc_id - (doc_id % 50 = 49)::INT AS uid, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1)
-        SELECT kind, n, n AS keys FROM (
-          SELECT 'node' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'link', count(*) FROM links UNION ALL SELECT 'stats', 1
-          UNION ALL SELECT 'diagnostic', (SELECT count(*) FROM links WHERE target NOT IN (SELECT doc_id FROM documents)) + (SELECT count(*) FROM same)) WHERE n > 0""",
-    "note_dangling": "SELECT 'doc-' || doc_id || '.md' AS source_path, 'doc-' || (doc_id * 7 % 1200) AS target_raw FROM documents WHERE doc_id * 7 % 1200 NOT IN (SELECT doc_id FROM documents)",
-    "note_assessment": """
+    "note_effective_sensitivity": READ + f"SELECT effective, {_REASON} AS reason, count(*) AS n FROM read GROUP BY 1, 2",
+    "note_sensitivity_relaxed_default": READ + f"SELECT CASE WHEN authored IS NULL THEN 'internal' ELSE effective END AS effective, {_REASON} AS reason, count(*) AS n FROM read GROUP BY 1, 2",
+    "note_epistemic": READ + "SELECT CASE WHEN sure THEN state ELSE 'unknown' END AS state, NOT sure AS defaulted, count(*) AS n FROM read GROUP BY 1, 2",
+    "note_diagnostics": READ + f"SELECT severity, code, count(*) AS n FROM ({_FOUND}) GROUP BY 1, 2",
+    "note_severity_gate": READ + f"SELECT (SELECT count(*) FROM read) AS notes, count(*) AS failures, CAST(count(*) > 0 AS INT) AS exit_code FROM ({_FOUND}) WHERE severity IN ('error', 'critical')",
+    "note_temporal": READ + "SELECT relative_path FROM read WHERE naive",
+    "note_duplicate_uid": READ + "SELECT uid, count(*) AS n, min(relative_path) AS first_path, 'OKF-IDENTITY-001' AS code FROM read WHERE uid IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "note_ceiling_filter": READ + "SELECT relative_path, effective AS sensitivity FROM read WHERE place BETWEEN 1 AND 4",
+    "note_raise_only": READ + "SELECT doc_id, CASE WHEN place BETWEEN 1 AND 2 THEN 'restricted' ELSE effective END AS raised FROM read JOIN labels ON relative_path = 'doc-' || doc_id || '.md' WHERE toxic = 1",
+    "note_links": READ + "SELECT a.relative_path AS source_path, a.link AS target_raw, b.relative_path AS target_path, 'link' AS link_type FROM read AS a LEFT JOIN read AS b ON b.relative_path = a.link || '.md'",
+    "note_graph_stats": READ + "SELECT count(*) AS notes, count(link) AS links, count(link) FILTER (link || '.md' IN (SELECT relative_path FROM read)) AS resolved, count(DISTINCT link) AS targets FROM read",
+    "note_build": READ + f"""
+        , one AS (SELECT relative_path AS p, sha256(content) AS h FROM read), {_TREE}
+        SELECT '0' AS engine_version, sha256('{{"default_sensitivity": "internal"}}') AS policy_hash, corpus_hash, notes FROM tree""",
+    "note_graph_document": READ + """
+        , loose AS (SELECT DISTINCT relative_path, link FROM read WHERE link IS NOT NULL AND link || '.md' NOT IN (SELECT relative_path FROM read)), same AS (SELECT uid, min(relative_path) AS first_path FROM read WHERE uid IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+        SELECT 'node' AS kind, relative_path AS key, '{' || CASE WHEN state IS NOT NULL THEN '"authoredEpistemicState":"' || state || '",' ELSE '' END || '"epistemicState":"' || CASE WHEN sure THEN state ELSE 'unknown' END || '","id":"' || relative_path
+               || '","sensitivity":"' || effective || '","tags":[]' || CASE WHEN title IS NOT NULL THEN ',"title":"' || title || '"' ELSE '' END || ',"uid":"' || uid || '"}' AS json FROM read
+        UNION ALL SELECT 'link', relative_path || '|' || link, '{"link_type":"link","source_path":"' || relative_path || '"' || CASE WHEN link || '.md' IN (SELECT relative_path FROM read) THEN ',"target_path":"' || link || '.md"' ELSE '' END || ',"target_raw":"' || link || '"}' FROM read WHERE link IS NOT NULL
+        UNION ALL SELECT 'stats', '', '{"links":' || count(link) || ',"notes":' || count(*) || ',"resolved":' || count(link) FILTER (link || '.md' IN (SELECT relative_path FROM read)) || ',"targets":' || count(DISTINCT link) || '}' FROM read
+        UNION ALL SELECT 'diagnostic', 'OKF-LINK-001|' || relative_path || '|link to no note: ' || link, '{"code":"OKF-LINK-001","message":"link to no note: ' || link || '","severity":"warning","subject":"' || relative_path || '"}' FROM loose
+        UNION ALL SELECT 'diagnostic', 'OKF-IDENTITY-001|' || first_path || '|several notes have the uid ' || uid, '{"code":"OKF-IDENTITY-001","message":"several notes have the uid ' || uid || '","severity":"error","subject":"' || first_path || '"}' FROM same""",
+    "note_dangling": READ + "SELECT relative_path AS source_path, link AS target_raw FROM read WHERE link IS NOT NULL AND link || '.md' NOT IN (SELECT relative_path FROM read)",
+    "note_assessment": READ + """
         SELECT relative_path, score, CASE WHEN score >= 80 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS label FROM (
-          SELECT 'doc-' || doc_id || '.md' AS relative_path,
-                 CAST(25 + 20 * (doc_id % 4 <> 0)::INT + 20 * (doc_id % 3 = 0)::INT + 20 * (doc_id % 9 <= 6)::INT + 15 * (doc_id % 4 <= 1)::INT AS INT) AS score FROM documents)""",
-    "episode_export": f"SELECT {_UID} AS uid, CASE WHEN doc_id % 4 <> 0 THEN 'Note ' || doc_id ELSE 'doc-' || doc_id || '.md' END AS name, 'doc-' || doc_id || '.md' AS source, {_SECRET} AS sensitivity, 'corpus' AS group_id FROM documents",
+          SELECT relative_path, CAST(25 * (uid IS NOT NULL)::INT + 20 * (title IS NOT NULL)::INT + 20 * (created IS NOT NULL AND NOT naive)::INT + 20 * (place > 0)::INT + 15 * sure::INT AS INT) AS score FROM read)""",
+    "episode_export": READ + "SELECT coalesce(uid, relative_path) AS uid, coalesce(title, relative_path) AS name, relative_path AS source, effective AS sensitivity, 'corpus' AS group_id FROM read",
     "page_links": """SELECT href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY href""",
     "duplicate_content": "SELECT sha256(coalesce(text, '')) AS content_sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "corpus_hash": """
-        WITH one AS (SELECT CAST(doc_id AS VARCHAR) AS p, sha256(coalesce(text, '')) AS h FROM documents),
-        inner_ AS (SELECT substr(md5(p), 1, 4) AS bucket, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p || ':' || h)) AS b, count(*) AS n FROM one GROUP BY 1)
-        SELECT sha256(string_agg(bucket || ':' || b, chr(10) ORDER BY bucket || ':' || b)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS notes FROM inner_""",
-    "varied_projection": _VARIED + """
+    "corpus_hash": f"WITH one AS (SELECT CAST(doc_id AS VARCHAR) AS p, sha256(coalesce(text, '')) AS h FROM documents), {_TREE} SELECT corpus_hash, notes FROM tree",
+    "varied_projection": VARIED + """
         SELECT relative_path, has_front_matter, valid AS front_matter_valid, uid, authored_sensitivity, CASE WHEN valid OR NOT has_front_matter THEN handling END AS handling, CASE WHEN valid OR NOT has_front_matter THEN tags END AS tags, confidence,
                CASE WHEN known THEN authored_sensitivity ELSE 'secret' END AS sensitivity, CASE WHEN sure THEN state ELSE 'unknown' END AS epistemic_state, NOT sure AS epistemic_state_defaulted FROM parsed""",
-    "varied_diagnostics": _VARIED + """
+    "varied_diagnostics": VARIED + """
         SELECT severity, code, count(*) AS n FROM (
           SELECT 'error' AS severity, 'OKF-FRONTMATTER-001' AS code FROM parsed WHERE has_front_matter AND NOT valid
           UNION ALL SELECT 'warning', 'OKF-SENSITIVITY-001' FROM parsed WHERE authored_sensitivity IS NULL
@@ -337,10 +304,10 @@ ORACLE_SQL: dict[str, str] = {
           UNION ALL SELECT 'error', 'OKF-EPISTEMIC-002' FROM parsed WHERE state IS NOT NULL AND NOT sure
           UNION ALL SELECT 'warning', 'OKF-TEMPORAL-001' FROM parsed WHERE regexp_matches(front, '(created|updated_at): *[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:]+\\s') AND valid
         ) GROUP BY 1, 2""",
-    "varied_ceiling_filter": _VARIED + """
+    "varied_ceiling_filter": VARIED + """
         SELECT relative_path, level AS sensitivity FROM (SELECT relative_path, CASE WHEN known THEN authored_sensitivity WHEN authored_sensitivity IS NULL THEN 'internal' ELSE 'secret' END AS level FROM parsed)
         WHERE level IN ('public', 'internal', 'restricted')""",
-    "varied_flat_projection": _VARIED + """
+    "varied_flat_projection": VARIED + """
         SELECT relative_path, nullif(regexp_extract(block, '(?:^|\\n)uid: *["'']?([0-9]+)', 1), '') AS uid, flat AS authored_sensitivity,
                CASE WHEN flat IN ('public', 'internal', 'restricted', 'confidential', 'regulated', 'phi', 'secret') THEN flat ELSE 'secret' END AS sensitivity
         FROM (SELECT *, nullif(regexp_extract(block, '\\nsensitivity: *["'']?([a-z]+)', 1), '') AS flat FROM parsed)""",
@@ -380,3 +347,6 @@ ORACLE_SQL: dict[str, str] = {
           SELECT c_mktsegment, c_custkey, n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, c_custkey) AS rank
           FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) JOIN customer ON o_custkey = c_custkey) WHERE rank <= 10""",
 }
+
+QUERIES |= extended_queries.QUERIES
+ORACLE_SQL |= extended_queries.ORACLE_SQL
