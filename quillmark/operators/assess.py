@@ -29,14 +29,15 @@ def assess(projection: DataFrame) -> DataFrame:
     return projection.select("relative_path", score.alias("score")).withColumn("label", F.when(F.col("score") >= 80, "good").when(F.col("score") >= 50, "fair").otherwise("poor"))
 
 
-def corpus_hash(rows: DataFrame, path: str = "relative_path", content: str = "content") -> DataFrame:
-    """One row ``corpus_hash, notes``, the same in any partitioning.
+def corpus_hash(rows: DataFrame, path: str = "relative_path", content: str = "content", hashed: bool = False) -> DataFrame:
+    """One row ``corpus_hash, notes``, the same in any partitioning. ``content`` may be ``hashed`` already; a null path counts as ''.
 
-    A tree of hashes: notes meet in 65,536 buckets by a hash of their path, and only the
-    buckets' hashes meet in one task.
+    A tree of hashes: notes meet in 65,536 buckets by a hash of their path, or of their
+    content where they have none, and only the buckets' hashes meet in one task.
     """
-    one = rows.select(F.col(path).cast("string").alias("p"), F.sha2(F.coalesce(content, F.lit("")), 256).alias("h"))
-    one = one.withColumn("bucket", F.substring(F.md5("p"), 1, 4))
+    digest = F.col(content) if hashed else F.sha2(F.coalesce(content, F.lit("")), 256)
+    one = rows.select(F.coalesce(F.col(path).cast("string"), F.lit("")).alias("p"), digest.alias("h"))
+    one = one.withColumn("bucket", F.substring(F.md5(F.when(F.col("p") == "", F.col("h")).otherwise(F.col("p"))), 1, 4))
     inner = one.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p", "h"))), "\n"), 256).alias("b"), F.count(F.lit(1)).alias("n"))
     outer = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "b"))), "\n")
     return inner.agg(F.sha2(outer, 256).alias("corpus_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("notes"))
@@ -47,8 +48,9 @@ def policy_hash(options: Options) -> str:
 
 
 def build_block(notes: DataFrame, options: Options, version: str) -> DataFrame:
-    """``engine_version, policy_hash, corpus_hash, notes, generated_at``, one row."""
-    return corpus_hash(notes).select(F.lit(version).alias("engine_version"), F.lit(policy_hash(options)).alias("policy_hash"), "corpus_hash", "notes", F.current_timestamp().alias("generated_at"))
+    """``engine_version, policy_hash, corpus_hash, notes, generated_at``, one row; of notes with a ``content_sha256`` the content is not read."""
+    known = "content_sha256" in notes.columns
+    return corpus_hash(notes, content="content_sha256" if known else "content", hashed=known).select(F.lit(version).alias("engine_version"), F.lit(policy_hash(options)).alias("policy_hash"), "corpus_hash", "notes", F.current_timestamp().alias("generated_at"))
 
 
 def duplicate_content(docs: DataFrame, key: str, content: str) -> DataFrame:
@@ -57,7 +59,11 @@ def duplicate_content(docs: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def status(notes: DataFrame) -> DataFrame:
-    return notes.agg(F.count(F.lit(1)).alias("notes_indexed"), F.date_format(F.max("modified_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_scan_iso"))
+    """One row: how many notes there are, when they were counted, and when one was last modified (null where that is not known)."""
+    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    last = F.date_format(F.max("modified_at"), iso) if "modified_at" in notes.columns else F.lit(None).cast("string")
+    out = notes.agg(F.count(F.lit(1)).alias("notes_indexed"), last.alias("last_modified_iso"))
+    return out.select("notes_indexed", F.date_format(F.current_timestamp(), iso).alias("last_scan_iso"), "last_modified_iso")
 
 
 def episodes(projection: DataFrame, group_id: str | None = None) -> DataFrame:

@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.front_matter import body
 from quillmark.operators.validate import duplicate_identities
+from quillmark.sources.shared import once
 from quillmark.vocabulary import LINK_DANGLING
 
 _LINK = r"\[\[([^\[\]\r\n]+)\]\]"
 
 
+def linked(notes: DataFrame) -> DataFrame:
+    """``notes`` with ``links``, the targets as written in the body; what uses links reads this column where it is there, not the content."""
+    return notes.withColumn("links", F.regexp_extract_all(body(F.coalesce("content", F.lit(""))), F.lit(_LINK), F.lit(1)))
+
+
 def links(notes: DataFrame) -> DataFrame:
     """``source_path, target_raw, target``: one row a link; ``target`` without alias, heading and extension, in lower case."""
-    raw = F.explode(F.regexp_extract_all(body(F.coalesce("content", F.lit(""))), F.lit(_LINK), F.lit(1)))
-    out = notes.select(F.col("relative_path").alias("source_path"), raw.alias("target_raw"))
+    notes = notes if "links" in notes.columns else linked(notes)
+    out = notes.select(F.col("relative_path").alias("source_path"), F.explode("links").alias("target_raw"))
     bare = F.trim(F.regexp_replace("target_raw", r"[|#].*$", ""))
     return out.withColumn("target", F.lower(F.regexp_replace(bare, r"(?i)\.md$", "")))
 
@@ -52,7 +58,8 @@ def diagnostics(projection: DataFrame) -> DataFrame:
 
 
 def graph_json(projection: DataFrame) -> DataFrame:
-    """``kind, key, json``: nodes, links, statistics and diagnostics; their order by (kind, key) is the stable serialisation."""
+    """``kind, key, json``: nodes, links, statistics and diagnostics; their order by (kind, key) is the stable serialisation. Contents are searched once."""
+    projection = projection if "links" in projection.columns else once(linked(projection).select("relative_path", "authored", "effective", "links"))
     a, e = F.col("authored"), F.col("effective")
     node = F.struct(a["epistemic_state"].alias("authoredEpistemicState"), e["epistemic_state"].alias("epistemicState"), F.col("relative_path").alias("id"), e["sensitivity"].alias("sensitivity"), a["tags"].alias("tags"), a["title"].alias("title"), a["type"].alias("type"), a["uid"].alias("uid"))
     nodes = projection.select(F.lit("node").alias("kind"), F.col("relative_path").alias("key"), F.to_json(node).alias("json"))

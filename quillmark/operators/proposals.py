@@ -26,6 +26,12 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.get_json_object("value", "$.requestId").alias("request_id"), F.col("value").alias("body"))
 
 
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """``request_id, task, target_id`` of saved requests, JSON lines as ``requests`` makes them."""
+    fields = [F.get_json_object("value", f"$.{f}").alias(n) for f, n in (("requestId", "request_id"), ("task", "task"), ("targetId", "target_id"))]
+    return spark.read.text(path).where(F.trim("value") != "").select(*fields).where("request_id IS NOT NULL").distinct()
+
+
 def check(responses: DataFrame, asked: DataFrame, contract: str = CONTRACT) -> DataFrame:
     """``responses`` (request_id, body JSON) against ``asked`` (request_id, task, target_id): one row a proposal, itself and its problem, null if accepted."""
     r = responses.withColumn("r", F.from_json("body", _RESPONSE)).join(asked, "request_id", "left")

@@ -1,8 +1,9 @@
 """Watching a note folder.
 
 A file source reports neither edits nor deletions, so every trigger takes a snapshot of
-(path, content hash), compares it with the last one by a full outer join, and hands on
-the changes together with the current notes.
+the notes, compares its hashes with those of the last one by a full outer join, and hands
+on the changes together with the notes of that same snapshot. Every trigger reads the
+whole folder; ``sources.changes`` reads what changed only.
 """
 
 from __future__ import annotations
@@ -44,13 +45,13 @@ def watch(spark: SparkSession, folder: str, on_change: Callable[[DataFrame, Data
     def step(_: DataFrame, batch: int) -> None:
         notes = read_notes(spark, folder)
         path = f"{state_dir.rstrip('/')}/snapshot-{batch}"
-        snapshot(notes).write.mode("overwrite").parquet(path)
+        notes.withColumn("content_sha256", F.sha2(F.coalesce("content", F.lit("")), 256)).write.mode("overwrite").parquet(path)
         now = spark.read.parquet(path)
         files, before = place(batch - 1)
         last = spark.read.parquet(before.toString()) if files.exists(before) else now.limit(0)
-        delta = changes(last, now)
+        delta = changes(last.select("relative_path", "content_sha256"), now.select("relative_path", "content_sha256"))
         if not delta.isEmpty():
-            on_change(delta, notes, batch)
+            on_change(delta, now, batch)
         files, old = place(batch - 2)
         files.delete(old, True)
 
