@@ -4,8 +4,10 @@ A text is escaped as the vocabulary asks, cut where no piece of the vocabulary c
 across, and each cut part is merged by an agenda: adjacent symbol pairs that spell a piece
 wait in a queue by score, the best one (the leftmost of equals) is merged, and the pairs
 that the merge creates join the queue. Characters outside the vocabulary fall back to
-bytes. Merges never reach over a cut, so parts can be merged each for itself, and a word
-met before is looked up. Every Arrow batch is held against the sentencepiece library.
+bytes. Merges never reach over a cut, so the distinct words of some texts are merged side
+by side: each has its agenda as a row of pair ranks, the first least of which is its next
+entry, and one entry of every agenda is taken at a time. Long words have a heap of their
+own. Every Arrow batch is held against the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import chain, count, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +27,16 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import held
 
 _SPACE = "▁"
-#: Words of at most so many characters are remembered, and so many of them in a worker.
-_WORD_CHARS, _WORDS = 32, 1 << 19
+#: Longer words have a heap of their own; so many shorter ones are merged side by side.
+_WORD_CHARS, _ROWS = 32, 1 << 14
+_NEVER = 1 << 30
 #: Bits of a position in an agenda entry.
 _AT = 40
 _LOW = (1 << _AT) - 1
 
 
-class Pieces(dict):
-    """A merge-type vocabulary; as a mapping, the ids of each word after a space, merged when first asked for."""
+class Pieces:
+    """A merge-type vocabulary."""
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -45,7 +50,6 @@ class Pieces(dict):
             raise ValueError("the vocabulary rewrites texts; only escaped spaces and a leading one are handled")
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in spec.pieces):
             raise ValueError("the vocabulary has user-defined or unused pieces, which are not handled")
-        super().__init__()
         self.prefix = _SPACE if norm.add_dummy_prefix else ""
         self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == kinds.NORMAL}
         worth = {s: n for n, s in enumerate(sorted({p.score for p in spec.pieces}, reverse=True))}
@@ -61,26 +65,98 @@ class Pieces(dict):
         self.leads = [p.type == kinds.NORMAL and p.piece.startswith(_SPACE) and bool(self.prefix) for p in spec.pieces]
         self.silent = {i for i, p in enumerate(spec.pieces) if p.type == kinds.CONTROL}
         self.cuts = self._cuts()
+        self._tabulate()
 
     def _cuts(self) -> re.Pattern[str] | None:
-        """The parts of a text: characters that belong to no longer piece stand alone, and a run of spaces begins a part. None where a piece has a space after another character."""
-        longer = [p for p in self.ids if len(p) > 1]
-        if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in longer):
+        """Parts that no piece reaches across: a run of spaces begins one. None where a piece has a space after another character."""
+        if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in self.ids):
             return None
-        alone = "".join(map(re.escape, sorted({p for p in self.ids if len(p) == 1} - set("".join(longer)) - {_SPACE})))
-        part = f"{_SPACE}*[^{_SPACE}{alone}]+|{_SPACE}+"
-        return re.compile(f"[{alone}]|{part}" if alone else part)
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        """The ids of a space and a word."""
-        parts = self.cuts.findall(_SPACE + word)
-        out = tuple(chain.from_iterable(map(self.merge, parts)))
-        if len(word) <= _WORD_CHARS:
-            if len(self) >= _WORDS:
-                self.clear()
-            self[word] = out
+        return re.compile(" *[^ ]+| +")
+
+    def _tabulate(self) -> None:
+        """Symbols as numbers: piece ids, one for none, and those of characters that are no piece; the piece that two of them spell, and its rank."""
+        self.none = len(self.raw)
+        self.symbol = np.arange(self.none + 1, self.none + 1 + 0x110000, dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        self.base = self.none + 1 + 0x110000
+        spelt = {p: i for p, i in self.ids.items() if len(p) > 1} | {chr(c): int(self.symbol[c]) for p in self.ids for c in map(ord, p)}
+        splits = sorted({(a * self.base + b, i) for p, i in self.ids.items() for k in range(1, len(p)) if (a := spelt.get(p[:k])) is not None and (b := spelt.get(p[k:])) is not None})
+        self.pair = np.array([k for k, _ in splits] + [np.iinfo(np.int64).max])
+        self.made = np.array([i for _, i in splits] + [self.none], np.int32)
+        self.likely = np.zeros(1 << 22, bool)  # by a hash of the pair; most pairs that spell nothing are told by it alone
+        self.likely[_slot(*np.divmod(self.pair[:-1], self.base))] = True
+        self.order = np.full(self.none + 1, _NEVER, np.int32)
+        for p, r in self.rank.items():
+            self.order[self.ids[p]] = r
+
+    def _spell(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair of symbols spells, or none."""
+        out = np.full(left.shape, self.none, np.int32)
+        maybe = self.likely[_slot(left, right)]
+        key = left[maybe].astype(np.int64) * self.base + right[maybe]
+        at = np.searchsorted(self.pair, key)
+        out[maybe] = np.where(self.pair[at] == key, self.made[at], self.none)
         return out
 
+    def _side_by_side(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols in a row, how many of each word) of a space and each word."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        width, row = int(sizes.max()), np.arange(len(words))
+        codes = np.frombuffer((" " + " ".join(words)).replace(" ", _SPACE).encode("utf-32-le"), np.uint32)
+        out = np.full((len(words), width + 1), self.none, np.int32)
+        out[np.arange(width + 1) < sizes[:, None]] = self.symbol[codes]
+        todo, now = row, out
+        rank = self.order[self._spell(now[:, :-1], now[:, 1:])]
+        while len(todo):
+            best = rank.argmin(axis=1)  # the first of equals is the leftmost
+            on = rank[row[: len(todo)], best] < _NEVER
+            if not on.all():
+                done = todo[~on]
+                out[done, : now.shape[1]], out[done, now.shape[1] :] = now[~on], self.none
+                todo, now, rank, best = todo[on], now[on], rank[on], best[on]
+            at = row[: len(todo)]
+            piece = self._spell(now[at, best], now[at, best + 1])
+            # the right symbol of the pair goes and what follows moves up, so all rows that go on lose a column
+            before = np.arange(rank.shape[1]) <= best[:, None]
+            now = np.where(before, now[:, :-1], now[:, 1:])
+            rank = np.where(before[:, :-1], rank[:, :-1], rank[:, 1:])
+            now[at, best] = piece
+            has = np.flatnonzero(best < rank.shape[1])
+            rank[has, best[has]] = self.order[self._spell(piece[has], now[has, best[has] + 1])]
+            has = np.flatnonzero(best > 0)
+            rank[has, best[has] - 1] = self.order[self._spell(now[has, best[has] - 1], piece[has])]
+        filled = out != self.none
+        return out[filled], filled.sum(axis=1)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, how many of each word) of a space and each word."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        short = order[size[order] <= _WORD_CHARS]
+        flat, counts = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
+        for at in range(0, len(short), _ROWS):
+            mine = short[at : at + _ROWS]
+            symbols, n = self._side_by_side([words[i] for i in mine.tolist()])
+            odd = symbols > self.none
+            if odd.any():  # each as the bytes of its character
+                expanded = [[self.bytes[b] for b in chr(c - self.none - 1).encode()] for c in symbols[odd].tolist()]
+                width = np.ones(len(symbols), np.int64)
+                width[odd] = [len(x) for x in expanded]
+                n = np.add.reduceat(width, np.cumsum(n) - n)
+                symbols, into = np.repeat(symbols, width), np.repeat(odd, width)
+                symbols[into] = list(chain.from_iterable(expanded))
+            flat.append(symbols)
+            counts[mine] = n
+        for i in order[len(short) :].tolist():
+            flat.append(np.array(self.merge(_SPACE + words[i].replace(" ", _SPACE)), np.int32))
+            counts[i] = len(flat[-1])
+        # back from the order of sizes to that of the words
+        joined, starts = np.concatenate(flat), np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return _gather(joined, starts, counts), counts
+
     def merge(self, part: str) -> list[int]:
         """The ids of a part by the agenda of adjacent pairs, each entry (rank of the piece, left, right) as one number."""
         rank, text, end = self.rank, list(part), len(part)
@@ -115,14 +191,34 @@ class Pieces(dict):
                     out.append(self.unk)
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, where each text's begin and the last one's end)."""
+        if not (self.cuts and self.prefix and self.bytes):
+            ids = [self._whole(t) for t in texts]
+            return np.array(list(chain.from_iterable(ids)), np.int32), np.cumsum([0, *map(len, ids)])
+        place: dict[str, int] = defaultdict(count().__next__)
+        codes: list[int] = []
+        held = [0]
+        for t in texts:
+            codes += map(place.__getitem__, self._split(t))
+            held.append(len(codes))
+        flat, counts = self._words(list(place))
+        starts, at = np.cumsum(counts) - counts, np.array(codes, np.int64)
+        total = np.concatenate([[0], np.cumsum(counts[at])])
+        return _gather(flat, starts[at], counts[at]).astype(np.int32), total[held]
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a text, each without the space before it; further spaces stay with the word that follows them."""
         if not text:
             return []
+        text = text.replace(_SPACE, " ")
         words = text.split(" ")
-        if self.cuts and self.prefix and self.bytes and "" not in words and _SPACE not in text:
-            return list(chain.from_iterable(map(self.__getitem__, words)))
-        text = self.prefix + text.replace(" ", _SPACE)
-        out = list(chain.from_iterable(map(self.merge, self.cuts.findall(text) if self.cuts else [text])))
+        return words if "" not in words else [w[1:] for w in self.cuts.findall(f" {text}")]
+
+    def _whole(self, text: str) -> list[int]:
+        if not text:
+            return []
+        out = self.merge(self.prefix + text.replace(" ", _SPACE))
         # a run of unknown characters is one id
         return out if self.bytes else [i for n, i in enumerate(out) if i != self.unk or n == 0 or out[n - 1] != self.unk]
 
@@ -138,6 +234,16 @@ class Pieces(dict):
         return out[1:] if first is not None and self.leads[first] else out
 
 
+def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left.astype(np.int64) * 0x9E3779B1 ^ right.astype(np.int64) * 0x85EBCA77) >> 9 & (1 << 22) - 1
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """flat[start : start + count] of each, in a row."""
+    first = np.cumsum(counts) - counts
+    return flat[np.repeat(starts - first, counts) + np.arange(int(counts.sum()))]
+
+
 def _lenient(run: bytes) -> str:
     out, at = [], 0
     while at < len(run):
@@ -154,7 +260,7 @@ def _lenient(run: bytes) -> str:
     return "".join(out)
 
 
-def _portions(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+def _portions(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
     """The texts in order, in lists of about ``most`` characters; a longer text is a list of its own."""
     now, size = [], 0
     for t in texts:
@@ -167,9 +273,6 @@ def _portions(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
         yield now
 
 
-_OUT = pa.list_(pa.int32())
-
-
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
     """Rows ``(id, ids, decoded, agrees)``, one for each row of ``docs``: the ids of the whole text, without begin or end, and what they decode to.
 
@@ -177,7 +280,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     64 MiB at most). A null text is an empty one: no ids, an empty text. ``agrees`` tells
     whether ids and decoded text are those of the sentencepiece library, null without
     ``check``. Repeated rows are encoded each for itself; other columns are ignored. Texts
-    are taken about a million characters at a time, a longer one by itself. Narrow: no shuffle.
+    are taken about four million characters at a time, a longer one by itself. Narrow: no shuffle.
     """
     with open(model_path, "rb") as f:
         model = f.read()
@@ -198,10 +301,12 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         for batch in batches:
             at = 0
             for texts in _portions([t or "" for t in batch.column("text").to_pylist()]):
-                ids = [pieces.encode(t) for t in texts]
+                flat, ends = pieces.encode(texts)
+                ids = [flat[a:b].tolist() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 decoded = [pieces.decode(i) for i in ids]
                 same = [a == b and c == d for a, b, c, d in zip(ids, theirs.encode(texts, num_threads=1), decoded, theirs.decode(ids, num_threads=1), strict=True)] if check else [None] * len(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), pa.array(ids, _OUT), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], ["id", "ids", "decoded", "agrees"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), lists, pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], ["id", "ids", "decoded", "agrees"])
                 at += len(texts)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

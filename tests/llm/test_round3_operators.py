@@ -36,11 +36,16 @@ def strange(rng, most=40):
     return "".join(rng.choice(common) if rng.random() < 0.8 else chr(rng.choice([rng.randrange(1, 0x300), rng.randrange(0x4E00, 0x5000), rng.randrange(0xE000, 0x11000)])) for _ in range(rng.randrange(most)))
 
 
+def encoded(own, *texts):
+    flat, ends = own.encode(list(texts))
+    return [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def test_pieces_are_the_librarys(vocabulary, library):
     rng = random.Random(5)
     texts = ["", " ", "  ", "▁", " a", "a ", "a  b", "▁▁a", "\n\n", "<s></s><unk>", "<0x41>", "x" * 5000, "ab" * 4000, "= " * 3000, "中" * 3000, *(strange(rng) for _ in range(4000))]
     for t in texts:
-        ids = vocabulary.encode(t)
+        (ids,) = encoded(vocabulary, t)
         assert ids == library.encode(t), t
         assert vocabulary.decode(ids) == library.decode(ids), t
 
@@ -52,10 +57,12 @@ def test_any_ids_decode_as_the_librarys(vocabulary, library):
         assert vocabulary.decode(ids) == library.decode(ids), ids
 
 
-def test_words_are_forgotten_not_lost(vocabulary, library, monkeypatch):
-    monkeypatch.setattr(pieces, "_WORDS", 3)
-    text = "one two three four five two one " * 3 + "end"
-    assert vocabulary.encode(text) == library.encode(text) and len(vocabulary) <= 4
+def test_texts_are_encoded_together(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(pieces, "_ROWS", 7)
+    rng = random.Random(9)
+    texts = [strange(rng, 60) for _ in range(300)] + ["", "w" * 31 + " " + "w" * 33 + "  é\u0101 " + "▁" * 40]
+    assert encoded(vocabulary, *texts) == library.encode(texts)
+    assert encoded(vocabulary) == []
 
 
 def test_other_vocabularies_are_refused(library):
@@ -111,8 +118,9 @@ def test_other_settings_of_a_vocabulary(library):
         raw = spec.SerializeToString()
         own, theirs = pieces.Pieces(raw), SentencePieceProcessor(model_proto=raw)
         for t in texts:
-            assert own.encode(t) == theirs.encode(t), (change.__name__, t)
-            assert own.decode(own.encode(t)) == theirs.decode(theirs.encode(t)), (change.__name__, t)
+            (ids,) = encoded(own, t)
+            assert ids == theirs.encode(t), (change.__name__, t)
+            assert own.decode(ids) == theirs.decode(theirs.encode(t)), (change.__name__, t)
 
 
 def test_encode_pieces(spark, library):
@@ -233,6 +241,12 @@ def test_audit(spark):
     assert few.agg(F.max("rank")).first()[0] == 3
 
 
+def test_shares_beyond_a_long(spark):
+    rows = [(n, t, v) for n in (0, 1, 9_223_372_034, 9_223_372_035, 9_223_372_036, 10**15) for t in (n, 10**16) for v in (1, 7)]
+    out = spark.createDataFrame(rows, "n long, t long, v long").select("n", "t", "v", divergence._share(F.col("n"), F.col("t"), F.col("v")).alias("p")).collect()
+    assert all(r["p"] == 1 + 10**9 * (r["n"] + 1) // (r["t"] + r["v"]) for r in out)
+
+
 def test_audit_when_hashes_collide(monkeypatch):
     texts = [t.encode() for t in ("aa bb aa cc", "bb b aa", "", "cc")]
     data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
