@@ -133,18 +133,19 @@ def posteriors(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, begin: np
     index = np.where(np.arange(steps)[None, :] < length[:, None], offset[:, None] + np.arange(steps)[None, :], n)
     padded = np.vstack([psi, np.ones((1, k))])
     eye = np.eye(k)
+    first, final = nth == 0, nth == segs[seq] - 1
     prod = np.broadcast_to(eye, (m, k, k)).copy()
     for t in range(steps):  # transfer of a whole segment: product of (transition, emission)
         live = length > t
-        step = (prod[live] @ a) * padded[index[live, t]][:, None, :]
+        moved = prod[live] @ a
+        if t == 0:
+            moved[first[live]] = eye  # nothing comes before a first word but the start scores
+        step = moved * padded[index[live, t]][:, None, :]
         prod[live] = step / step.sum(axis=(1, 2), keepdims=True)
-    b0 = np.exp(begin - begin.max())
-    start = np.linalg.lstsq(a.T, b0, rcond=None)[0]  # a row vector whose transition gives the start scores
     into, back = np.empty((m, k)), np.empty((m, k))
-    first, final = nth == 0, nth == segs[seq] - 1
     order = np.argsort(nth, kind="stable")
     marks = np.searchsorted(nth[order], np.arange(int(segs.max()) + 1))
-    into[first] = start
+    into[first] = np.exp(begin - begin.max())
     for j in range(1, int(segs.max())):
         s = order[marks[j] : marks[j + 1]]
         v = np.einsum("ni,nij->nj", into[s - 1], prod[s - 1])
@@ -158,7 +159,10 @@ def posteriors(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, begin: np
     v = into
     for t in range(steps):
         live = np.flatnonzero(length > t)
-        w = (v[live] @ a).clip(1e-300) * padded[index[live, t]]
+        moved = v[live] @ a
+        if t == 0:
+            moved[first[live]] = v[live][first[live]]
+        w = moved.clip(1e-300) * padded[index[live, t]]
         w /= w.sum(axis=1, keepdims=True)
         alpha[index[live, t]] = w
         v = v.copy()
