@@ -369,3 +369,27 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, crowd: int = 48, i
     out = marks.select("id", "t1", "t2").join(heads, ["t1", "t2"], "left")
     out = out.select("id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
     return out.withColumn("kept", F.col("id").isNull() | (F.col("id") == F.col("class_id"))).withColumnRenamed("id", id_col)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), node AS (
+  SELECT min(doc_id) AS r, w FROM d WHERE len(w) > 0 GROUP BY w
+), seen AS (
+  SELECT r, k, count(*) AS n FROM (SELECT r, unnest(list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' ')))) AS k FROM node WHERE len(w) >= 5) GROUP BY 1, 2
+), size AS (
+  SELECT r, sum(n) AS n FROM seen GROUP BY 1
+), pair AS (
+  SELECT a.r AS a, b.r AS b, sum(least(a.n, b.n)) AS common FROM seen AS a JOIN seen AS b ON a.k = b.k AND a.r < b.r GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pair JOIN size AS x ON x.r = a JOIN size AS y ON y.r = b WHERE 5 * common >= 4 * (x.n + y.n - common)
+), way AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT r AS a, r AS b FROM node UNION SELECT reach.a, way.b FROM reach JOIN way ON reach.b = way.a
+), class AS (
+  SELECT a, min(b) AS c FROM reach GROUP BY 1
+)
+SELECT doc_id, coalesce(c, doc_id) AS class_id, coalesce(c, doc_id) = doc_id AS kept FROM d LEFT JOIN node ON d.w = node.w LEFT JOIN class ON a = r
+"""

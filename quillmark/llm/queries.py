@@ -93,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_dedup": embedding_dedup.ORACLE,
+    "op3_minhash": minhash.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_sharding": sharding.oracle(SHARD_BYTES),
     "op12_hard_negatives": negatives.ORACLE,

@@ -518,6 +518,29 @@ def digest(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM (
+    SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d))
+), again AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM win WHERE nth > 1
+), run AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM again) GROUP BY doc_id, r
+), gap AS (
+  SELECT d.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY d.doc_id ORDER BY a), 0) AS z, h FROM d JOIN run ON run.doc_id = d.doc_id
+), part AS (
+  SELECT doc_id, z AS place, substr(h, 2 * z + 1, 2 * (a - z)) AS x FROM gap
+  UNION ALL SELECT d.doc_id, coalesce(e, 0), substr(h, 2 * coalesce(e, 0) + 1, len(h)) FROM d LEFT JOIN (SELECT doc_id, max(b) AS e FROM run GROUP BY 1) AS l ON l.doc_id = d.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(x, '' ORDER BY place) AS x FROM part GROUP BY 1
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(s, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS s FROM run GROUP BY 1) USING (doc_id)
+"""
+
+
 def brute_force(rows: list[tuple[int | None, str | None]], window: int = 100) -> list[tuple[int, int, int, bytes]]:
     """The contract read literally, row by row; for tests."""
     where: dict[bytes, list[tuple[int, str | None, int]]] = {}
