@@ -160,8 +160,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn=None, max_labels: in
     ``labels`` are ``doc_id, quality``; several labels of one document average, null ones
     don't count. Only documents for which ``learn`` (a condition on doc_id; default: all)
     holds are learned from, by a hash of doc_id at most about ``max_labels`` of them
-    (documented bound of the fit; every document is scored). Without any label the score
-    is 0.5. A null, empty or blank text is scored by zero statistics. Columns of ``docs``
+    (documented bound of the fit; every document is scored). The calibration is fitted on
+    the labelled rows held back from the ridge fit; where none fell among them, on all
+    labelled rows, seen ones included. Without any label the score is 0.5. A null, empty or blank text is scored by zero statistics. Columns of ``docs``
     other than doc_id, text and ``carry`` are ignored.
     """
     kinds = dict(docs.dtypes)
