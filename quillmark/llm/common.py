@@ -35,6 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_MADE: list[str] = []  # where this driver has settled frames, in order
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Large state: write it once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
@@ -42,6 +45,7 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    _MADE.append(path)
     return out
 
 
@@ -55,6 +59,24 @@ def drop_settled(spark: SparkSession, *frames: DataFrame | None) -> None:
         if (path := getattr(frame, "_settled_at", None)) is not None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
+            if path in _MADE:
+                _MADE.remove(path)
+
+
+def made() -> int:
+    """A mark for ``drop_made``."""
+    return len(_MADE)
+
+
+def drop_made(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the files of all frames settled since the mark but those to keep; for use when what they led to has been settled."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kept = {getattr(f, "_settled_at", None) for f in keep}
+    for path in _MADE[since:]:
+        if path not in kept:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+    _MADE[since:] = [p for p in _MADE[since:] if p in kept]
 
 
 _HELD: dict[str, Any] = {}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmark.llm import decontaminate, minhash, mixing, quality
+from quillmark.llm import common, decontaminate, minhash, mixing, quality
 from quillmark.llm.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -72,3 +72,13 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DIR).count() == 0
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _spark, real=common.shared_dir: (real(_spark), str(tmp_path))[1])
+    before = common.made()
+    out = corpus_pipeline.run(spark, DIR)
+    left = sorted(p.name for p in tmp_path.glob("quillmark-*"))
+    inputs = {f.split("/")[-2] for f in out.inputFiles()}
+    assert set(left) == {i for i in inputs if i.startswith("quillmark-")} and 1 <= len(left) <= 2, left
+    assert out.count() > 0 and common.made() - before == len(left)
