@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, minhash, mixing, quality, sharding
-from quillmark.llm.common import ASCII_SPACE, drop_settled, settle, table, unused
+from quillmark.llm.common import ASCII_SPACE, drop_made, drop_settled, made, settle, table, unused
 
 SHARD_BYTES = 1 << 20
 
@@ -77,8 +77,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for nth, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
+        mark, before, docs = made(), docs, stage(spark, docs, sf_dir)
         if nth < len(STAGES) - 1:
             docs = settle(docs)
+            drop_made(spark, mark, docs)  # what the stage wrote for itself
             drop_settled(spark, before)
     return docs
