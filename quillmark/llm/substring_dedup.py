@@ -135,9 +135,12 @@ def _in_filter(known: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     return ((known[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _context_rows(window: int, shared, passes: int, nth: int, shards: int, salts: int, pack_rows: int = 80_000):
+def _context_rows(window: int, shared, passes: int, nth: int, shards: int, salts: int, pack_rows: int = 80_000, pack_bytes: int = 16 << 20):
     """Anchors that the filter knows, with the bytes of all windows that pick them: packed by shard, a compressed table a row.
 
+    In a run of one byte every position is an anchor with a window of bytes of its own, so
+    contexts are laid out ``pack_bytes`` at a time and packed once as many are held.
+
     ``shared`` holds (bytes, bits) of the filter and of the filter of crowded anchors,
     whose contexts are dealt over ``salts`` further shards (salt 0: not crowded).
     """
@@ -146,12 +149,12 @@ def _context_rows(window: int, shared, passes: int, nth: int, shards: int, salts
         (known, bits), (crowd, crowd_bits) = ((np.frombuffer(b, np.uint8), n) for b, n in shared.value)
         held: list[pa.Table] = []
         hashes: list[np.ndarray] = []
-        count = 0
+        count = weight = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, hashes, count
+            nonlocal held, hashes, count, weight
             table, h = pa.concat_tables(held), np.concatenate(hashes)
-            held, hashes, count = [], [], 0
+            held, hashes, count, weight = [], [], 0, 0
             shard = (h // np.uint64(7) % np.uint64(shards)).astype(np.int64)
             place = (table["doc"].to_numpy().astype(np.uint64) * _M[0] + table["at"].to_numpy().astype(np.uint64)) * _M[1]
             salt = np.where(_in_filter(crowd, crowd_bits, h), 1 + ((place >> np.uint64(33)) % np.uint64(salts)).astype(np.int64), 0)
@@ -172,23 +175,36 @@ def _context_rows(window: int, shared, passes: int, nth: int, shards: int, salts
                 if not keep.any():
                     continue
                 doc, h, at, first, last = doc[keep], h[keep], at[keep], first[keep], last[keep]
-                size = last + window - first
-                index = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(code[index].tobytes())])
                 name, text, base = np.array(ids, np.int64).T
-                columns = [name[doc], text[doc], at - offset[doc] + base[doc], (at - first).astype(np.uint8), (last + window - at).astype(np.uint8)]
-                hashes.append(h)
-                held.append(pa.Table.from_arrays([*map(pa.array, columns), body], schema=_PACK))
-                count += len(h)
-                if count >= pack_rows:
-                    yield flush()
+                total = np.cumsum(last + window - first)
+                for lo, hi in _stretches(total, pack_bytes):
+                    size = last[lo:hi] + window - first[lo:hi]
+                    index = np.repeat(first[lo:hi] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(code[index].tobytes())])
+                    own, where = doc[lo:hi], at[lo:hi]
+                    columns = [name[own], text[own], where - offset[own] + base[own], (where - first[lo:hi]).astype(np.uint8), (last[lo:hi] + window - where).astype(np.uint8)]
+                    hashes.append(h[lo:hi])
+                    held.append(pa.Table.from_arrays([*map(pa.array, columns), body], schema=_PACK))
+                    count += hi - lo
+                    weight += int(size.sum())
+                    if count >= pack_rows or weight >= pack_bytes:
+                        yield flush()
         if count:
             yield flush()
 
     return run
 
 
+def _stretches(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows, given their running total, that reach ``most`` or the end."""
+    at = 0
+    while at < len(total):
+        to = min(len(total), int(np.searchsorted(total, (total[at - 1] if at else 0) + most)) + 1)
+        yield at, to
+        at = to
+
+
 def _slice_of(h: np.ndarray, passes: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(passes)).astype(np.int64)
 
