@@ -77,7 +77,7 @@ def event_sessions(s, d):
 def event_follow_ups(s, d):
     e = _table(s, d, "events")
     out = windows.follow_ups(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "12 hours")
-    return out.select("user_id", "event_id", "followed_by")
+    return out.select("user_id", "event_id", F.coalesce("followed_by", F.lit(-1)).alias("followed_by"))
 
 
 def event_asof_view(s, d):
@@ -85,7 +85,7 @@ def event_asof_view(s, d):
     e = _table(s, d, "events")
     bought = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     seen = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen_at"), F.col("event_id").alias("view_id"), F.col("value").alias("price"))
-    return joins.asof(bought, seen, ["user_id"], "ts", "seen_at").select("event_id", "last_view_id", "last_price")
+    return joins.asof(bought, seen, ["user_id"], "ts", "seen_at").select("event_id", F.coalesce("last_view_id", F.lit(-1)).alias("last_view_id"), "last_price")
 
 
 def lineitem_asof_order(s, d):
@@ -93,7 +93,7 @@ def lineitem_asof_order(s, d):
     o, li = _table(s, d, "orders"), _table(s, d, "lineitem")
     shipped = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", F.col("o_custkey").alias("cust"), "l_shipdate")
     placed = o.groupBy(F.col("o_custkey").alias("cust"), F.col("o_orderdate").alias("day")).agg(F.max("o_orderkey").alias("order"))
-    return joins.asof(shipped, placed, ["cust"], "l_shipdate", "day", 90).select("l_orderkey", "l_linenumber", F.col("last_order").alias("last_order"))
+    return joins.asof(shipped, placed, ["cust"], "l_shipdate", "day", 90).select("l_orderkey", "l_linenumber", F.coalesce("last_order", F.lit(-1)).alias("last_order"))
 
 
 def _periods(s, d):
@@ -134,7 +134,8 @@ def _outlined(s, d):
 
 
 def note_outline(s, d):
-    return outlines.outline(_outlined(s, d)).select("relative_path", "nth", "kind", "level", "parent", "text", "target", "done")
+    none = F.lit(0)
+    return outlines.outline(_outlined(s, d)).select("relative_path", "nth", "kind", F.coalesce("level", none).alias("level"), F.coalesce("parent", none).alias("parent"), "text", "target", F.col("done").cast("string").alias("done"))
 
 
 def note_view_query(s, d):
@@ -241,14 +242,14 @@ def _with_sql() -> dict[str, str]:
             SELECT make_timestamp(window_start) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM w GROUP BY 1, 2""",
         "event_sessions": runs.replace("{gap}", "90 MINUTES") + " SELECT user_id, a AS session_start, b + INTERVAL 90 MINUTES AS session_end, n, total FROM r",
         "event_follow_ups": """
-            SELECT a.user_id, a.event_id, b.event_id AS followed_by FROM (SELECT * FROM events WHERE event_type = 'view') AS a
+            SELECT a.user_id, a.event_id, coalesce(b.event_id, -1) AS followed_by FROM (SELECT * FROM events WHERE event_type = 'view') AS a
             LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') AS b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 12 HOURS""",
         "event_asof_view": """
-            SELECT a.event_id, b.event_id AS last_view_id, b.value AS last_price FROM (SELECT * FROM events WHERE event_type = 'purchase') AS a
+            SELECT a.event_id, coalesce(b.event_id, -1) AS last_view_id, b.value AS last_price FROM (SELECT * FROM events WHERE event_type = 'purchase') AS a
             ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') AS b ON a.user_id = b.user_id AND a.ts >= b.ts""",
         "lineitem_asof_order": """
             WITH l AS (SELECT l_orderkey, l_linenumber, o_custkey AS cust, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey), p AS (SELECT o_custkey AS cust, o_orderdate AS day, max(o_orderkey) AS k FROM orders GROUP BY 1, 2)
-            SELECT l_orderkey, l_linenumber, k AS last_order FROM l ASOF LEFT JOIN p ON l.cust = p.cust AND l.l_shipdate >= p.day""",
+            SELECT l_orderkey, l_linenumber, coalesce(k, -1) AS last_order FROM l ASOF LEFT JOIN p ON l.cust = p.cust AND l.l_shipdate >= p.day""",
         "event_overlaps": runs.replace("{gap}", "5 HOURS") + """
             , q AS (SELECT user_id, event_id, ts AS c, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events WHERE event_type = 'error')
             SELECT r.user_id, a AS run_start, count(*) AS n, min(event_id) AS first FROM r JOIN q ON r.user_id = q.user_id AND a <= d AND c <= b GROUP BY r.user_id, a""",
@@ -257,13 +258,13 @@ def _with_sql() -> dict[str, str]:
         "note_outline": r"""
             WITH t AS (SELECT doc_id, 'n-' || doc_id || '.md' AS p, regexp_extract(coalesce("text", ''), '[A-Za-z]+', 0) AS w FROM documents),
             u AS (SELECT *, w || '.md|x' AS shown, (w <> '')::INT AS has FROM t)
-            SELECT p AS relative_path, 1 AS nth, 'heading' AS kind, 1 AS level, NULL::INT AS parent, doc_id::VARCHAR AS text, NULL AS target, NULL::BOOLEAN AS done FROM u
-            UNION ALL SELECT p, 2, 'link', NULL, 1, shown, lower(w), NULL FROM u
-            UNION ALL SELECT p, 3, 'task', 1, 1, 'open [[a]]', NULL, false FROM u
-            UNION ALL SELECT p, 4, 'link', NULL, 3, 'a', 'a', NULL FROM u
-            UNION ALL SELECT p, 5, 'task', 2, 3, 'done', NULL, true FROM u
+            SELECT p AS relative_path, 1 AS nth, 'heading' AS kind, 1 AS level, 0 AS parent, doc_id::VARCHAR AS text, NULL::VARCHAR AS target, NULL::VARCHAR AS done FROM u
+            UNION ALL SELECT p, 2, 'link', 0, 1, shown, lower(w), NULL FROM u
+            UNION ALL SELECT p, 3, 'task', 1, 1, 'open [[a]]', NULL, 'false' FROM u
+            UNION ALL SELECT p, 4, 'link', 0, 3, 'a', 'a', NULL FROM u
+            UNION ALL SELECT p, 5, 'task', 2, 3, 'done', NULL, 'true' FROM u
             UNION ALL SELECT p, 6, 'heading', CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END, 1, CASE WHEN doc_id % 3 = 0 THEN 'deep' ELSE 'part' END, NULL, NULL FROM u
-            UNION ALL SELECT p, 7, 'link', NULL, 6, 'b#c', 'b', NULL FROM u""",
+            UNION ALL SELECT p, 7, 'link', 0, 6, 'b#c', 'b', NULL FROM u""",
         "note_view_query": VARIED + f"""
             , seen AS (SELECT CASE {levels} ELSE 7 END AS rank, CASE WHEN known THEN authored_sensitivity ELSE 'secret' END AS sensitivity FROM parsed WHERE sure AND state = 'fact')
             SELECT ceiling, sensitivity, count(*) AS n FROM seen JOIN (VALUES ('public', 1), ('restricted', 3), ('secret', 7)) AS c(ceiling, top) ON rank <= top GROUP BY 1, 2""",

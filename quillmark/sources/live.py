@@ -3,7 +3,8 @@
 Each request is sent by the task that holds its row. Before it is sent a marker is made in
 a shared spool folder, and the answer is put beside it, so a task that runs again hands on
 the answer that is there and asks for none twice: a request whose marker stands without an
-answer was cut off in between and is reported as such.
+answer was cut off in between and is reported as such. Speculative copies of a task would
+see the marker of the first one; leave ``spark.speculation`` off.
 """
 
 from __future__ import annotations

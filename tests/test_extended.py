@@ -16,6 +16,7 @@ from quillmark.functions import outline as outlines
 from quillmark.functions import variant
 from quillmark.operators import graph, joins, lineage, sketches, validate, views
 from quillmark.operators.projection import Options, project
+from quillmark.plans import commands
 from quillmark.sources import changes, live
 from quillmark.sources.notes import notes_from_rows, read_notes
 from quillmark.streaming import state, windows
@@ -382,6 +383,38 @@ def test_proposals_are_asked_for_once(spark, helper, tmp_path):
     assert [r["outcome"] for r in out.collect()].count("interrupted") == 1 and len(Helper.asked) == sent
 
 
+def test_live_assistance_from_the_command_line(spark, helper, tmp_path, capsys, monkeypatch):
+    def proposal(body, **more):
+        return {"contractVersion": body["contractVersion"], "proposalId": "p1", "proposalType": body["task"], "targetId": body["targetId"], "rationale": "r", "confidence": 0.8, "evidenceRefs": [], "generator": {"system": "t", "programVersion": "1"}} | more
+
+    real = Helper.do_POST
+
+    def answer(self):
+        body = json.loads(self.rfile.read(int(self.headers["content-length"])))
+        Helper.asked.append((self.path, body, self.headers.get("authorization"), None))
+        more = {"unsafe.md": {"proposedPatch": {"approved": True}}, "other.md": {"targetId": "elsewhere.md"}}.get(os.path.basename(body["targetId"]), {})
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"contractVersion": body["contractVersion"], "requestId": body["requestId"], "proposals": [proposal(body, **more)]}).encode())
+
+    monkeypatch.setattr(Helper, "do_POST", answer)
+    monkeypatch.setenv(commands.TOKEN, " k2 ")
+    monkeypatch.setenv(commands.URL, helper)
+    for name in ("good.md", "unsafe.md", "other.md"):
+        (tmp_path / name).write_text("# Alpha")
+    assert commands.main(["assist", "improve", str(tmp_path / "good.md"), "--live"], spark) == 0
+    made = json.loads(capsys.readouterr().out)
+    assert made["authoritative"] is False and [p["proposalId"] for p in made["proposals"]] == ["p1"] and made["proposals"][0]["proposalType"] == "documentation_improvement"
+    assert Helper.asked[0][1]["noteText"] == "# Alpha" and Helper.asked[0][2] == "Bearer k2"
+    for name, why in (("unsafe.md", "claims authority"), ("other.md", "another note")):
+        assert commands.main(["assist", "repair", str(tmp_path / name), "--live"], spark) == 2
+        assert why in capsys.readouterr().err
+    assert commands.main(["assist", "repair", str(tmp_path / "good.md"), "--live", "--url", "http://example.com"], spark) == 2 and "loopback" in capsys.readouterr().err
+    assert commands.main(["assist", "repair", str(tmp_path / "good.md"), "--live", "--url", "http://127.0.0.1:9"], spark) == 2 and "unavailable" in capsys.readouterr().err
+    monkeypatch.setattr(Helper, "do_POST", real)
+    assert len(Helper.asked) == 3 and (tmp_path / "good.md").read_text() == "# Alpha"
+
+
 def test_proposals_without_token_or_server(spark, helper, tmp_path):
     assert live.fetch(asking(spark, "a.md"), helper, str(tmp_path / "s")).first()["outcome"] == "ok" and Helper.asked[0][2] is None
     gone = live.fetch(asking(spark, "b.md"), "http://127.0.0.1:9", str(tmp_path / "s")).first()
