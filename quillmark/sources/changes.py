@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,17 +19,17 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SCHEMA = "relative_path string, change string, content string, content_sha256 string, modified_at timestamp, snapshot long"
-_TYPES = pa.schema([("relative_path", pa.string()), ("change", pa.string()), ("content", pa.string()), ("content_sha256", pa.string()), ("modified_at", pa.timestamp("us", "UTC")), ("snapshot", pa.int64())])
+SCHEMA = "relative_path string, change string, content string, content_sha256 string, modified_at timestamp, noticed_at timestamp, snapshot long"
+_TYPES = pa.schema([("relative_path", pa.string()), ("change", pa.string()), ("content", pa.string()), ("content_sha256", pa.string()), ("modified_at", pa.timestamp("us", "UTC")), ("noticed_at", pa.timestamp("us", "UTC")), ("snapshot", pa.int64())])
 #: A file by its path: (bytes, microseconds of its last change).
 Listing = dict[str, tuple[int, int]]
 
 
 class FileRange(InputPartition):
-    """Some files of the difference that leads to a snapshot, each with what happened to it."""
+    """Some files of the difference that leads to a snapshot, each with what happened to it, and when that was noticed (microseconds)."""
 
-    def __init__(self, snapshot: int, files: list[tuple[str, str]]):
-        self.snapshot, self.files = snapshot, files
+    def __init__(self, snapshot: int, noticed: int, files: list[tuple[str, str]]):
+        self.snapshot, self.noticed, self.files = snapshot, noticed, files
 
 
 def place(where: str) -> tuple[fs.FileSystem, str]:
@@ -50,17 +51,17 @@ def difference(before: Listing, now: Listing) -> list[tuple[str, str]]:
     return sorted((kinds | {p: "deleted" for p in before if p not in now}).items())
 
 
-def ranges(snapshot: int, files: list[tuple[str, str]], now: Listing, most_files: int, most_bytes: int) -> list[FileRange]:
+def ranges(snapshot: int, noticed: int, files: list[tuple[str, str]], now: Listing, most_files: int, most_bytes: int) -> list[FileRange]:
     """The files in order, dealt out so that no range holds too many files or, unless it is one file, too many bytes."""
     out, part, size = [], [], 0
     for path, change in files:
         own = now[path][0] if path in now else 0
         if part and (len(part) == most_files or size + own > most_bytes):
-            out.append(FileRange(snapshot, part))
+            out.append(FileRange(snapshot, noticed, part))
             part, size = [], 0
         part.append((path, change))
         size += own
-    return [*out, FileRange(snapshot, part)] if part else out
+    return [*out, FileRange(snapshot, noticed, part)] if part else out
 
 
 def rows(folder: str, part: FileRange) -> Iterator[pa.RecordBatch]:
@@ -76,7 +77,7 @@ def rows(folder: str, part: FileRange) -> Iterator[pa.RecordBatch]:
                 content, digest, at = raw.decode("utf-8", "replace"), hashlib.sha256(raw).hexdigest(), (info.mtime_ns or 0) // 1000
             except FileNotFoundError:
                 pass
-        columns = [[path], [change], [content], [digest], [at], [part.snapshot]]
+        columns = [[path], [change], [content], [digest], [at], [part.noticed], [part.snapshot]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES.types, strict=True)], schema=_TYPES)
 
 
@@ -94,15 +95,18 @@ class Manifests:
         names = (f.base_name for f in self.system.get_file_info(fs.FileSelector(self.root)))
         return sorted(int(n[9:21]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
 
-    def read(self, number: int) -> Listing:
+    def read(self, number: int) -> tuple[Listing, int]:
+        """The listing, and when it was taken."""
         if number == 0:
-            return {}
+            return {}, 0
         with self.system.open_input_stream(self._path(number)) as f:
-            return {p: (size, at) for p, size, at in (json.loads(line) for line in f.read().decode().splitlines())}
+            first, *lines = f.read().decode().splitlines()
+        return {p: (size, at) for p, size, at in map(json.loads, lines)}, json.loads(first)["noticed"]
 
-    def write(self, number: int, now: Listing) -> None:
+    def write(self, number: int, now: Listing, noticed: int) -> None:
+        lines = [json.dumps({"noticed": noticed}), *(json.dumps([p, *v]) for p, v in sorted(now.items()))]
         with self.system.open_output_stream(f"{self._path(number)}.part") as f:
-            f.write("".join(json.dumps([p, *v]) + "\n" for p, v in sorted(now.items())).encode())
+            f.write("\n".join(lines).encode())
         self.system.move(f"{self._path(number)}.part", self._path(number))
 
     def forget(self, before: int) -> None:
@@ -123,16 +127,18 @@ class _Stream(DataSourceStreamReader):
         """The last manifest's number, or the next one's if the folder differs from it. A manifest that no batch has used yet is used, so a stop between listing and planning loses nothing."""
         last = max(self.manifests.numbers(), default=0)
         now = listing(self.folder)
-        if now != self.manifests.read(last):
+        before, noticed = self.manifests.read(last)
+        if now != before:
             last += 1
-            self.manifests.write(last, now)
+            self.manifests.write(last, now, max(noticed + 1, time.time_ns() // 1000))  # later than the last one, whatever the clock says
         return {"snapshot": last}
 
     def partitions(self, start: dict, end: dict) -> list[FileRange]:
         if start == end:
             return []
-        now = self.manifests.read(end["snapshot"])
-        return ranges(end["snapshot"], difference(self.manifests.read(start["snapshot"]), now), now, self.most_files, self.most_bytes)
+        now, noticed = self.manifests.read(end["snapshot"])
+        before, _ = self.manifests.read(start["snapshot"])
+        return ranges(end["snapshot"], noticed, difference(before, now), now, self.most_files, self.most_bytes)
 
     def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
         return rows(self.folder, partition)
@@ -150,7 +156,7 @@ class _Batch(DataSourceReader):
 
     def partitions(self) -> list[FileRange]:
         now = listing(self.folder)
-        return ranges(0, difference({}, now), now, self.most_files, self.most_bytes)
+        return ranges(0, time.time_ns() // 1000, difference({}, now), now, self.most_files, self.most_bytes)
 
     def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
         return rows(self.folder, partition)
@@ -181,7 +187,9 @@ class NoteChanges(DataSource):
 
 
 def read_changes(spark: SparkSession, folder: str, state: str, **options: str) -> DataFrame:
-    """The change feed as a streaming DataFrame: ``relative_path, change, content, content_sha256, modified_at, snapshot``; content is null for deleted notes.
+    """The change feed as a streaming DataFrame: ``relative_path, change, content, content_sha256, modified_at, noticed_at, snapshot``; content is null for deleted notes.
+    ``noticed_at`` is the time of the listing that told of the change: the same when a batch
+    is repeated, and later in every later batch, so it serves as event time.
 
     The listing is held by the driver, as that of any file source is: some 100 bytes a
     note. Contents are read by the tasks, a range of files each.

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quillmark.operators.projection import Options, project
+
 _OUT = "key string, event string, at timestamp, version string, level int"
 #: A version: microseconds of its time, what it was, its level.
 _KEPT = "at long, version string, level int"
@@ -27,14 +29,28 @@ def _micros(at: datetime) -> int:
 
 
 def _event(version: str | None, level: int | None, last: tuple | None) -> str | None:
-    """What a version is after the last one: first, raised, lowered, edited; None for a repetition."""
-    if last is None:
+    """What a version is after the last one: first, raised, lowered, edited, or deleted (no version); None for a repetition."""
+    if version is None:
+        return None if last is not None and last[1] is None else "deleted"
+    if last is None or last[1] is None:
         return "first"
     if (level or 0) != (last[2] or 0):
         return "raised" if (level or 0) > (last[2] or 0) else "lowered"
     return "edited" if version != last[1] else None
 
 
+def note_versions(feed: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008  frozen
+    """A change feed (relative_path, content, content_sha256, noticed_at, ...) as versions for ``track`` and ``history``: the hash, and the rank of the effective sensitivity under the options; a deleted note has neither."""
+    p = project(feed, options)
+    gone = F.col("content_sha256").isNull()
+    return p.select(F.col("relative_path").alias("key"), F.col("noticed_at").alias("at"), F.col("content_sha256").alias("version"), F.when(~gone, F.col("effective.sensitivity_rank")).alias("level"))
+
+
+def _lives(last: tuple) -> bool:
+    """Whether a last version may go stale: it is there, and has not been reported."""
+    return last[1] is not None and not last[3]
+
+
 class NoteState(StatefulProcessor):
     """One key's versions: those that wait, and the last one taken. State of a key that was not seen for ``forget`` is dropped."""
 
@@ -64,7 +80,7 @@ class NoteState(StatefulProcessor):
         last = tuple(self.last.get()) if self.last.exists() else None
         out = []
         for at, version, level in sorted(due, key=lambda v: (v[0], v[1] or "", v[2] or 0)):
-            if last is not None and not last[3] and at >= last[0] + self.stale:
+            if last is not None and _lives(last) and at >= last[0] + self.stale:
                 out.append(self._row(key, "stale", last[0] + self.stale, last))
                 last = (*last[:3], True, last[4])
             if last is not None and at >= last[4] + self.forget:
@@ -75,14 +91,14 @@ class NoteState(StatefulProcessor):
             else:
                 last = (at, version, level, False, at)
                 out.append(self._row(key, event, at, last))
-        if last is not None and not last[3] and until >= last[0] + self.stale:
+        if last is not None and _lives(last) and until >= last[0] + self.stale:
             out.append(self._row(key, "stale", last[0] + self.stale, last))
             last = (*last[:3], True, last[4])
         if last is None or (until >= last[4] + self.forget and not later):
             self.last.clear()
         else:
             self.last.update(last)
-            if not last[3]:
+            if _lives(last):
                 self.handle.registerTimer((last[0] + self.stale) // 1000 + 1)
             self.handle.registerTimer((last[4] + self.forget) // 1000 + 1)
         return iter(out)
@@ -100,7 +116,7 @@ def _typed(versions: DataFrame) -> DataFrame:
 
 
 def track(versions: DataFrame, late: str = "10 minutes", stale_ms: int = 3_600_000, forget_ms: int = 30 * 86_400_000) -> DataFrame:
-    """``key, event, at, version, level`` of a stream of ``key, at, version, level``: first, edited, raised, lowered, and stale once nothing changed for ``stale_ms``.
+    """``key, event, at, version, level`` of a stream of ``key, at, version, level``: first, edited, raised, lowered, deleted, and stale once nothing changed for ``stale_ms``.
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``), which
     keeps state outside the heap and checkpoints its changes only. A key's state is its
@@ -121,11 +137,12 @@ def history(versions: DataFrame, until: datetime | Column | None = None, stale_m
     micros = F.unix_micros("at")
     fresh = F.col("b").isNull() | (micros >= F.unix_micros("b.at") + forget_ms * 1000)
     was, now = F.coalesce("b.level", F.lit(0)), F.coalesce("level", F.lit(0))
-    event = F.when(fresh, "first").when(now > was, "raised").when(now < was, "lowered").when(~F.col("version").eqNullSafe(F.col("b.version")), "edited")
+    none, gone = F.col("version").isNull(), fresh | F.col("b.version").isNull()
+    event = F.when(none & ~fresh & F.col("b.version").isNull(), None).when(none, "deleted").when(gone, "first").when(now > was, "raised").when(now < was, "lowered").when(~F.col("version").eqNullSafe(F.col("b.version")), "edited")
     changed = rows.withColumn("event", event).where("event IS NOT NULL").drop("b")
     end = F.timestamp_micros(F.unix_micros("at") + stale_ms * 1000)
     following = F.lead("at").over(order)
-    gone = changed.withColumn("next", following).withColumn("end", end)
+    ahead = changed.withColumn("next", following).withColumn("end", end)
     seen = F.coalesce("next", (until if isinstance(until, Column) else F.lit(until)).cast("timestamp"))
-    stale = gone.where(F.col("end") <= seen).select("key", F.lit("stale").alias("event"), F.col("end").alias("at"), "version", "level")
+    stale = ahead.where((F.col("end") <= seen) & F.col("version").isNotNull()).select("key", F.lit("stale").alias("event"), F.col("end").alias("at"), "version", "level")
     return changed.select("key", "event", "at", "version", "level").unionByName(stale)
