@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark import __version__
-from quillmark.operators import assess, graph, proposals, settings, validate
+from quillmark.operators import assess, graph, lineage, proposals, settings, validate
 from quillmark.operators.projection import Options, project
 from quillmark.sources import live
 from quillmark.sources.notes import read_notes, read_one
@@ -82,6 +82,8 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         p.add_argument("folder")
         p.add_argument("--default-sensitivity")
+        if name == "validate":
+            p.add_argument("--lineage", action="store_true", help="also report dangling links, identities that several notes bear, and notes that links lead back to; these don't fail the gate")
         if name == "assess":
             p.add_argument("--json", action="store_true")
         if name == "graph":
@@ -182,6 +184,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{r['relative_path']}: {r['severity']} {r['code']}: {r['message']}")
         for r in validate.summary(projection).orderBy("severity", "code").toLocalIterator():
             print(f"{r['n']:6d} {r['severity']} {r['code']}")
+        if args.lineage:
+            resolved = graph.resolve(graph.links(projection), projection)
+            found = graph.diagnostics(projection).unionByName(lineage.diagnostics(lineage.lineage(projection, resolved)))
+            for r in found.orderBy("subject", "code", "message").toLocalIterator():
+                print(f"{r['subject']}: {r['severity']} {r['code']}: {r['message']}")
         row = validate.gate(projection).first()
         print(f"{row['notes']} notes, {row['failures']} failures")
         print(f"build: {build_line(projection, options)}")

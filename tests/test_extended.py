@@ -98,6 +98,16 @@ def test_lineage_of_nothing(spark):
     assert lineage.lineage(notes.limit(0), resolved.limit(0)).count() == 0
 
 
+def test_validate_reports_lineage_on_request(spark, tmp_path, capsys):
+    for name, text in (("x", "[[y]]"), ("y", "[[x]]"), ("z", "[[gone]]"), ("u", "---\nuid: 1\n---\n"), ("v", "---\nuid: 1\n---\n")):
+        (tmp_path / f"{name}.md").write_text(text)
+    assert commands.main(["validate", str(tmp_path)], spark) == 0
+    assert "LINEAGE" not in capsys.readouterr().out
+    assert commands.main(["validate", str(tmp_path), "--lineage"], spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert [line for line in out if "LINEAGE" in line or "LINK" in line or "IDENTITY" in line] == ["u.md: error OKF-IDENTITY-001: several notes have the uid 1", "x.md: warning OKF-LINEAGE-001: links lead back to the note", "y.md: warning OKF-LINEAGE-001: links lead back to the note", "z.md: warning OKF-LINK-001: link to no note: gone"]
+
+
 # --- whole front matter
 
 ODD = "---\nuid: 7\nextra:\n  deep: {x: [1, 2.5, true, null]}\nwhen: 2024-05-06T07:08:09Z\n3: three\nnan: .nan\nraw: !!binary aGk=\nset: !!set {b, a}\nbig: 123456789012345678901234567890123456789012345\n---\nbody"
