@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.composed_sql import COMPOSED, VARIED
@@ -97,18 +97,16 @@ def lineitem_asof_order(s, d):
 
 
 def _periods(s, d):
-    """Runs of each user's events, and of the hours of a kind of event that the user was quiet about: from one to the next."""
+    """Runs of each user's events, and the times between one error of a user and the next."""
     e = _table(s, d, "events")
     runs = windows.sessions(e, "5 hours").select("user_id", F.col("session_start").alias("run_start"), (F.col("session_end") - F.expr("INTERVAL 5 HOURS")).alias("run_end"))
-    from pyspark.sql import Window
-
     nth = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     quiet = e.select("user_id", "event_id", "event_type", F.col("ts").alias("quiet_start"), F.lead("ts").over(nth).alias("quiet_end")).where("event_type = 'error'")
     return runs, quiet.drop("event_type")
 
 
 def event_overlaps(s, d):
-    """How many quiet periods each run of events overlaps, and the first of them."""
+    """How many times between errors each run of events overlaps, and the first of them."""
     out = joins.overlapping(*_periods(s, d), ["user_id"], ("run_start", "run_end"), ("quiet_start", "quiet_end"))
     out = out.groupBy("user_id", "run_start").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
     return out.select("user_id", "run_start", "n", "first")

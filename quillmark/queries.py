@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark import extended_queries
@@ -222,8 +222,6 @@ def generic_pricing_summary(s, d):
 
 
 def generic_customer_rank(s, d):
-    from pyspark.sql import Window
-
     o = _table(s, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     c = _table(s, d, "customer").select("c_custkey", "c_mktsegment")
     w = Window.partitionBy("c_mktsegment").orderBy(F.desc("n"), "c_custkey")
