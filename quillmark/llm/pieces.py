@@ -91,6 +91,22 @@ class Pieces:
         for p, r in self.rank.items():
             self.order[self.ids[p]] = r
 
+        # pairs of common characters, with which every word begins, are looked up at once
+        common = self.symbol[[*range(128), ord(_SPACE)]]
+        self.small = np.full(self.base, len(common), np.uint8)
+        self.small[common] = np.arange(len(common))
+        self.first = np.full((len(common) + 1, len(common) + 1), self.none, np.int32)
+        self.first[:-1, :-1] = self._spell(*np.broadcast_arrays(common[:, None], common[None, :]))
+
+    def _spell_characters(self, row: np.ndarray) -> np.ndarray:
+        """What neighbouring characters of each row spell."""
+        small = self.small[row]
+        out = self.first[small[:, :-1], small[:, 1:]]
+        rare = (small == len(self.first) - 1) & (row != self.none)
+        at = np.nonzero((rare[:, :-1] | rare[:, 1:]) & (row[:, 1:] != self.none))
+        out[at] = self._spell(row[:, :-1][at], row[:, 1:][at])
+        return out
+
     def _spell(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols spells, or none."""
         out = np.full(left.shape, self.none, np.int32)
@@ -108,7 +124,7 @@ class Pieces:
         out = np.full((len(words), width + 1), self.none, np.int32)
         out[np.arange(width + 1) < sizes[:, None]] = self.symbol[codes]
         todo, now = row, out
-        rank = self.order[self._spell(now[:, :-1], now[:, 1:])]
+        rank = self.order[self._spell_characters(now)]
         while len(todo):
             best = rank.argmin(axis=1)  # the first of equals is the leftmost
             on = rank[row[: len(todo)], best] < _NEVER
@@ -222,9 +238,10 @@ class Pieces:
         # a run of unknown characters is one id
         return out if self.bytes else [i for n, i in enumerate(out) if i != self.unk or n == 0 or out[n - 1] != self.unk]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int], encoded: bool = False) -> str:
+        """The text of some ids; of ``encoded`` ones it is known that none is a begin or an end."""
         try:
-            if not self.silent.isdisjoint(ids):
+            if not encoded and not self.silent.isdisjoint(ids):
                 raise ValueError
             out = b"".join(map(self.raw.__getitem__, ids)).decode()
         except ValueError:  # a run of bytes is decoded by itself; one that begins no character becomes one replacement character
@@ -303,7 +320,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             for texts in _portions([t or "" for t in batch.column("text").to_pylist()]):
                 flat, ends = pieces.encode(texts)
                 ids = [flat[a:b].tolist() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                decoded = [pieces.decode(i) for i in ids]
+                decoded = [pieces.decode(i, True) for i in ids]
                 same = [a == b and c == d for a, b, c, d in zip(ids, theirs.encode(texts, num_threads=1), decoded, theirs.decode(ids, num_threads=1), strict=True)] if check else [None] * len(texts)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), lists, pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], ["id", "ids", "decoded", "agrees"])
