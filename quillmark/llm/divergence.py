@@ -43,7 +43,7 @@ def term_slices(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, end, np.searchsorted(ends, start, side="right")
 
 
-def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, portion: int = 1 << 20) -> np.ndarray:
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, portion: int = 1 << 18) -> np.ndarray:
     """Whether the slices of these sizes at ``a`` and at ``b`` are equal; about ``portion`` bytes are looked at at a time."""
     same, total = np.ones(len(a), bool), np.cumsum(size)
     at = 0
@@ -58,20 +58,31 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return same
 
 
-def group_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashed=xxhash.xxh64_intdigest) -> tuple[np.ndarray, np.ndarray]:
-    """(group of each slice, a slice of each group); slices are in one group if their bytes are equal."""
+def _cut(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The terms at these slices, in order: what lies between is blanked out, so that the bytes can be split at blanks."""
+    part = data[start[0] : end[-1]]
+    part = np.where(_TERM[part], part, np.uint8(0x20))
+    touching = start[1:][start[1:] == end[:-1]] - start[0]  # a text that ends in a term, before one that begins with one
+    return np.insert(part, touching, 0x20).tobytes().split()
+
+
+def group_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashed=xxhash.xxh64_intdigest, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each slice, a slice of each group); slices are in one group if their bytes are equal. Slices are those of ``term_slices``; ``block`` of them are cut out at a time."""
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    raw = data.tobytes()
     size = end - start
-    keys = np.fromiter((hashed(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
+    keys = np.empty(len(start), np.uint64)
+    for at in range(0, len(start), block):
+        a, b = start[at : at + block], end[at : at + block]
+        keys[at : at + block] = np.fromiter(map(hashed, _cut(data, a, b)), np.uint64, len(a))
     _, lead, group = np.unique(keys, return_index=True, return_inverse=True)
+    del keys
     other = size != size[lead[group]]
     equal = np.flatnonzero(~other)
     other[equal] = ~_same_bytes(data, start[equal], start[lead[group[equal]]], size[equal])
     named: dict[bytes, int] = {}  # slices whose hash is that of another term
     for i in np.flatnonzero(other).tolist():
-        term = raw[start[i] : end[i]]
+        term = data[start[i] : end[i]].tobytes()
         if term not in named:
             named[term] = len(lead)
             lead = np.append(lead, i)
@@ -95,8 +106,11 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(joined))
 
 
-def _count(batches: Iterator[pa.RecordBatch], portion: int = 1 << 23) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term by lang and source; a row without a term for each group."""
+def _count(batches: Iterator[pa.RecordBatch], portion: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of each term by lang and source; a row without a term for each group.
+
+    A portion takes some 20 times its bytes of memory while it is counted, in each worker.
+    """
     for batch in batches:
         for rows in _portions(batch, portion):
             keys = pa.table({"lang": rows.column("lang"), "source": rows.column("source")}).group_by(["lang", "source"]).aggregate([])
@@ -106,11 +120,16 @@ def _count(batches: Iterator[pa.RecordBatch], portion: int = 1 << 23) -> Iterato
             start, end, doc = term_slices(data, ends)
             data = _LOWER[data]
             group, lead = group_slices(data, start, end)
-            order = np.lexsort((group, doc))
-            pair = doc[order] * (len(lead) + 1) + group[order]  # a document and a term
+            terms = _strings(data, start[lead], end[lead])
+            del data, start, end
+            pair = doc * (len(lead) + 1) + group  # a document and a term
+            del doc, group
+            pair.sort()
             first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(pair)))
-            cell = of[doc[order][first]] * (len(lead) + 1) + group[order][first] if len(first) else first
+            where, term = np.divmod(pair[first], len(lead) + 1)
+            cell = of[where] * (len(lead) + 1) + term
+            del pair, where, term
             order = np.argsort(cell, kind="stable")
             cell, times = cell[order], times[order]
             first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
@@ -118,7 +137,7 @@ def _count(batches: Iterator[pa.RecordBatch], portion: int = 1 << 23) -> Iterato
             docs = np.diff(np.append(first, len(cell)))
             who, term = np.divmod(cell[first], len(lead) + 1)
             none = pa.nulls(len(place), pa.string())
-            terms = pa.concat_arrays([_strings(data, start[lead], end[lead]).take(pa.array(term)), none])
+            terms = pa.concat_arrays([terms.take(pa.array(term)), none])
             who = pa.array(np.concatenate([who, np.arange(len(place))]))
             zero = np.zeros(len(place), np.int64)
             yield pa.RecordBatch.from_arrays([keys["lang"].combine_chunks().take(who), keys["source"].combine_chunks().take(who), terms, pa.array(np.concatenate([n, zero]).astype(np.int64)), pa.array(np.concatenate([docs, zero]).astype(np.int64))], ["lang", "source", "term", "n", "docs"])
@@ -154,7 +173,7 @@ def _gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 _PAIRS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("extra", pa.int64())])
 
 
-def _shared(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """For each pair of sources, what the terms they share add to the sum over their terms taken one source at a time.
 
     Rows come ordered by lang and term, all rows of a term in one task. They are taken as
