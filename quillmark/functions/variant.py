@@ -78,18 +78,26 @@ def with_fields(notes: DataFrame, fields: Mapping[str, tuple[str, str]], front_m
 
 
 def paths(notes: DataFrame, key: str = "relative_path", front_matter: str = "front_matter") -> DataFrame:
-    """``key, path, kind``: the fields of the first two levels of maps, with the kind of each value (OBJECT, ARRAY, STRING, BIGINT, DECIMAL, ...)."""
-    f = F.col(front_matter)
+    """``key, path, kind``: the fields of the first two levels of maps, with the kind of each value (OBJECT, ARRAY, STRING, BIGINT, DECIMAL, ...).
+
+    One pass: both levels come from the same rows, and no filter on the front matter can be
+    pushed below the function that decodes it, which would decode every note again.
+    """
+    tvf = notes.sparkSession.tvf
 
     def kind(value: str) -> Column:
-        return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).alias("kind")
-
-    top = notes.select(F.col(key), f.alias("__f")).where(F.schema_of_variant("__f").startswith("OBJECT")).lateralJoin(notes.sparkSession.tvf.variant_explode(F.col("__f").outer()))
-    one = top.select(key, F.concat(F.lit("$."), "key").alias("path"), kind("value"), "value")
-    inner = one.where(F.col("kind") == "OBJECT").select(F.col(key), F.col("path").alias("__p"), F.col("value").alias("__v"))
-    two = inner.lateralJoin(notes.sparkSession.tvf.variant_explode(F.col("__v").outer()))
-    two = two.select(key, F.concat("__p", F.lit("."), "key").alias("path"), kind("value"))
-    return one.select(key, "path", "kind").unionByName(two)
+        return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+    top = notes.select(F.col(key), F.col(front_matter).alias("__f"))
+    top = top.select(key, F.when(F.schema_of_variant("__f").startswith("OBJECT"), F.col("__f")).alias("__f"))
+    one = top.lateralJoin(tvf.variant_explode(F.col("__f").outer())).select(key, F.concat(F.lit("$."), "key").alias("__p"), F.col("value").alias("__v"))
+    # each field as itself and, if it is a map, as what is in it
+    each = one.select(key, "__p", "__v", F.explode(F.array(F.lit(1), F.lit(2))).alias("__level")).where((F.col("__level") == 1) | (kind("__v") == "OBJECT"))
+    each = each.withColumn("__in", F.when(F.col("__level") == 2, F.col("__v")))
+    both = each.lateralJoin(tvf.variant_explode_outer(F.col("__in").outer())).where("__level = 1 OR pos IS NOT NULL")
+    first = F.col("__level") == 1
+    both = both.select(F.col(key), F.when(first, F.col("__p")).otherwise(F.concat("__p", F.lit("."), "key")).alias("path"), F.when(first, F.col("__v")).otherwise(F.col("value")).alias("__w"))
+    return both.select(key, "path", kind("__w").alias("kind"))
 
 
 def write_shredded(notes: DataFrame, path: str) -> None:

@@ -150,6 +150,19 @@ def test_variant_survives_shredded_parquet(spark, tmp_path):
     assert kinds[("$.epistemic", "OBJECT")] == 50 and kinds[("$.only", "BIGINT")] == 1 and kinds[("$.epistemic.state", "STRING")] == 50 and kinds[("$.tags", "ARRAY")] == 49
 
 
+def test_paths_decode_each_note_once(spark):
+    """Both levels come from one pass: no second reading for the inner fields, no filter pushed below the decoding."""
+    files = [("odd.md", ODD), ("empty.md", "---\na: {}\nb: []\nc:\nd: {x: {y: 1}, z: null}\ne.f: {g.h: x}\n'': {'': 1.5}\n---\n"), ("none.md", "---\n---\n"), ("list.md", "---\n[a]\n---\n"), ("plain.md", "x"), ("null.md", None)]
+    found = variant.paths(variant.decode_variant(notes_from_rows(spark, files)))
+    assert plan(found).count("ArrowEvalPython") == 1
+    got = sorted(tuple(r) for r in found.collect() if r[0] != "odd.md")
+    want = {"$.a": "OBJECT", "$.b": "ARRAY", "$.c": "VOID", "$.d": "OBJECT", "$.d.x": "OBJECT", "$.d.z": "VOID", "$.e.f": "OBJECT", "$.e.f.g.h": "STRING", "$.": "OBJECT", "$..": "DECIMAL"}
+    assert got == sorted(("empty.md", path, kind) for path, kind in want.items())
+    assert {r["path"]: r["kind"] for r in found.collect() if r[0] == "odd.md"} == {"$.uid": "BIGINT", "$.extra": "OBJECT", "$.extra.deep": "OBJECT", "$.when": "STRING", "$.3": "STRING", "$.nan": "STRING", "$.raw": "STRING", "$.set": "ARRAY", "$.big": "DOUBLE"}
+    both = variant.decode_variant(notes_from_rows(spark, [("o.md", "---\nfront_matter: 1\n---\n")]), "pos")
+    assert [tuple(r) for r in variant.paths(both, front_matter="pos").collect()] == [("o.md", "$.front_matter", "BIGINT")]
+
+
 # --- change feed
 
 
