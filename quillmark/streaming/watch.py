@@ -33,7 +33,9 @@ def watch(spark: SparkSession, folder: str, on_change: Callable[[DataFrame, Data
 
     Snapshots are kept as Parquet in ``state_dir``, a folder that all executors share,
     one for each batch, so a restart goes on from the last one that was finished. A batch
-    that fails is repeated against the same earlier snapshot; older ones are deleted.
+    that fails is repeated against the same earlier snapshot; older ones are deleted. A
+    snapshot is marked once ``on_change`` has returned, so a batch that is repeated only
+    because the query was stopped before Spark noted its end does not hand on its changes again.
     """
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -42,7 +44,15 @@ def watch(spark: SparkSession, folder: str, on_change: Callable[[DataFrame, Data
         where = jvm.org.apache.hadoop.fs.Path(f"{state_dir.rstrip('/')}/snapshot-{batch}")
         return where.getFileSystem(conf), where
 
+    def mark(batch: int):
+        return jvm.org.apache.hadoop.fs.Path(f"{state_dir.rstrip('/')}/snapshot-{batch}/_handed_on")
+
     def step(_: DataFrame, batch: int) -> None:
+        files, done = place(batch)
+        if files.exists(mark(batch)):  # what it found is known: it becomes the earlier snapshot
+            files.delete(place(batch - 1)[1], True)
+            if not files.rename(done, place(batch - 1)[1]):
+                raise RuntimeError(f"can't rename {done.toString()}")
         notes = read_notes(spark, folder)
         path = f"{state_dir.rstrip('/')}/snapshot-{batch}"
         notes.withColumn("content_sha256", F.sha2(F.coalesce("content", F.lit("")), 256)).write.mode("overwrite").parquet(path)
@@ -52,6 +62,7 @@ def watch(spark: SparkSession, folder: str, on_change: Callable[[DataFrame, Data
         delta = changes(last.select("relative_path", "content_sha256"), now.select("relative_path", "content_sha256"))
         if not delta.isEmpty():
             on_change(delta, now, batch)
+            files.create(mark(batch)).close()
         files, old = place(batch - 2)
         files.delete(old, True)
 
